@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -166,13 +166,37 @@ def full_sets(docs: DataFrame, config: NearDedupConfig) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, shingles binary")
 
 
+def rare_prefixes(sets: DataFrame, config: NearDedupConfig) -> DataFrame:
+    """(key, rep, n, k, at): buckets by the shingles that a link cannot do without, n nodes in each; the shingle is
+    the at-th of the node's k in the order.
+
+    With shingles in one order for all sets, here from those that few sets have to those that many have, two
+    linked sets of k shingles share one of the first k - ceil(k * percent / 100) + 1.  What many texts quote is at
+    the end of the order, so it makes no bucket unless it is nearly all of a text.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"rep": pdf["doc_id"], "part": pdf["part"], "shingles": [np.frombuffer(x, "<i8") for x in pdf["shingles"]]})
+
+    lists = sets.select("doc_id", F.xxhash64("shingles").alias("part"), "shingles").mapInPandas(run, "rep long, part long, shingles array<long>")
+    each = staged(lists.select("rep", "part", F.size("shingles").alias("k"), F.explode("shingles").alias("key")), "open-shingles")
+    shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    own = Window.partitionBy("rep", "part")
+    ranked = each.join(shared, "key").withColumn("at", F.row_number().over(own.orderBy("n", "key")) + F.col("k") - F.count("*").over(own))
+    first = ranked.where(F.col("at") <= F.col("k") - F.ceil(F.col("k") * config.percent / 100) + 1).select("key", "rep", "k", "at").distinct()
+    first = staged(first, "rare-shingles")
+    return first.join(first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+
+
 def near_dedup(docs: DataFrame, config: NearDedupConfig = NearDedupConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents with equal shingle sets become one node.  Nodes that share a band's bucket are candidates; first
-    each is compared with its bucket's smallest node, then only nodes of a bucket that are not yet in one
-    component are compared, in rounds that take more and more of a bucket's nodes in a hashed order, until every
-    pair of a bucket was compared or is joined by a path.  So large groups cost few pairs and no link is lost.
+    each is compared with the middle of its bucket, then only nodes of a bucket that are not yet in one
+    component are compared.  Those are put into finer buckets by their rarest shingles, of which linked sets share
+    one, and rounds take more and more of a bucket's nodes in a hashed order, until every pair of a bucket was
+    compared or is joined by a path.  So large groups and common passages cost few pairs and no link is lost.
 
     NULL, empty and blank texts have an empty set and link with nothing; rows with a NULL id link with nothing
     either, have a NULL component_id and are kept; rows that repeat an id are the same node; an empty table gives
@@ -187,12 +211,16 @@ def near_dedup(docs: DataFrame, config: NearDedupConfig = NearDedupConfig(), id_
     width = 4 * config.rows
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", 1 + width * k, width)) for k in range(config.bands)])
     banded = groups.select("rep", F.explode(keys).alias("key"))
-    many = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1")
+    many = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = staged(banded.join(many, "key"), "buckets")
-    members = staged(buckets.select("rep").distinct(), "bucket-members")
-    sets = staged(full_sets(keep_ids(slim, members, "doc_id", members.count()), config), "shingle-sets")
-
-    tested = staged(buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    # The node with the most company over all its buckets is the middle of its group: what was copied, not a copy.
+    members = staged(buckets.groupBy("rep").agg(F.sum("n").alias("company")), "bucket-members")
+    sets = staged(full_sets(keep_ids(slim, members.select("rep"), "doc_id", members.count()), config), "shingle-sets")
+
+    placed = buckets.join(members, "rep")
+    middle = placed.groupBy("key").agg(F.max(F.struct("company", -F.col("rep"))).getField("col2").alias("hub"))
+    starred = placed.join(middle.select("key", (-F.col("hub")).alias("hub")), "key").where("rep <> hub")
+    tested = staged(starred.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     likely = staged(screen(tested, reps, config), "screened")
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a"))
     links = staged(confirm(best, sets, config), "links")
@@ -209,24 +237,31 @@ def near_dedup(docs: DataFrame, config: NearDedupConfig = NearDedupConfig(), id_
         return all_links, staged(connected_components(all_links), "parts")
 
     links, parts = joined(confirm(apart(likely), sets, config))
+    def split(rows: DataFrame) -> DataFrame:
+        """Rows (key, rep, n) of buckets whose nodes are in several components so far, with their component."""
+        here = rows.join(parts, rows["rep"] == parts["node"], "left").select(*rows.columns, F.coalesce("component", "rep").alias("part"))
+        several = here.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
+        return here.join(several, "key", "left_semi")
+
+    left = staged(split(buckets).select("rep").distinct(), "open-nodes")
+    open_ = staged(rare_prefixes(sets.join(left, F.col("doc_id") == F.col("rep"), "left_semi"), config), "rare-buckets")
     # In a bucket of n nodes, a round takes those whose hashed place is below hubs / n; the last takes all.
-    place = (F.pmod(F.xxhash64("rep", F.lit(config.seed)), F.lit(1 << 40)) / float(1 << 40)).alias("place")
+    place = F.pmod(F.xxhash64("rep", F.lit(config.seed)), F.lit(1 << 40)) / float(1 << 40)
     done, now = 0, config.hubs
-    open_ = buckets.select("key", "rep", "n", place)
     while True:
-        here = open_.join(parts, open_["rep"] == parts["node"], "left").select("key", "rep", "n", "place", F.coalesce("component", "rep").alias("part"))
-        split = here.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-        here = staged(here.join(split, "key", "left_semi").where(F.col("n") > done), "open-buckets")
+        here = staged(split(open_).where(F.col("n") > done).withColumn("place", place), "open-buckets")
         if here.isEmpty():
             break
         hub = here.where((F.col("place") * F.col("n") >= done) & (F.col("place") * F.col("n") < now))
-        hub = hub.select("key", F.col("rep").alias("h"), F.col("place").alias("hp"), F.col("part").alias("hq"))
-        pairs = here.join(hub, "key").where("part <> hq AND (place > hp OR (place = hp AND rep > h))")
+        hub = hub.select("key", F.col("rep").alias("h"), F.col("place").alias("hp"), F.col("part").alias("hq"), F.col("k").alias("hk"), F.col("at").alias("ha"))
+        # If this shingle is the first that both have, they share as many more as the shorter rest holds, at most.
+        most = (F.least(F.col("k") - F.col("at"), F.col("hk") - F.col("ha")) + 1) * (100 + config.percent)
+        pairs = here.join(hub, "key").where("part <> hq AND (place > hp OR (place = hp AND rep > h))").where(most >= (F.col("k") + F.col("hk")) * config.percent)
         pairs = pairs.select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b")).distinct()
-        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = staged(pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
         links, parts = joined(confirm(screen(pairs, reps, config), sets, config))
         tested = staged(tested.unionByName(pairs), "pairs")
-        open_, done, now = here.select("key", "rep", "n", "place"), now, now * 16
+        open_, done, now = here.select("key", "rep", "n", "k", "at"), now, now * 16
     classes = groups.select("set_hash", "size", "rep").join(parts, F.col("rep") == F.col("node"), "left")
     classes = staged(classes.select("set_hash", "size", F.coalesce("component", "rep").alias("class_id")), "classes")
     nodes = sig.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "set_hash")
