@@ -105,7 +105,7 @@ def plan(sized: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS, see
     words = words.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(holds(F.col("start")), holds(end - 1)))))
     lo, hi = F.greatest(edge(F.col("block")), F.col("start")) - F.col("start"), F.least(edge(F.col("block") + 1), end) - F.col("start")
     words = words.withColumn("lo", lo).withColumn("hi", hi)
-    words = words.join(chosen, ["place", "shard", "block"], "left")
+    words = words.join(chosen.hint("merge"), ["place", "shard", "block"], "left")
     times = F.transform(F.sort_array(F.collect_list(F.struct("block", F.coalesce("times", F.lit(0)).alias("times")))), lambda x: x["times"])
     taken = F.sum((F.col("hi") - F.col("lo")) * F.col("times"))
     docs_out = words.groupBy("place", "shard", "order", "doc_id", "start", "size").agg(
