@@ -1,6 +1,5 @@
 """Registered queries over the shared tables, and the SQL that gives the same rows."""
 
-from __future__ import annotations
+from .catalog import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
