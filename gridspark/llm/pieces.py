@@ -42,6 +42,7 @@ class Codec:
             raise ValueError("a piece crosses the end of a marked word")
         self.bytes_of = [bytes([int(p[3:5], 16)]) if t == "byte" else p.replace(MARK, " ").encode() if t == "normal" else b"" for p, _, t in self.table]
         self.worst = min(self.score.values(), default=0.0) - 10.0
+        self.suffixes = {p[k:] for p in self.ids for k in range(len(p))}
         self.stable: dict[tuple[str, str], bool] = {}
         self.words: dict[str, np.ndarray] = {}
 
@@ -67,7 +68,7 @@ class Codec:
     def _stable(self, left: str, right: str) -> bool:
         key = (left, right)
         if (known := self.stable.get(key)) is None:
-            known = left + right not in self.score and self.merged(left + right) == [left, right]
+            known = (not left or left + right not in self.score) and self.merged(left + right) == ([left, right] if left else [right])
             if len(self.stable) > 2_000_000:
                 self.stable.clear()
             self.stable[key] = known
@@ -81,10 +82,12 @@ class Codec:
                 if (s := self.score.get(word[start:end])) is not None and states[start][0] + s > best[0]:
                     best = (states[start][0] + s, word[start:end])
             return best
-        for start in range(max(0, end - self.longest), end):
+        for start in range(end - 1, -1, -1):
             piece = word[start:end]
-            if (start == end - 1 or piece in self.score) and (self._stable(states[start][1], piece) if start else self.merged(piece) == [piece]):
+            if (start == end - 1 or piece in self.score) and self._stable(states[start][1], piece):
                 return (0.0, piece)
+            if piece not in self.suffixes:
+                break
         raise AssertionError("some piece always fits")
 
     def encode_sorted(self, words: list[str]) -> Iterable[tuple[str, list[str]]]:
