@@ -31,15 +31,16 @@ class TemplateConfig:
 
 
 def masked(line: Column) -> Column:
-    bare = F.regexp_replace(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), SPACE, " ")
-    return F.regexp_replace(bare, VARIABLE, ANY)
+    """Tokens joined by single spaces, ANY for those with a digit; plain lines are left as they are."""
+    bare = F.when(line.rlike(r"^ |[\x09-\x0D]|  | $"), F.regexp_replace(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), SPACE, " ")).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(bare, VARIABLE, ANY)).otherwise(bare)
 
 
 def _lines(docs: DataFrame, config: TemplateConfig) -> DataFrame:
     """row, leaf, line: the distinct masked lines of each document that are long enough."""
     text = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     each = docs.select("row", F.explode(F.array_distinct(F.transform(text, masked))).alias("line"))
-    n = F.size(F.split("line", " "))
+    n = F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     return each.select("row", "line", F.concat_ws(" ", n, F.substring_index("line", " ", config.depth)).alias("leaf")).where(n >= config.min_tokens)
 
 
@@ -76,7 +77,7 @@ def drop_recurring_lines(docs: DataFrame, config: TemplateConfig = TemplateConfi
     count as documents each; NULL ids are kept; an empty table gives an empty result; other columns are ignored.
     """
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    drop, _ = recurring(_lines(numbered, config), config)
+    drop, _ = recurring(staged(_lines(numbered, config), "lines"), config)
     side = drop.select(F.col("line").alias("key"), F.lit(True).alias("hit"))
     side = F.broadcast(side) if drop.count() <= BROADCAST_ROWS // 20 else side
     lines = numbered.select("row", "doc_id", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("place", "line"))
