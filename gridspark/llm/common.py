@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,18 @@ def keep_ids(rows: DataFrame, ids: DataFrame, key: str, n_ids: int, how: str = "
     return rows.join(side, rows[key].eqNullSafe(F.col("__id")), how)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Fewer rows in an Arrow batch, for jobs that run within: their Python workers hold one batch at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_chunks(ids, texts, limit: int = 2_000_000) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and UTF-8 texts in runs of about limit bytes, so that a batch of long texts stays small."""
     out_ids, out, size = [], [], 0

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import attach_group, connected_components, keep_ids, staged, text_chunks
+from .common import attach_group, connected_components, keep_ids, small_batches, staged, text_chunks
 
 
 @dataclass(frozen=True)
@@ -203,6 +203,11 @@ def near_dedup(docs: DataFrame, config: NearDedupConfig = NearDedupConfig(), id_
     an empty result; other columns are ignored.
     """
     ship_package(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _near_dedup(docs, config, id_col, text_col)
+
+
+def _near_dedup(docs: DataFrame, config: NearDedupConfig, id_col: str, text_col: str) -> DataFrame:
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sig = staged(signatures(slim, config), "signatures")
     full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
