@@ -204,8 +204,8 @@ def baselines_wide(spark, sf_dir):
 @query(f"""
 WITH {_DAYS}, t AS (SELECT user_id, row_number() OVER (ORDER BY v DESC, user_id) AS p FROM d WHERE i = 11), e AS (SELECT user_id FROM d WHERE i = 10),
 b AS (SELECT coalesce(e.user_id, t.user_id) AS user_id, e.user_id IS NOT NULL AS named, p FROM e FULL JOIN t USING (user_id)),
-r AS (SELECT *, row_number() OVER (ORDER BY p IS NULL, p, user_id) AS aligned, sum(CAST(p IS NULL AS INT)) OVER () AS na, sum(CAST(NOT named AS INT)) OVER () AS nu FROM b)
-SELECT user_id, CAST(aligned AS BIGINT) AS aligned, p IS NULL AS absent, CAST(na AS BIGINT) AS n_absent, CAST(nu AS BIGINT) AS n_unforeseen FROM r WHERE named
+r AS (SELECT *, sum(CAST(p IS NULL AS INT)) OVER () AS na, sum(CAST(NOT named AS INT)) OVER () AS nu FROM b)
+SELECT user_id, row_number() OVER (ORDER BY p IS NULL, p, user_id) AS aligned, p IS NULL AS absent, CAST(na AS BIGINT) AS n_absent, CAST(nu AS BIGINT) AS n_unforeseen FROM r WHERE named
 """)
 def align_field(spark, sf_dir):
     d = days(spark, sf_dir)
