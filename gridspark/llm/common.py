@@ -74,15 +74,19 @@ def keep_ids(rows: DataFrame, ids: DataFrame, key: str, n_ids: int, how: str = "
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Fewer rows in an Arrow batch, for jobs that run within: their Python workers hold one batch at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8_000_000):
+    """Fewer rows and bytes in an Arrow batch, for jobs that run within: their Python workers hold one batch at a
+    time, however long the texts and sets in it are.  A row beyond the size makes a batch of its own."""
+    prefix = "spark.sql.execution.arrow"
+    wanted = {f"{prefix}.maxRecordsPerBatch": rows, f"{prefix}.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def text_chunks(ids, texts, limit: int = 2_000_000) -> Iterator[tuple[list, list[bytes]]]:
