@@ -205,3 +205,16 @@ def traffic_class(gap: Column) -> Column:
 
 def pit_loss(entry: Column, exit_: Column, reference: Column) -> Column:
     return exit_ - entry - reference
+
+
+# Words in a status that name an incident, and statuses of those who never started.
+INCIDENT_WORDS = ("collision", "accident", "spun", "damage", "puncture", "crash", "contact")
+NON_STARTERS = ("Did not start", "Did not qualify", "Did not prequalify", "Withdrew", "Injury")
+
+
+def status_class(status: Column, position_text: Column) -> Column:
+    """non_starter, finished (the position is a number), incident or mechanical, in that precedence."""
+    s, p = F.trim(F.coalesce(status, F.lit(""))), F.trim(F.coalesce(position_text, F.lit("")))
+    incident = F.lower(s).rlike("|".join(INCIDENT_WORDS)) | (p == "D")
+    never = s.isin(*NON_STARTERS) | p.isin("W", "F")
+    return F.when(never, "non_starter").when(p.rlike("^[0-9]+$"), "finished").when(incident, "incident").otherwise("mechanical")

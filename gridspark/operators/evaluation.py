@@ -146,3 +146,39 @@ def fit_temperature(df: DataFrame, probability: str, group: list[str], winner: s
     per = rows.groupBy(*group, "temperature").agg(F.sum(F.pow(F.col("p"), 1 / F.col("temperature"))).alias("z"), F.sum("y").alias("n"), F.max(F.when(F.col("y") == 1, F.col("p"))).alias("pw"))
     loss = -F.ln(F.greatest(F.pow(F.col("pw"), 1 / F.col("temperature")) / F.col("z"), F.lit(1e-12)))
     return per.where("n = 1").groupBy("temperature").agg(F.avg(loss).alias("loss"), F.count("*").alias("n_races"))
+
+
+# Published probabilities and the outcomes that they are about.
+PUBLISHED = {"win_probability": "winner", "podium_probability": "podium", "top10_probability": "top10", "dnf_probability": "dnf"}
+
+
+def with_outcomes(df: DataFrame) -> DataFrame:
+    """podium and top10 from classified positions; winner and dnf too, unless the rows have them."""
+    placed = F.coalesce(F.col("classified").cast("double"), F.lit(0.0)) != 0
+    up_to = lambda k: F.coalesce(placed & (F.col("position_order") <= k), F.lit(False)).cast("double")
+    derived = {"podium": up_to(3), "top10": up_to(10)}
+    derived |= {k: v for k, v in {"winner": up_to(1), "dnf": (~placed).cast("double")}.items() if k not in df.columns}
+    return df.withColumns(derived)
+
+
+def probability_report(df: DataFrame, bins: int = 10) -> DataFrame:
+    """A row per published probability that df has: count, means, calibration error, Brier score; and one for the
+    share of finishes between the published 10% and 90% quantiles.  All pairs are unpivoted and binned in one pass."""
+    rows = with_outcomes(df)
+    have = [p for p in PUBLISHED if p in df.columns]
+    pairs = F.array(*[F.struct(F.lit(PUBLISHED[p]).alias("outcome"), F.lit(p).alias("probability_column"), F.col(p).cast("double").alias("p"), F.col(PUBLISHED[p]).cast("double").alias("y")) for p in have])
+    flat = rows.select(F.inline(pairs)).where("p IS NOT NULL AND y IS NOT NULL")
+    bin_ = F.greatest(F.ceil(F.round(F.col("p") * bins, 9)), F.lit(1))
+    key = ["outcome", "probability_column"]
+    binned = flat.groupBy(*key, bin_.alias("bin")).agg(F.count("*").alias("n"), F.sum("p").alias("p"), F.sum("y").alias("y"), F.sum((F.col("p") - F.col("y")) ** 2).alias("e"))
+    n = F.sum("n")
+    out = binned.groupBy(*key).agg(n.alias("n"), (F.sum("p") / n).alias("predicted_mean"), (F.sum("y") / n).alias("observed_rate"), (F.sum(F.abs(F.col("p") - F.col("y"))) / n).alias("ece"), (F.sum("e") / n).alias("brier"))
+    if not {"finish_p10", "finish_p90", "position_order"} <= set(df.columns):
+        return out
+    inside = F.col("position_order").between(F.col("finish_p10"), F.col("finish_p90")).cast("double")
+    band = df.where(inside.isNotNull()).agg(F.count("*").alias("n"), F.avg(inside).alias("observed_rate")).where("n > 0")
+    band = band.select(
+        F.lit("finish_inside_p10_p90").alias("outcome"), F.lit("finish_p10..finish_p90").alias("probability_column"), "n", F.lit(0.8).alias("predicted_mean"), "observed_rate",
+        F.abs(F.col("observed_rate") - 0.8).alias("ece"), F.lit(None).cast("double").alias("brier"),
+    )
+    return out.unionByName(band)

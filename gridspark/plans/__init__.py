@@ -1,5 +1,6 @@
 """Registered queries over the shared tables, and the SQL that gives the same rows."""
 
+from . import laps  # noqa: F401  (adds its queries to the catalogue)
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
