@@ -237,11 +237,23 @@ def _near_dedup(docs: DataFrame, config: NearDedupConfig, id_col: str, text_col:
             pairs = pairs.join(parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left")
         return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    def joined(more: DataFrame) -> tuple[DataFrame, DataFrame]:
-        all_links = staged(links.unionByName(more), "links")
-        return all_links, staged(connected_components(all_links), "parts")
+    def joined(more: DataFrame) -> DataFrame:
+        """parts after more links: only the components that these join are joined anew, each by its least node."""
+        ends = more
+        for x in ("a", "b"):
+            ends = ends.join(parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left")
+        ends = staged(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct(), "links")
+        if ends.isEmpty():
+            return parts
+        moved = staged(connected_components(ends), "moved").select(F.col("node").alias("component"), F.col("component").alias("to"))
+        sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
+        groups = staged(moved.join(sizes, "component"), "moved-parts")
+        old = attach_group(parts, groups, "component", "size", parts.count()).select("node", F.coalesce("to", "component").alias("component"))
+        fresh = moved.join(parts.select(F.col("node").alias("component")), "component", "left_anti")
+        return staged(old.unionByName(fresh.select(F.col("component").alias("node"), F.col("to").alias("component"))), "parts")
+
+    parts = joined(confirm(apart(likely), sets, config))
 
-    links, parts = joined(confirm(apart(likely), sets, config))
     def split(rows: DataFrame) -> DataFrame:
         """Rows (key, rep, n) of buckets whose nodes are in several components so far, with their component."""
         here = rows.join(parts, rows["rep"] == parts["node"], "left").select(*rows.columns, F.coalesce("component", "rep").alias("part"))
@@ -264,7 +276,7 @@ def _near_dedup(docs: DataFrame, config: NearDedupConfig, id_col: str, text_col:
         pairs = here.join(hub, "key").where("part <> hq AND (place > hp OR (place = hp AND rep > h))").where(most >= (F.col("k") + F.col("hk")) * config.percent)
         pairs = pairs.select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b")).distinct()
         pairs = staged(pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-        links, parts = joined(confirm(screen(pairs, reps, config), sets, config))
+        parts = joined(confirm(screen(pairs, reps, config), sets, config))
         tested = staged(tested.unionByName(pairs), "pairs")
         open_, done, now = here.select("key", "rep", "n", "k", "at"), now, now * 16
     classes = groups.select("set_hash", "size", "rep").join(parts, F.col("rep") == F.col("node"), "left")
