@@ -303,6 +303,21 @@ def test_ppm(spark, odd, none, docs):
     assert unseen[0] < unseen[1] < unseen[2]  # longer contexts predict unseen texts better
 
 
+def test_ppm_keeps_every_context(spark):
+    """Rare contexts score by their own counts, whatever the number of broadcast ones and the size of a chunk."""
+    rows = [(i, t) for i, t in enumerate(["The cat sat. ä", "the dog sat on the cat", None, "", "zebra quux", "the the the", "Cat dog", "on the mat sat"] * 3 + ["zebra cat qu"] * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    pairs = [(i, lower(t or "").encode()) for i, t in rows]
+    want = brute_ppm([t for i, t in pairs if not held(i)], [t for _, t in pairs], 3, 1 << 40)
+    for config in (ppm.PpmConfig(3, hot=40), ppm.PpmConfig(3, hot=1, chunk=20), ppm.PpmConfig(3)):
+        got = [r["score"] for r in ppm.score_ppm(df, config).orderBy("doc_id").collect()]
+        assert got == pytest.approx(want, rel=1e-5, abs=1e-4)
+    ids = [[], [5, 5, 0, 127, 128, 1 << 22], [3]]
+    data = ppm.packed(np.repeat(np.arange(3), [len(x) for x in ids]), np.array(sum(ids, [])), 3)
+    assert [ppm.unpacked(x).tolist() for x in data] == [sorted(x) for x in ids]
+
+
 def test_word_hash(spark):
     words = ["", "a", "hello", "é" * 9, "x" * 40]
     got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()]
