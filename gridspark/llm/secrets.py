@@ -23,7 +23,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 IDENTITY = re.compile(r"\b(?:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._+-]{3,128})", re.I | re.A)
 IDENTITY_HINT = re.compile(r"user|login|client|account|access", re.I | re.A)
 ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9][A-Za-z0-9.:_@-]*[A-Za-z0-9/]|\barn:aws:[a-z0-9-]+:[A-Za-z0-9:/_.-]+", re.A)
-VALUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])")
+#: A run of any length; '=' may stand before it, as in NAME=value, and pads its end.
+VALUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 #: Order of kinds at one start.
 KINDS = ("assign", "access", "hex", "identity", "endpoint", "value")
 PLACE = {k: i for i, k in enumerate(KINDS)}
@@ -97,6 +98,8 @@ def find_secrets(text: str | None, config: SecretConfig = SecretConfig()) -> lis
         free = lambda s, e: not taken(s, e - 1)
         values = [(m.start(), m.end()) for m in VALUE.finditer(text) if _weak_value(m.group(), config) and free(m.start(), m.end())]
         values = [v for v in values if not any(s <= v[0] < e for s, e in ends)]
+        named = _Near(ids, [], 0)  # NAME=value of an identity is not its own secret
+        values = [v for v in values if text[v[0] - 1 : v[0]] != "=" or not named(v[0], v[1] - 1)]
         scopes = [m.end() for m in re.finditer(r"\n[\x20\t\r]*\n", text)]
         near = lambda spans: _Near(spans, scopes, config.reach)
         secret = near(values + [(s, e) for s, e, k in base if k in ("assign", "hex")])
