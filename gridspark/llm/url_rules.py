@@ -58,23 +58,39 @@ def node(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, query))
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root without its . and .. parts."""
+    parts = F.split(path, "/")
+    up = lambda held: F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))
+    step = lambda held, x: F.when(x == "..", up(held)).when(x == ".", held).otherwise(F.concat(held, F.array(x)))
+    held = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), step)
+    held = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(held, F.array(F.lit("")))).otherwise(held)
+    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(held, "/"))).otherwise(path)
+
+
 def resolved(base: Column, link: Column) -> Column:
-    """An absolute link; //host/path and /path take what they lack from the page's URL, other forms give NULL."""
+    """An absolute link; other forms take what they lack from the page's URL, paths from its directory.  Links of
+    other schemes, such as mailto:, and those to a place in the page itself give NULL."""
     scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
-    host = F.regexp_extract(base, r"(?s)^.*?://([^/?#]*)", 1)
+    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    own, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
     return (
-        F.when(link.contains("://"), link)
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike("^(#|[A-Za-z][A-Za-z0-9+.-]*:)"), F.lit(None).cast("string"))
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host, link))
+        .when(link.startswith("?"), F.concat(site, path, link))
+        .otherwise(F.concat(site, without_dots(F.when(link.startswith("/"), own).otherwise(F.concat(folder, own))), rest))
     )
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): nodes joined by a canonical link or a refresh in the html."""
+    """(a, b): nodes joined by any canonical link or refresh in the html."""
     clean = lambda x: F.replace(x, F.lit("&amp;"), F.lit("&"))
-    links = F.array(*[F.nullif(clean(F.regexp_extract("html", p, 1)), F.lit("")) for p in (CANONICAL, REFRESH)])
+    links = F.concat(*[F.transform(F.regexp_extract_all("html", F.lit(p), F.lit(1)), clean) for p in (CANONICAL, REFRESH)])
     has = F.col("html").rlike(r"(?i)canonical|refresh")
-    each = pages.where(has).select("url", F.explode(links).alias("link")).where("link IS NOT NULL")
+    each = pages.where(has).select("url", F.explode(links).alias("link")).where("link <> ''")
     return each.select(node(F.col("url")).alias("a"), node(resolved(F.col("url"), F.col("link"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
 
 

@@ -399,6 +399,21 @@ def test_url_filter(spark):
     assert url_rules.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_url_filter_follows_every_link(spark):
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    refresh = lambda u: f"<meta http-equiv='refresh' content='0; url={u}'>"
+    blocked = "http://a.example.com/en/5"
+    rows = [
+        (1, "http://b.io/x/one.html", refresh("two.html")), (2, "http://b.io/x/two.html", refresh("../y/./three?q=1#f")), (3, "http://b.io/y/three?q=1", refresh("?id=2")), (4, "http://b.io/y/three?id=2", refresh(blocked)),
+        (5, "http://c.io/a", link("http://c.io/b") + link(blocked)), (6, "http://d.io/a", refresh("b") + refresh(blocked)), (7, "http://d.io/b", None),
+        (8, "http://e.io/a", link("/go?u=https://x.org/es/1")), (9, "http://e.io/go?u=https://x.org/es/1", refresh(blocked)), (10, "http://f.io", refresh("z/../../en")), (11, "http://f.io/en", refresh(blocked)),
+        (12, "http://g.io/a", refresh("mailto:x@h.org") + link("go?u=https://x.org/es/1") + link("#top")), (13, "http://g.io/b/c", refresh("..")), (14, "http://g.io/", refresh(blocked)),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.filter_urls(pages).collect()}
+    assert got == {i: "allow" if i == 12 else "block" for i, *_ in rows}
+
+
 def test_licenses(spark, odd, none, docs):
     rows = [
         (1, "Released under the MIT License.", "a/LICENSE"), (2, "no words of law", "a/b/c.txt"), (3, "Licensed under the Apache License, Version 2.0.\n\nsome long body of text follows here with many other words in it", "a/b/d.txt"),
