@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import attach_group, connected_components, keep_ids, small_batches, staged, text_chunks
+from .common import attach_group, connected_components, in_groups, keep_ids, scratch, small_batches, staged, text_chunks
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,8 @@ class NearDedupConfig:
     seed: int = 7919
     #: Members of a bucket that are expected to be compared with all others, in the second round; then 16 times as many each.
     hubs: int = 16
+    #: Members of a bucket that meet its hubs in one task; a larger bucket is dealt to several.
+    deal: int = 2048
 
     @property
     def hashes(self) -> int:
@@ -183,10 +185,11 @@ def rare_prefixes(sets: DataFrame, config: NearDedupConfig) -> DataFrame:
     each = staged(lists.select("rep", "part", F.size("shingles").alias("k"), F.explode("shingles").alias("key")), "open-shingles")
     shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     own = Window.partitionBy("rep", "part")
-    ranked = each.join(shared, "key").withColumn("at", F.row_number().over(own.orderBy("n", "key")) + F.col("k") - F.count("*").over(own))
+    held = attach_group(each, shared, "key", "n", each.count()).where("n IS NOT NULL")
+    ranked = held.withColumn("at", F.row_number().over(own.orderBy("n", "key")) + F.col("k") - F.count("*").over(own))
     first = ranked.where(F.col("at") <= F.col("k") - F.ceil(F.col("k") * config.percent / 100) + 1).select("key", "rep", "k", "at").distinct()
     first = staged(first, "rare-shingles")
-    return first.join(first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    return attach_group(first, first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key", "n", first.count()).where("n IS NOT NULL")
 
 
 def near_dedup(docs: DataFrame, config: NearDedupConfig = NearDedupConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,13 +206,13 @@ def near_dedup(docs: DataFrame, config: NearDedupConfig = NearDedupConfig(), id_
     an empty result; other columns are ignored.
     """
     ship_package(docs.sparkSession)
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), scratch(docs.sparkSession):
         return _near_dedup(docs, config, id_col, text_col)
 
 
 def _near_dedup(docs: DataFrame, config: NearDedupConfig, id_col: str, text_col: str) -> DataFrame:
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = staged(signatures(slim, config), "signatures")
+    sig = staged(signatures(slim, config), "signatures", keep=True)
     full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     groups = staged(full.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "shingle-groups")
     reps = groups.select("rep", "n_shingles", "signature")
@@ -217,14 +220,16 @@ def _near_dedup(docs: DataFrame, config: NearDedupConfig, id_col: str, text_col:
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", 1 + width * k, width)) for k in range(config.bands)])
     banded = groups.select("rep", F.explode(keys).alias("key"))
     many = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = staged(banded.join(many, "key"), "buckets")
+    buckets = attach_group(banded, many, "key", "n", groups.count() * config.bands)
+    buckets = staged(buckets.where("n IS NOT NULL"), "buckets")
+    n_placed = buckets.count()
     # The node with the most company over all its buckets is the middle of its group: what was copied, not a copy.
     members = staged(buckets.groupBy("rep").agg(F.sum("n").alias("company")), "bucket-members")
     sets = staged(full_sets(keep_ids(slim, members.select("rep"), "doc_id", members.count()), config), "shingle-sets")
 
     placed = buckets.join(members, "rep")
-    middle = placed.groupBy("key").agg(F.max(F.struct("company", -F.col("rep"))).getField("col2").alias("hub"))
-    starred = placed.join(middle.select("key", (-F.col("hub")).alias("hub")), "key").where("rep <> hub")
+    middle = placed.groupBy("key").agg((-F.max(F.struct("company", -F.col("rep"))).getField("col2")).alias("hub"), F.count("*").alias("size"))
+    starred = attach_group(placed, middle, "key", "size", n_placed).where("rep <> hub")
     tested = staged(starred.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     likely = staged(screen(tested, reps, config), "screened")
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a"))
@@ -254,33 +259,37 @@ def _near_dedup(docs: DataFrame, config: NearDedupConfig, id_col: str, text_col:
 
     parts = joined(confirm(apart(likely), sets, config))
 
-    def split(rows: DataFrame) -> DataFrame:
+    def split(rows: DataFrame, total: int) -> DataFrame:
         """Rows (key, rep, n) of buckets whose nodes are in several components so far, with their component."""
         here = rows.join(parts, rows["rep"] == parts["node"], "left").select(*rows.columns, F.coalesce("component", "rep").alias("part"))
-        several = here.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-        return here.join(several, "key", "left_semi")
+        several = here.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where("p <> q")
+        return in_groups(here, several, "key", "size", total)
 
-    left = staged(split(buckets).select("rep").distinct(), "open-nodes")
+    left = staged(split(buckets, n_placed).select("rep").distinct(), "open-nodes")
     open_ = staged(rare_prefixes(sets.join(left, F.col("doc_id") == F.col("rep"), "left_semi"), config), "rare-buckets")
     # In a bucket of n nodes, a round takes those whose hashed place is below hubs / n; the last takes all.
     place = F.pmod(F.xxhash64("rep", F.lit(config.seed)), F.lit(1 << 40)) / float(1 << 40)
-    done, now = 0, config.hubs
+    # A bucket's members are dealt to as many parts as it has shares of config.deal, and its hubs go to each part.
+    shares = F.ceil(F.col("n") / config.deal).cast("int")
+    share = F.pmod(F.xxhash64("rep", F.lit(config.seed + 1)), shares).cast("int")
+    done, now, total = 0, config.hubs, open_.count()
     while True:
-        here = staged(split(open_).where(F.col("n") > done).withColumn("place", place), "open-buckets")
-        if here.isEmpty():
+        here = staged(split(open_, total).where(F.col("n") > done).select("*", place.alias("place"), share.alias("share")), "open-buckets")
+        total = here.count()
+        if not total:
             break
         hub = here.where((F.col("place") * F.col("n") >= done) & (F.col("place") * F.col("n") < now))
-        hub = hub.select("key", F.col("rep").alias("h"), F.col("place").alias("hp"), F.col("part").alias("hq"), F.col("k").alias("hk"), F.col("at").alias("ha"))
+        hub = hub.select("key", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.col("rep").alias("h"), F.col("place").alias("hp"), F.col("part").alias("hq"), F.col("k").alias("hk"), F.col("at").alias("ha"))
         # If this shingle is the first that both have, they share as many more as the shorter rest holds, at most.
         most = (F.least(F.col("k") - F.col("at"), F.col("hk") - F.col("ha")) + 1) * (100 + config.percent)
-        pairs = here.join(hub, "key").where("part <> hq AND (place > hp OR (place = hp AND rep > h))").where(most >= (F.col("k") + F.col("hk")) * config.percent)
+        pairs = here.join(hub, ["key", "share"]).where("part <> hq AND (place > hp OR (place = hp AND rep > h))").where(most >= (F.col("k") + F.col("hk")) * config.percent)
         pairs = pairs.select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b")).distinct()
         pairs = staged(pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
         parts = joined(confirm(screen(pairs, reps, config), sets, config))
         tested = staged(tested.unionByName(pairs), "pairs")
         open_, done, now = here.select("key", "rep", "n", "k", "at"), now, now * 16
     classes = groups.select("set_hash", "size", "rep").join(parts, F.col("rep") == F.col("node"), "left")
-    classes = staged(classes.select("set_hash", "size", F.coalesce("component", "rep").alias("class_id")), "classes")
+    classes = staged(classes.select("set_hash", "size", F.coalesce("component", "rep").alias("class_id")), "classes", keep=True)
     nodes = sig.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "set_hash")
     named = attach_group(nodes, classes, "set_hash", "size", nodes.count()).select("doc_id", "n_shingles", F.col("class_id").alias("component_id"))
     alone = sig.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
