@@ -3,31 +3,33 @@
 from __future__ import annotations
 
 import bisect
-import hashlib
 import math
 import re
 from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .common import scratch, staged
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Weak parts: an identity, an endpoint, a secret value without a name.
-IDENTITY = re.compile(r"\b(?:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._+-]{3,128})", re.I | re.A)
+IDENTITY = re.compile(r"\b(?:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._+-]{3,})", re.I | re.A)
 IDENTITY_HINT = re.compile(r"user|login|client|account|access", re.I | re.A)
 ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9][A-Za-z0-9.:_@-]*[A-Za-z0-9/]|\barn:aws:[a-z0-9-]+:[A-Za-z0-9:/_.-]+", re.A)
 #: A run of any length; '=' may stand before it, as in NAME=value, and pads its end.
 VALUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 #: Order of kinds at one start.
 KINDS = ("assign", "access", "hex", "identity", "endpoint", "value")
-PLACE = {k: i for i, k in enumerate(KINDS)}
+#: What a part of a credential can be for another part: a secret, an identity or an endpoint.
+ROLES = {"assign": "secret", "hex": "secret", "value": "secret", "access": "who", "identity": "who", "endpoint": "where"}
 
 
 @dataclass(frozen=True)
@@ -58,77 +60,97 @@ def _weak_value(s: str, config: SecretConfig) -> bool:
     return any(c.isdigit() for c in s) and any(c.islower() for c in s) and any(c.isupper() for c in s) and _entropy(s) >= config.entropy
 
 
-class _Near:
-    """Sorted intervals of one sort, asked whether one lies within reach in the same scope."""
+def _meets(spans: list[tuple[int, int]]):
+    """Whether an interval overlaps one of some spans that do not overlap each other."""
+    starts, ends = [s for s, _ in spans], [e for _, e in spans]
 
-    def __init__(self, spans: list[tuple[int, int]], scopes: list[int], reach: int):
-        self.spans = sorted(spans)
-        self.starts = [s for s, _ in self.spans]
-        self.scopes, self.reach = scopes, reach
-        self.ends = []
-        for _, e in self.spans:
-            self.ends.append(max(e, self.ends[-1]) if self.ends else e)
+    def meets(start: int, end: int) -> bool:
+        i = bisect.bisect_left(starts, end)
+        return i > 0 and ends[i - 1] > start
 
-    def __call__(self, start: int, end: int) -> bool:
-        k = bisect.bisect_right(self.scopes, start)
-        low = max(start - self.reach, self.scopes[k - 1] if k else 0)
-        high = min(end + self.reach + 1, self.scopes[k] if k < len(self.scopes) else end + self.reach + 1)
-        i = bisect.bisect_left(self.starts, start)
-        after = i < len(self.starts) and self.starts[i] < high
-        return after or (i > 0 and self.ends[i - 1] > low)
+    return meets
 
 
-def find_secrets(text: str | None, config: SecretConfig = SecretConfig()) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of every reported span, by start, then kind.
-
-    A weak identity is reported when a secret of any kind lies within reach in its scope, a weak value when an
-    identity or endpoint does, an endpoint when both do.  Each sort is a sorted list of intervals, so linking is
-    an interval join that takes a binary search a candidate, however many candidates a text has.
-    """
+def parts(text: str | None, config: SecretConfig = SecretConfig()) -> list[tuple[int, int, str, int]]:
+    """(start, end, kind, scope) of the plain kinds and of weak parts that stand clear of them; a blank line starts
+    a new scope."""
     if not text:
         return []
     base = base_spans(text)
-    found = list(base)
     ends = [(m.start(), m.end()) for m in ENDPOINT.finditer(text)] if "://" in text or "arn:aws:" in text else []
     ids = [(m.start(), m.end()) for m in IDENTITY.finditer(text)] if IDENTITY_HINT.search(text) else []
-    access = [(s, e) for s, e, k in base if k == "access"]
-    if ends or ids or access:
-        strong = sorted((s, e) for s, e, _ in base)
-        taken = _Near(strong, [], 0)
-        free = lambda s, e: not taken(s, e - 1)
-        values = [(m.start(), m.end()) for m in VALUE.finditer(text) if _weak_value(m.group(), config) and free(m.start(), m.end())]
-        values = [v for v in values if not any(s <= v[0] < e for s, e in ends)]
-        named = _Near(ids, [], 0)  # NAME=value of an identity is not its own secret
-        values = [v for v in values if text[v[0] - 1 : v[0]] != "=" or not named(v[0], v[1] - 1)]
-        scopes = [m.end() for m in re.finditer(r"\n[\x20\t\r]*\n", text)]
-        near = lambda spans: _Near(spans, scopes, config.reach)
-        secret = near(values + [(s, e) for s, e, k in base if k in ("assign", "hex")])
-        who, where = near(ids + access), near(ends)
-        found += [(*x, "identity") for x in ids if secret(*x) and free(*x)]
-        found += [(*x, "value") for x in values if who(*x) or where(*x)]
-        found += [(*x, "endpoint") for x in ends if secret(*x) and who(*x) and free(*x)]
-    return sorted(found, key=lambda x: (x[0], PLACE[x[2]], x[1]))
-
-
-def joined(spans: list[tuple[int, int, str]]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
+    weak: list[tuple[int, int, str]] = []
+    if ends or ids or any(k == "access" for *_, k in base):
+        plain = [_meets([(s, e) for s, e, k in base if k == kind]) for kind in KINDS[:3]]
+        clear = lambda s, e: not any(meets(s, e) for meets in plain)
+        in_end, named = _meets(ends), _meets(ids)
+        weak += [(s, e, "identity") for s, e in ids if clear(s, e)]
+        weak += [(s, e, "endpoint") for s, e in ends if clear(s, e)]
+        for m in VALUE.finditer(text):
+            s, e = m.span()
+            own = text[s - 1 : s] == "=" and named(s, e)  # NAME=value of an identity is not its own secret
+            if not own and _weak_value(m.group(), config) and clear(s, e) and not in_end(s, s + 1):
+                weak.append((s, e, "value"))
+    scopes = [m.end() for m in re.finditer(r"\n[\x20\t\r]*\n", text)] if weak else []
+    return [(s, e, k, bisect.bisect_right(scopes, s)) for s, e, k in base + weak]
+
+
+def linked(found: DataFrame, config: SecretConfig) -> DataFrame:
+    """(row, start, end, kind) of the weak parts that complementary parts complete: an interval join of all parts of a
+    row's scope within reach of each other.
+
+    A part is dealt to the buckets of text that it covers, with reach on both sides for the one that asks, so the
+    join's key is (row, scope, bucket) and a pair is met only near its place, however many parts a text has.
+    """
+    each = found.select("row", F.explode("parts").alias("p")).select("row", "p.*")
+    role = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])[F.col("kind")]
+    width = config.reach + 1
+    bucket = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
+    asking = each.where(F.col("kind").isin(*KINDS[3:])).withColumn("bucket", bucket(F.col("start") - config.reach, F.col("end") + config.reach))
+    there = each.select("row", "scope", F.col("start").alias("s"), F.col("end").alias("e"), role.alias("role"), bucket(F.col("start"), F.col("end")).alias("bucket"))
+    near = asking.join(there, ["row", "scope", "bucket"]).where((F.col("s") <= F.col("end") + config.reach) & (F.col("e") > F.col("start") - config.reach))
+    has = lambda name: F.bool_or(F.col("role") == name).alias(name)
+    roles = near.groupBy("row", "start", "end", "kind").agg(has("secret"), has("who"), has("where"))
+    kept = F.when(F.col("kind") == "identity", F.col("secret")).when(F.col("kind") == "value", F.col("who") | F.col("where")).otherwise(F.col("secret") & F.col("who"))
+    return roles.where(kept).select("row", "start", "end", "kind")
 
 
 def scan_secrets(docs: DataFrame, config: SecretConfig = SecretConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, spans (array of start, end, kind in code points), in one pass without a shuffle.
+    """One row per input row: doc_id, spans (array of start, end, kind in code points, by start, then kind).
 
-    NULL text is empty and has no spans; NULL ids and repeated rows are kept; an empty table gives an empty
-    result; other columns are ignored.
+    A weak identity is reported when a secret of any kind lies within reach in its scope, a weak value when an
+    identity or endpoint does, an endpoint when both do.  Workers only find parts; rows with weak parts, few of all,
+    are linked by a join.  NULL text is empty and has no spans; NULL ids and repeated rows are kept; an empty table
+    gives an empty result; other columns are ignored.
     """
-    ship_package(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_package(spark)
 
     def run(batches):
+        row = TaskContext.get().partitionId() << 40
         for pdf in batches:
-            spans = [[{"start": s, "end": e, "kind": k} for s, e, k in find_secrets(t, config)] for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "spans": spans})
+            found = [[{"start": s, "end": e, "kind": k, "scope": c} for s, e, k, c in parts(t, config)] for t in pdf["text"]]
+            yield pd.DataFrame({"row": range(row, row + len(pdf)), "doc_id": pdf["doc_id"].astype("Int64"), "parts": found})
+            row += len(pdf)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(run, "doc_id long, spans array<struct<start:long,end:long,kind:string>>")
+    found = slim.mapInPandas(run, "row long, doc_id long, parts array<struct<start:long,end:long,kind:string,scope:long>>")
+    with scratch(spark):
+        found = staged(found, "secret-parts", keep=True)
+        weak = F.exists("parts", lambda x: x["kind"].isin(*KINDS[3:]))
+        more = linked(found.where(weak), config).groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("more"))
+        plain = F.transform(F.filter("parts", lambda x: x["kind"].isin(*KINDS[:3])), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+        alone = found.where(~weak).select("doc_id", plain.alias("all"))
+        joined = found.where(weak).join(staged(more, "secret-links", keep=True), "row", "left")
+        joined = joined.select("doc_id", F.concat(plain, F.coalesce("more", F.array().cast("array<struct<start:long,end:long,kind:string>>"))).alias("all"))
+    return alone.unionByName(joined).select("doc_id", _in_order(F.col("all")).alias("spans"))
+
+
+def _in_order(spans: Column) -> Column:
+    """Spans by start, then by the kinds' order, then by end."""
+    place = lambda x: F.array_position(F.array(*map(F.lit, KINDS)), x["kind"])
+    keyed = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), place(x).alias("place"), x["end"].alias("end"), x["kind"].alias("kind")))
+    return F.transform(F.sort_array(keyed), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
 
 
 def secret_digest(found: DataFrame) -> DataFrame:
@@ -141,6 +163,3 @@ def secret_digest(found: DataFrame) -> DataFrame:
         F.sha2(text(plain), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"),
     )
 
-
-def digest_of(text: str | None) -> str:
-    return hashlib.sha256(joined([x for x in find_secrets(text) if x[2] in KINDS[:3]]).encode()).hexdigest()
