@@ -1,4 +1,5 @@
-"""Recurring lines dropped by templates: a fixed-depth tree over token counts and leading tokens."""
+"""Recurring lines dropped by templates: a fixed-depth tree over token counts and leading tokens, split further until
+lines agree."""
 
 from __future__ import annotations
 
@@ -7,27 +8,32 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACE, staged
+from .common import SPACE, attach_group, in_groups, scratch, staged
 
 ANY = "<*>"
 #: A token with a digit in it, from its first character on.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: Texts without any of this have only lines that masking leaves as they are.
+MASKABLE = r"[0-9\x09\x0B-\x0D]|  |(?:^|\n) | (?:\n|$)"
+#: Places of dropped lines that may be broadcast, at 16 bytes each.
+BROADCAST_PLACES = 1_000_000
 
 
 @dataclass(frozen=True)
 class TemplateConfig:
     """A leaf is a token count and the first depth tokens, with ANY for tokens that hold a digit.
 
-    A leaf's template has at each place the token that at least `share` of its lines have, else ANY.  A line
-    belongs to it if at least `similar` of its tokens are the template's own.  What min_docs documents share, as
-    the same masked line or as lines of one template, is recurring; shorter lines than min_tokens never are.
+    A node, at first a leaf, is a template if its lines have one token at `similar` of their places or more; it is
+    recurring if min_docs documents share it.  Another node is split at the place where most lines have a token that
+    min_docs documents share there: each such token makes a node, and the other lines make one more.  A masked line
+    that min_docs documents share is recurring as well, and one of long_tokens tokens that long_docs share.
     """
 
     depth: int = 4
-    share: float = 0.5
     similar: float = 0.7
     min_docs: int = 10
-    min_tokens: int = 4
+    long_tokens: int = 50
+    long_docs: int = 2
 
 
 def masked(line: Column) -> Column:
@@ -36,38 +42,94 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(bare, VARIABLE, ANY)).otherwise(bare)
 
 
-def _lines(docs: DataFrame, config: TemplateConfig) -> DataFrame:
-    """row, leaf, line: the distinct masked lines of each document that are long enough."""
-    text = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    each = docs.select("row", F.explode(F.array_distinct(F.transform(text, masked))).alias("line"))
-    n = F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return each.select("row", "line", F.concat_ws(" ", n, F.substring_index("line", " ", config.depth)).alias("leaf")).where(n >= config.min_tokens)
+def _key(line: Column) -> Column:
+    """128 bits that stand for a masked line."""
+    return F.struct(F.xxhash64(line).alias("x"), F.xxhash64(F.lit(1), line).alias("y"))
 
 
-def recurring(lines: DataFrame, config: TemplateConfig) -> tuple[DataFrame, DataFrame]:
-    """(line) to drop, and (leaf, template, n_docs), of lines (row, leaf, line).
+def _n_tokens(line: Column) -> Column:
+    return F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
-    Only leaves that min_docs documents share are looked at further.
+
+def mask_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, doc_id, text, masks (of the lines that masking changes, else NULL) and keys of all masked lines."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.select("*", F.when(F.col("text").rlike(MASKABLE), F.transform(F.split("text", "\n"), masked)).alias("m"))
+    lines = F.coalesce("m", F.split("text", "\n"))
+    rows = rows.select("row", "doc_id", "text", "m", F.transform(lines, _key).alias("keys"))
+    masks = F.transform("m", lambda x, i: F.nullif(x, F.get(F.split("text", "\n"), i)))
+    return rows.select("row", "doc_id", "text", masks.alias("masks"), "keys")
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """row, line, key: the distinct masked lines of each document that have a word."""
+    plain = F.split("text", "\n")
+    lines = F.when(F.col("masks").isNull(), plain).otherwise(F.zip_with("masks", plain, lambda m, x: F.coalesce(m, x)))
+    return rows.select("row", F.explode(F.array_distinct(lines)).alias("line")).where("line <> ''").select("row", "line", _key(F.col("line")).alias("key"))
+
+
+def _leaf(line: Column, config: TemplateConfig) -> Column:
+    return F.xxhash64(_n_tokens(line), F.substring_index(line, " ", config.depth))
+
+
+def tree_nodes(lines: DataFrame, config: TemplateConfig) -> DataFrame:
+    """(node, key) of the lines (node, key, tokens, n: their documents) that end in a template.
+
+    Every round splits all open nodes once.  Nodes that have too few documents, or too many places without a common
+    token, can never become templates and are closed; a split settles a place, so the rounds end.
     """
-    shared = lines.groupBy("leaf", "row").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("n"))
-    leaves = staged(shared.where(F.col("n") >= config.min_docs).select("leaf"), "leaves")
-    side = F.broadcast(leaves) if leaves.count() <= BROADCAST_ROWS // 4 else leaves
-    here = staged(lines.join(side, "leaf", "left_semi"), "leaf-lines")
-    each = staged(here.groupBy("leaf", "line").agg(F.count("*").alias("n_docs")), "distinct-lines")
-    same = each.where(F.col("n_docs") >= config.min_docs).select("line")
-    tokens = each.select("leaf", "n_docs", F.posexplode(F.split("line", " ")).alias("place", "token"))
-    tokens = tokens.groupBy("leaf", "place", "token").agg(F.sum("n_docs").alias("n"))
-    top = tokens.groupBy("leaf", "place").agg(F.min(F.struct((-F.col("n")).alias("n"), "token")).alias("best"), F.sum("n").alias("all"))
-    fixed = F.when(-F.col("best.n") >= config.share * F.col("all"), F.col("best.token")).otherwise(F.lit(ANY))
-    templates = top.select("leaf", F.struct("place", fixed.alias("token")).alias("t")).groupBy("leaf").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    templates = templates.select("leaf", F.transform("t", lambda t: t["token"]).alias("template"))
-    own = lambda t, x: (t == x) & (t != ANY)
-    agree = F.size(F.filter(F.zip_with("template", F.split("line", " "), own), lambda x: x))
-    like = staged(each.join(templates, "leaf").where(agree >= config.similar * F.size("template")).select("leaf", "line"), "like-template")
-    support = here.join(like, ["leaf", "line"], "left_semi").groupBy("leaf", "row").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("n_docs"))
-    support = staged(support.where(F.col("n_docs") >= config.min_docs), "templates")
-    drop = same.unionByName(like.join(support, "leaf", "left_semi").select("line")).distinct()
-    return staged(drop, "dropped-lines"), support.join(templates, "leaf")
+    open_, done = lines, None
+    while True:
+        total, = open_.agg(F.count("*")).first()
+        if not total:
+            break
+        each = open_.select("node", "n", F.posexplode("tokens").alias("place", "token"))
+        cells = staged(each.groupBy("node", "place", "token").agg(F.sum("n").alias("n"), F.count("*").alias("lines")), "template-cells")
+        often = F.col("n") >= config.min_docs
+        places = cells.groupBy("node", "place").agg(
+            F.count("*").alias("kinds"), F.sum("n").alias("docs"), F.sum("lines").alias("lines"), F.coalesce(F.sum(F.when(often, F.col("n"))), F.lit(0)).alias("cover"))
+        one, none = F.col("kinds") == 1, (F.col("kinds") > 1) & (F.col("cover") == 0)
+        nodes = places.groupBy("node").agg(
+            F.count("*").alias("size"), F.max("docs").alias("docs"), F.max("lines").alias("lines"), F.sum(one.cast("long")).alias("fixed"), F.sum(none.cast("long")).alias("loose"),
+            F.max(F.when(~one & ~none, F.struct("cover", (-F.col("place")).alias("p")))).alias("best"))
+        whole = F.col("fixed") >= config.similar * F.col("size")
+        alive = (F.col("docs") >= config.min_docs) & ((F.col("size") - F.col("loose")) >= config.similar * F.col("size"))
+        nodes = staged(nodes.where(alive).select("node", "lines", whole.alias("whole"), (-F.col("best.p")).alias("split")).where("whole OR split IS NOT NULL"), "template-nodes")
+        here = attach_group(open_, nodes, "node", "lines", total).where("whole IS NOT NULL").drop("lines")
+        ended = staged(here.where("whole").select("node", "key"), "template-lines")
+        done = ended if done is None else done.unionByName(ended)
+        child = here.where("NOT whole").withColumn("child", F.xxhash64("node", "split", F.get("tokens", F.col("split"))))
+        wide = cells.where(often).join(nodes.where("NOT whole").select("node", "split"), "node").where("place = split")
+        wide = wide.select(F.xxhash64("node", "split", "token").alias("child"), F.col("lines").alias("__lines"), F.lit(True).alias("common"))
+        child = attach_group(child.select("child", "node", "split", "key", "tokens", "n"), wide, "child", "__lines", total)
+        rest = F.xxhash64("node", "split")
+        open_ = staged(child.select(F.when(F.col("common"), F.col("child")).otherwise(rest).alias("node"), "key", "tokens", "n"), "template-open")
+    return lines.select("node", "key").limit(0) if done is None else done
+
+
+def recurring(rows: DataFrame, config: TemplateConfig = TemplateConfig()) -> DataFrame:
+    """(key, n_docs) of the masked lines to drop, of mask_lines' rows."""
+    keys = rows.select("row", F.explode(F.array_distinct("keys")).alias("key")).where(F.col("key") != _key(F.lit("")))
+    shared = staged(keys.groupBy("key").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min(config.long_docs, config.min_docs)), "shared-lines")
+    same = shared.where(F.col("n_docs") >= config.min_docs)
+    lines = _lines(rows)
+    n = _n_tokens(F.col("line"))
+    some = in_groups(lines.where(n >= config.long_tokens).select("key"), shared.where(F.col("n_docs") >= config.long_docs), "key", "n_docs", rows.count())
+    same = staged(same.unionByName(shared.join(some.distinct(), "key", "left_semi")).distinct(), "same-lines")
+    # A leaf no longer than the tree is deep has one line, so only longer ones are looked at further.
+    deep = lines.where(n > config.depth).select("row", "key", "line", _leaf(F.col("line"), config).alias("node"))
+    leaves = deep.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") >= config.min_docs)
+    n_lines = keys.count()
+    here = staged(in_groups(deep, staged(leaves, "leaves"), "node", "size", n_lines), "leaf-lines")
+    each = here.groupBy("node", "key").agg(F.first("line").alias("line"), F.count("*").alias("n"))
+    each = staged(each.select("node", "key", F.split("line", " ").alias("tokens"), "n"), "distinct-lines")
+    ended = staged(tree_nodes(each, config).select(F.col("node").alias("template"), "key"), "template-members")
+    held = each.select("key", "n").join(ended, "key")
+    member = attach_group(here.select("row", "key"), held, "key", "n", n_lines).where("template IS NOT NULL")
+    support = member.groupBy("template", "row").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= config.min_docs)
+    like = held.join(support, "template", "left_semi").select("key", F.col("n").alias("n_docs"))
+    return same.unionByName(like).groupBy("key").agg(F.max("n_docs").alias("n_docs"))
 
 
 def drop_recurring_lines(docs: DataFrame, config: TemplateConfig = TemplateConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,15 +137,22 @@ def drop_recurring_lines(docs: DataFrame, config: TemplateConfig = TemplateConfi
 
     All lines of a recurring template go, in every document.  NULL text becomes the empty text; repeated rows
     count as documents each; NULL ids are kept; an empty table gives an empty result; other columns are ignored.
+    Rows are numbered in a written table, so a lost executor cannot number them anew, and lines are masked once;
+    later steps meet lines by their keys, and only places of dropped lines come back to the texts.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    drop, _ = recurring(staged(_lines(numbered, config), "lines"), config)
-    side = drop.select(F.col("line").alias("key"), F.lit(True).alias("hit"))
-    side = F.broadcast(side) if drop.count() <= BROADCAST_ROWS // 20 else side
-    lines = numbered.select("row", "doc_id", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("place", "line"))
-    lines = lines.withColumn("key", masked(F.col("line"))).join(side, "key", "left")
-    hit = F.coalesce("hit", F.lit(False))
-    kept = F.sort_array(F.collect_list(F.when(~hit, F.struct("place", "line"))))
-    return lines.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.sum((F.col("key") != "").cast("long")).alias("n_lines"), F.sum(hit.cast("long")).alias("n_dropped"), kept.alias("kept")
-    ).select("doc_id", "n_lines", "n_dropped", F.array_join(F.transform("kept", lambda x: x["line"]), "\n").alias("text"))
+    with scratch(docs.sparkSession):
+        rows = staged(mask_lines(docs, id_col, text_col), "masked-lines", keep=True)
+        drop = staged(recurring(rows, config), "dropped-lines")
+        each = rows.select("row", F.posexplode("keys").alias("place", "key"))
+        total = rows.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+        hits = in_groups(each, drop, "key", "n_docs", total).groupBy("row").agg(F.collect_list("place").alias("places"))
+        hits = staged(hits, "dropped-places", keep=True)
+        n_places = hits.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    side = F.broadcast(hits) if n_places <= BROADCAST_PLACES else hits
+    n_lines = F.size(F.filter("keys", lambda k: k != _key(F.lit("")))).cast("long")
+    lines = F.split("text", "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("places", F.array().cast("array<int>")))
+    text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    none = F.col("places").isNull()
+    return rows.join(side, "row", "left").select(
+        "doc_id", n_lines.alias("n_lines"), F.when(none, F.lit(0)).otherwise(F.size("places")).cast("long").alias("n_dropped"), F.when(none, F.col("text")).otherwise(text).alias("text"))
