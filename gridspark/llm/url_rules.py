@@ -30,6 +30,9 @@ RULES = (
 )
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
+BASE = r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+#: What a browser does not read as markup.
+UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title)\b.*?(?:</\1\s*>|\z)"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -86,12 +89,14 @@ def resolved(base: Column, link: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): nodes joined by any canonical link or refresh in the html."""
+    """(a, b): nodes joined by any canonical link or refresh in the html, outside comments and scripts."""
     clean = lambda x: F.replace(x, F.lit("&amp;"), F.lit("&"))
     links = F.concat(*[F.transform(F.regexp_extract_all("html", F.lit(p), F.lit(1)), clean) for p in (CANONICAL, REFRESH)])
     has = F.col("html").rlike(r"(?i)canonical|refresh")
-    each = pages.where(has).select("url", F.explode(links).alias("link")).where("link <> ''")
-    return each.select(node(F.col("url")).alias("a"), node(resolved(F.col("url"), F.col("link"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    read = pages.where(has).select("url", F.regexp_replace("html", UNREAD, " ").alias("html"))
+    base = F.nullif(clean(F.regexp_extract("html", BASE, 1)), F.lit(""))
+    each = read.select("url", F.coalesce(resolved(F.col("url"), base), "url").alias("base"), F.explode(links).alias("link")).where("link <> ''")
+    return each.select(node(F.col("url")).alias("a"), node(resolved(F.col("base"), F.col("link"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
 
 
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
