@@ -8,13 +8,14 @@ from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import attach_group, staged
+from .common import ascii_lower, attach_group, scratch, staged
 
-# Short notices and headers by which licences are named.
+# Short notices, licence texts and headers by which licences are named.
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
@@ -31,12 +32,22 @@ TEMPLATES: list[tuple[str, str]] = [
     ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
+    ("Proprietary", "All rights reserved."),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
 ]
-TERM = re.compile(r"[a-z0-9]+")
-#: Texts without any of these words have no licence.
-ANCHOR = re.compile(r"licen[sc]e|copyright|permission|permitted|reserved|public domain|redistribut|spdx", re.I | re.A)
+#: Terms are runs of these after A-Z are lowered, in every step and in both languages.
+TERM = "[a-z0-9]+"
+_TERM, _LOWER = re.compile(TERM), {c: c + 32 for c in range(65, 91)}
+#: Ends a sentence within a line.
+STOP = re.compile(r"[.!?](?=[\x20\t])")
 
 
 @dataclass(frozen=True)
@@ -47,70 +58,90 @@ class LicenseConfig:
 
 
 def terms(text: str) -> list[str]:
-    return TERM.findall(text.lower())
-
-
-class Templates:
-    """TF-IDF vectors of the templates by term; a term outside them weighs as one seen in a single document."""
-
-    def __init__(self, templates: list[tuple[str, str]], df: dict[str, int], n_docs: int):
-        idf = lambda t: math.log((1 + n_docs) / (1 + df.get(t, 0))) + 1.0
-        self.names = [name for name, _ in templates]
-        self.idf = {t: idf(t) for _, text in templates for t in terms(text)}
-        self.other = math.log((1 + n_docs) / 2) + 1.0
-        self.postings: dict[str, list[tuple[int, float]]] = {}
-        for k, (_, text) in enumerate(templates):
-            tf = Counter(terms(text))
-            norm = math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in tf.items()))
-            for t, n in tf.items():
-                self.postings.setdefault(t, []).append((k, n * self.idf[t] / norm))
-
-    def best(self, words: list[str]) -> tuple[float, str]:
-        """Highest cosine and its licence; ties go to the first template."""
-        tf, dots, square = Counter(words), {}, 0.0
-        for t, n in tf.items():
-            w = n * self.idf.get(t, self.other)
-            square += w * w
-            for k, v in self.postings.get(t, ()):
-                dots[k] = dots.get(k, 0.0) + w * v
-        if not dots:
-            return 0.0, ""
-        k = max(dots, key=lambda i: (dots[i], -i))
-        return dots[k] / math.sqrt(square), self.names[k]
+    return _TERM.findall(text.translate(_LOWER))
+
+
+def terms_of(text: Column) -> Column:
+    return F.regexp_extract_all(ascii_lower(text), F.lit(TERM), F.lit(0))
+
+
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(term, df) over all documents."""
+    return docs.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def idf(df: Column, n_docs: int) -> Column:
+    return F.ln((1.0 + n_docs) / (1.0 + df)) + 1.0
+
+
+def template_vectors(templates: list[tuple[str, str]], weight: dict[str, float]) -> list[dict[str, float]]:
+    """Each template's unit vector of term weights."""
+    out = []
+    for _, text in templates:
+        v = {t: n * weight[t] for t, n in Counter(terms(text)).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        out.append({t: x / norm for t, x in v.items()} if norm else {})
+    return out
+
+
+def anchors(vectors: list[dict[str, float]], cosine: float) -> list[str]:
+    """Terms of which every passage with this cosine to a template holds one: of each template its heaviest terms,
+    until what is left is too short to reach the cosine on its own."""
+    out: set[str] = set()
+    for v in vectors:
+        rest = sum(x * x for x in v.values())
+        for t in sorted(v, key=lambda t: (-v[t], t)):
+            if rest < (cosine - 1e-9) ** 2:
+                break
+            out.add(t)
+            rest -= v[t] * v[t]
+    return sorted(out)
 
 
 def passages(text: str) -> list[tuple[int, int]]:
-    """(start, end) of every line, and of every paragraph of several lines."""
+    """(start, end) of every line, of the sentences of a line that has several, and of paragraphs of several lines."""
     out, start, lines = [], 0, []
-    for line in text.split("\n"):
+    for line in [*text.split("\n"), ""]:
         if line.strip():
             lines.append((start, start + len(line)))
+            cuts = [start, *(m.end() for m in STOP.finditer(text, start, start + len(line))), start + len(line)]
+            out += [(a, b) for a, b in zip(cuts, cuts[1:]) if text[a:b].strip()] if len(cuts) > 2 else []
         else:
             out += lines + ([(lines[0][0], lines[-1][1])] if len(lines) > 1 else [])
             lines = []
         start += len(line) + 1
-    return out + lines + ([(lines[0][0], lines[-1][1])] if len(lines) > 1 else [])
-
-
-def find_license(text: str, model: Templates, config: LicenseConfig) -> tuple[str | None, float, int, int, bool]:
-    """(licence, cosine, start, end, is a licence file) of the passage nearest to a template."""
-    if not text or not ANCHOR.search(text):
-        return None, 0.0, 0, 0, False
-    best, covered = (0.0, "", 0, 0), []
-    for a, b in passages(text):
-        if ANCHOR.search(text, a, b):
-            score, name = model.best(terms(text[a:b]))
-            if score >= config.cosine:
-                covered.append((a, b))
-                if score > best[0]:
-                    best = (score, name, a, b)
-    if not covered:
-        return None, 0.0, 0, 0, False
-    inside, end = 0, 0
-    for a, b in sorted(covered):
-        inside += len(terms(text[max(a, end) : b])) if b > end else 0
-        end = max(end, b)
-    return best[1], best[0], best[2], best[3], inside >= config.file_share * len(terms(text))
+    return out
+
+
+def match_passages(found: DataFrame, df: DataFrame, vectors: list[dict[str, float]], names: list[str], n_docs: int, config: LicenseConfig) -> DataFrame:
+    """row, license, score, start, end, covered (terms in licence passages) of rows (row, passages) that have any.
+
+    Passages become rows of term counts, which take document frequencies by a join; one aggregate then gives a
+    passage's norm and its dot products with all templates.
+    """
+    spark = found.sparkSession
+    each = found.select("row", F.explode("passages").alias("p")).select("row", "p.start", "p.end", "p.text")
+    counted = each.select("row", "start", "end", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("row", "start", "end", "term").agg(F.count("*").alias("tf"))
+    counted = staged(counted, "license-terms")
+    groups = counted.groupBy("term").agg(F.count("*").alias("uses")).join(df, "term")
+    weighted = attach_group(counted, groups, "term", "uses", counted.count()).withColumn("w", F.col("tf") * idf(F.col("df"), n_docs))
+    by_term = sorted({t for v in vectors for t in v})
+    table = spark.createDataFrame([(t, [v.get(t, 0.0) for v in vectors]) for t in by_term], "term string, v array<double>")
+    weighted = weighted.join(F.broadcast(table), "term", "left")
+    dots = [F.sum(F.col("w") * F.coalesce(F.get("v", F.lit(k)), F.lit(0.0))) for k in range(len(vectors))]
+    square = F.sqrt(F.sum(F.col("w") * F.col("w")))
+    scored = weighted.groupBy("row", "start", "end").agg(F.sum("tf").alias("n"), F.array(*[F.round(d / square, 9) for d in dots]).alias("s"))
+    top = F.array_max("s")
+    scored = scored.select("row", "start", "end", "n", top.alias("score"), F.array_position("s", top).alias("k")).where(F.col("score") >= config.cosine)
+    # Passages of a text are nested or apart, so those that no other one holds cover all of them, each term once.
+    spans = F.sort_array(F.collect_list(F.struct("start", (-F.col("end")).alias("back"), "n")))
+    outer = F.aggregate(
+        spans, F.struct(F.lit(-1).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
+        lambda s, x: F.struct(F.greatest(s["end"], -x["back"]).alias("end"), (s["n"] + F.when(-x["back"] > s["end"], x["n"]).otherwise(0)).alias("n")), lambda s: s["n"])
+    first = F.min(F.struct((-F.col("score")).alias("score"), "k", "start", "end"))
+    per = scored.groupBy("row").agg(first.alias("x"), outer.alias("covered"))
+    licence = F.element_at(F.array(*map(F.lit, names)), F.col("x.k").cast("int"))
+    return per.select("row", licence.alias("license"), (-F.col("x.score")).alias("score"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), "covered")
 
 
 def directory(path: Column) -> Column:
@@ -138,7 +169,7 @@ def inherit(found: DataFrame) -> DataFrame:
     folders = staged(found.groupBy("dir").agg(F.count("*").alias("n_files")), "directories")
     each = folders.select("dir", "n_files", F.explode(ancestors(F.col("dir"))).alias("above"))
     near = each.join(held, "above").groupBy("dir", "n_files").agg(F.max_by(F.struct("above", "dir_license"), F.length("above")).alias("x"))
-    near = staged(near.select("dir", "n_files", F.col("x.dir_license").alias("inherited_license"), F.col("x.above").alias("inherited_dir")), "inherited")
+    near = staged(near.select("dir", "n_files", F.col("x.dir_license").alias("inherited_license"), F.col("x.above").alias("inherited_dir")), "inherited", keep=True)
     return attach_group(found, near, "dir", "n_files", found.count())
 
 
@@ -146,37 +177,53 @@ def scan_licenses(docs: DataFrame, config: LicenseConfig = LicenseConfig(), temp
     """One row per input row: doc_id, path, dir, license, score, start, end, is_file, inherited_license,
     inherited_dir, final_license (its own, else the inherited one).
 
-    Inverse document frequencies of the templates' terms are counted over all documents.  NULL text has no
-    licence; a NULL path is at the root; NULL ids and repeated rows are kept; ties go to the first template, then
-    the earliest passage; an empty table gives an empty result; other columns are ignored.
+    A passage (a sentence, a line or a paragraph) is compared with the templates by the cosine of their term counts
+    weighted by inverse document frequency, which is counted over all documents for every term.  NULL text has no
+    licence; a NULL path is at the root; NULL ids and repeated rows are kept; of equal cosines (to nine places) the
+    first template, then the earliest and shortest passage counts; an empty table gives an empty result; other
+    columns are ignored.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    vocabulary = sorted({t for _, text in templates for t in terms(text)})
     path = F.coalesce(F.col(path_col), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), path.alias("path"))
+    with scratch(spark):
+        df = staged(document_frequencies(slim), "document-frequencies")
+        n_docs = slim.count()
+        vocabulary = sorted({t for _, text in templates for t in terms(text)})
+        seen = {r["term"]: r["df"] for r in df.where(F.col("term").isin(vocabulary)).collect()}  # at most the templates' terms
+        weight = {t: math.log((1.0 + n_docs) / (1.0 + seen.get(t, 0))) + 1.0 for t in vocabulary}
+        vectors = template_vectors(templates, weight)
+        found = staged(_anchored(slim, anchors(vectors, config.cosine)), "license-passages", keep=True)
+        best = match_passages(found.where(F.size("passages") > 0), df, vectors, [name for name, _ in templates], n_docs, config)
+        best = staged(best, "license-matches")
+        held = found.select("row", "doc_id", "path", "n_terms")
+        matched = held.join(best, "row")
+        unmatched = held.join(best.select("row"), "row", "left_anti")
+        is_file = F.col("covered") >= config.file_share * F.col("n_terms")
+        shown = [F.col("score"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), is_file.alias("is_file")]
+        matched = matched.select("doc_id", "path", "license", *shown)
+        zero = F.lit(0).cast("long")
+        unmatched = unmatched.select("doc_id", "path", F.lit(None).cast("string").alias("license"), F.lit(0.0).alias("score"), zero.alias("start"), zero.alias("end"), F.lit(False).alias("is_file"))
+        out = staged(matched.unionByName(unmatched).withColumn("dir", directory(F.col("path"))), "licenses", keep=True)
+        out = inherit(out)
+    return out.select(
+        "doc_id", "path", "dir", "license", "score", "start", "end", "is_file", "inherited_license", "inherited_dir", F.coalesce("license", "inherited_license").alias("final_license")
+    )
 
-    def count(batches):
-        known, seen, n = set(vocabulary), Counter(), 0
-        for pdf in batches:
-            for t in pdf["text"]:
-                n += 1
-                if t:
-                    seen.update(known.intersection(w.strip(".,;:()[]\"'-") for w in t.lower().split()))
-        yield pd.DataFrame({"term": ["", *seen], "n": [n, *seen.values()]})
 
-    df = {r["term"]: r["n"] for r in slim.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n_docs = df.pop("", 0)
+def _anchored(slim: DataFrame, wanted: list[str]) -> DataFrame:
+    """row, doc_id, path, n_terms and passages (start, end, text) with an anchor; only texts with one reach Python."""
+    words = "|".join(sorted(wanted, key=lambda t: (-len(t), t)))
+    anchored = F.col("text").rlike(f"(?<![A-Za-z0-9])(?i:{words})(?![A-Za-z0-9])") if wanted else F.lit(False)
+    rows = slim.select("doc_id", "path", F.when(anchored, F.col("text")).alias("text"))
 
     def run(batches):
-        model = Templates(templates, df, n_docs)
+        row, known = TaskContext.get().partitionId() << 40, set(wanted)
         for pdf in batches:
-            rows = [find_license(t, model, config) for t in pdf["text"]]
-            out = pd.DataFrame(rows, columns=["license", "score", "start", "end", "is_file"])
-            yield out.assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), path=pdf["path"].to_numpy())[["doc_id", "path", "license", "score", "start", "end", "is_file"]]
+            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+            spans = [[{"start": a, "end": b, "text": t[a:b]} for a, b in passages(t) if not known.isdisjoint(terms(t[a:b]))] if t else [] for t in texts]
+            yield pd.DataFrame({"row": range(row, row + len(pdf)), "doc_id": pdf["doc_id"].astype("Int64"), "path": pdf["path"], "n_terms": [len(terms(t)) if p else 0 for t, p in zip(texts, spans)], "passages": spans})
+            row += len(pdf)
 
-    found = slim.mapInPandas(run, "doc_id long, path string, license string, score double, start long, end long, is_file boolean")
-    found = staged(found.withColumn("dir", directory(F.col("path"))), "licenses")
-    return inherit(found).select(
-        "doc_id", "path", "dir", "license", "score", "start", "end", "is_file", "inherited_license", "inherited_dir", F.coalesce("license", "inherited_license").alias("final_license")
-    )
+    return rows.mapInPandas(run, "row long, doc_id long, path string, n_terms long, passages array<struct<start:long,end:long,text:string>>")
