@@ -81,19 +81,20 @@ class DigestIndex:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{k}")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, n_points): SHA-256 of the text without white space; NULL counts as empty."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, digest, n_points, the columns to carry): SHA-256 of the text without white space; NULL counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.regexp_replace(text, SPACE, "")
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.unhex(F.sha2(bare, 256)).alias("digest"),
         F.char_length(text).alias("n_points"),
+        *carry,
     )
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 and the columns to carry.
 
     Of equal texts in the batch the row with most code points, then the smallest id, stays (a NULL id is last);
     a text that the index already holds yields to the indexed id.  New digests are appended to the index.
@@ -104,7 +105,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     own = index is None
     index = index or DigestIndex(spark)
     with scratch(spark):
-        rows = staged(digests(docs, id_col, text_col), "digests", keep=True)
+        rows = staged(digests(docs, id_col, text_col, carry), "digests", keep=True)
         first = F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i")))
         best = staged(rows.groupBy("digest").agg(first.getField("i").alias("keep_id"), F.count("*").alias("group_size")), "digest-groups")
         known = index.read().select(F.col("digest").alias("known"))
@@ -117,5 +118,5 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     out = attach_group(rows, groups, "digest", "group_size", rows.count())
     return out.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        F.lower(F.hex("digest")).alias("text_sha256"), *carry,
     )

@@ -18,7 +18,7 @@ MOST = 3
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     n = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n.alias("size"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n.alias("size"), F.xxhash64(text_col).alias("text_key"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def apportion(units: DataFrame, group: list[str], key: list[str], claim: str, se
 
 
 def plan(sized: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, and times (how often each of its blocks is taken) with start,
+    """doc_id, text_key, source, size, source_size, target, taken, and times (how often each of its blocks is taken) with start,
     blocks and shard_size, which tell its words' blocks.
 
     A source's documents are dealt to shards and lie in a shard in seeded order as one stream of words, cut into
@@ -81,10 +81,10 @@ def plan(sized: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS, see
         F.greatest(F.lit(1), F.ceil(F.col("n_docs") / shard_docs)).cast("long").alias("n_shards"),
     )
     docs = sized.join(per, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "source", "size", "source_size", "target", "place", F.pmod(pick(F.lit("shard"), "doc_id"), F.col("n_shards")).alias("shard"),
+        "doc_id", "text_key", "source", "size", "source_size", "target", "place", F.pmod(pick(F.lit("shard"), "doc_id"), F.col("n_shards")).alias("shard"),
         pick(F.lit("order"), "doc_id").alias("order"),
     )
-    stream = Window.partitionBy("place", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    stream = Window.partitionBy("place", "shard").orderBy("order", "doc_id", "text_key", "size").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0)))
     shards = docs.groupBy("place", "shard").agg(F.sum("size").alias("shard_size")).where("shard_size > 0")
     total = level.agg(F.floor(F.sum("target") / block + 0.5)).first()[0] or 0
@@ -108,7 +108,7 @@ def plan(sized: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS, see
     words = words.join(chosen.hint("merge"), ["place", "shard", "block"], "left")
     times = F.transform(F.sort_array(F.collect_list(F.struct("block", F.coalesce("times", F.lit(0)).alias("times")))), lambda x: x["times"])
     taken = F.sum((F.col("hi") - F.col("lo")) * F.col("times"))
-    docs_out = words.groupBy("place", "shard", "order", "doc_id", "start", "size").agg(
+    docs_out = words.groupBy("place", "shard", "order", "doc_id", "text_key", "start", "size").agg(
         *[F.first(c).alias(c) for c in ("source", "source_size", "target", "blocks", "shard_size")],
         F.count("*").alias("rows"), F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), times.alias("times"),
     )
@@ -128,6 +128,7 @@ def mix_sources(docs: DataFrame, block: int = BLOCK, seed: int = SEED, id_col: s
 
     NULL text has size 0 and is never taken; NULL is a source of its own; repeated rows are documents of their
     own; rows with a NULL id are mixed as well; an empty table gives an empty result; other columns are ignored.
-    A document whose row is repeated k times has k equal rows and k result rows.
+    A document whose row is repeated k times has k result rows; rows of one id with different texts are told apart by
+    text_key, the text's xxhash64.
     """
     return plan(staged(sizes(docs, id_col, text_col, source_col), "mix-sizes"), block=block, seed=seed)

@@ -45,8 +45,8 @@ def _twins(items: Column, field: str) -> Column:
     return F.filter(items, lambda x, k: same(x, F.get(items, k - 1)) | same(x, F.get(items, k + 1)))
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the measurements of each text, all inside the row: nothing is shuffled.
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to carry, and the measurements of each text, all inside the row: nothing is shuffled.
 
     Repeated windows are found by sorting hashes of the windows, and only windows whose hash occurs twice are
     compared by their words.
@@ -54,31 +54,32 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     c = F.col
     text = F.coalesce(F.col(text_col), F.lit(""))
     has_word = lambda line: F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""
-    a = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select(
-        "doc_id", word_array(c("t")).alias("w"), F.regexp_count(c("t"), F.lit(SYMBOLS)).alias("s"),
+    own = ["doc_id", *carry]
+    a = docs.select(F.col(id_col).alias("doc_id"), *carry, text.alias("t")).select(
+        *own, word_array(c("t")).alias("w"), F.regexp_count(c("t"), F.lit(SYMBOLS)).alias("s"),
         F.filter(F.split("t", "\n"), has_word).alias("l"),
     )
     n = F.size("w")
     starts = F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array().cast("array<int>"))
-    b = a.select("doc_id", "w", "s", "l", F.transform(starts, lambda i: F.xxhash64(*_window(c("w"), i))).alias("h"))
+    b = a.select(*own, "w", "s", "l", F.transform(starts, lambda i: F.xxhash64(*_window(c("w"), i))).alias("h"))
     pairs = F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    b = b.select("doc_id", "w", "s", "l", F.when(F.size(F.array_distinct("h")) < F.size("h"), pairs).alias("p"))
+    b = b.select(*own, "w", "s", "l", F.when(F.size(F.array_distinct("h")) < F.size("h"), pairs).alias("p"))
     exact = F.transform(_twins(c("p"), "h"), lambda p: F.struct(F.concat_ws(" ", *_window(c("w"), p["i"])).alias("s"), p["i"].alias("i")))
-    b = b.select("doc_id", "w", "s", "l", F.sort_array(exact).alias("x"))
-    b = b.select("doc_id", "w", "s", "l", F.sort_array(F.transform(_twins(c("x"), "s"), lambda x: x["i"])).alias("at"))
+    b = b.select(*own, "w", "s", "l", F.sort_array(exact).alias("x"))
+    b = b.select(*own, "w", "s", "l", F.sort_array(F.transform(_twins(c("x"), "s"), lambda x: x["i"])).alias("at"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     step = lambda s, i: F.struct((i + WINDOW).alias("end"), (s["n"] + i + WINDOW - F.greatest(i, s["end"])).alias("n"))
     covered = F.coalesce(F.aggregate("at", zero, step, lambda s: s["n"]), F.lit(0))
     long = lambda x, name: x.cast("long").alias(name)
     return b.select(
-        "doc_id", long(n, "n_words"), long(F.char_length(F.array_join("w", "")), "word_chars"), long(c("s"), "n_symbols"),
+        *own, long(n, "n_words"), long(F.char_length(F.array_join("w", "")), "word_chars"), long(c("s"), "n_symbols"),
         long(F.size("l") - F.size(F.array_distinct("l")), "n_dup_lines"), long(F.size("l"), "n_text_lines"),
         long(covered, "n_repeat_words"),
     )
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the measurements and fail_bits, as a written table: every rule is evaluated once, however many
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to carry, the measurements and fail_bits, as a written table: every rule is evaluated once, however many
     policies and filters follow.
 
     NULL text has no words; a NULL id is kept; repeated rows have a row each; an empty table gives an empty
@@ -88,7 +89,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     total = bits[0]
     for x in bits[1:]:
         total = total.bitwiseOR(x)
-    return staged(measure(docs, id_col, text_col).withColumn("fail_bits", total.cast("long")), "ledger")
+    return staged(measure(docs, id_col, text_col, carry).withColumn("fail_bits", total.cast("long")), "ledger")
 
 
 def passes(bits: Column, policy: str | tuple[str, ...] = "v1") -> Column:
@@ -109,7 +110,7 @@ def ablation(book: DataFrame, policy: str | tuple[str, ...] = "v1") -> DataFrame
     )
 
 
-def quality_rules(docs: DataFrame, policy: str = "v1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, policy: str = "v1", id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """The ledger with base_failed and kept under a policy."""
-    book = ledger(docs, id_col, text_col)
+    book = ledger(docs, id_col, text_col, carry)
     return book.select("*", (~passes(F.col("fail_bits"), BASE)).alias("base_failed"), passes(F.col("fail_bits"), (*BASE, *POLICIES[policy])).alias("kept"))
