@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import WORD, keep_ids, staged, staged_path
+from gridspark.llm.common import BROADCAST_ROWS, WORD, keep_ids, staged, staged_path
 from gridspark.llm.exact_dedup import exact_dedup
 from gridspark.llm.mixing import mix_sources, words_taken
 from gridspark.llm.near_dedup import near_dedup
@@ -16,36 +16,60 @@ from gridspark.llm.quality import quality_rules
 from gridspark.llm.queries import PIECE_MODEL
 
 
-def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows of docs whose id was kept; rows that repeat an id and its text wholly count once."""
-    ids = staged(decisions.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
-    n_ids, most = ids.agg(F.count("*"), F.max("n")).first()
-    out = keep_ids(docs, ids.select("doc_id"), "doc_id", n_ids)
-    return out.dropDuplicates(["doc_id", "text"]) if (most or 0) > 1 else out
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with __key and __size of the text: with the id they tell rows apart, also those that share an id."""
+    return docs.withColumns({"__key": F.xxhash64("text"), "__size": F.coalesce(F.char_length("text"), F.lit(0))})
+
+
+def _chosen(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of docs whose (doc_id, __key) is among chosen's, broadcast only while they are few."""
+    pairs = staged(chosen.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k")).distinct(), "kept-rows")
+    side = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS // 2 else pairs
+    keyed = _keyed(docs)
+    rows = keyed.join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__key").eqNullSafe(F.col("__k")), "left_semi")
+    return rows.select(*docs.columns)
+
+
+def _once(docs: DataFrame, repeated: bool) -> DataFrame:
+    """docs, with rows that repeat an id and its text counted once."""
+    return docs.dropDuplicates(["doc_id", "text"]) if repeated else docs
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ids = staged(quality_rules(docs).where("kept").select("doc_id").distinct(), "kept-ids")
-    return keep_ids(docs, ids, "doc_id", ids.count())
+    return _chosen(docs, quality_rules(_keyed(docs), carry=("__key",)).where("kept"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, exact_dedup(docs))
+    """Of equal texts the row that the operator keeps; of rows that share its id as well, the longest."""
+    kept = staged(exact_dedup(_keyed(docs), carry=("__key", "__size")).where("kept"), "kept-rows")
+    first = F.min(F.struct((-F.col("__size")).alias("s"), F.col("__key").alias("k")))
+    one = kept.groupBy("text_sha256", "doc_id").agg(first.getField("k").alias("__key"), F.count("*").alias("n"))
+    return _once(_chosen(docs, one), not one.where("n > 1").isEmpty())
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, near_dedup(docs))
+    """The document that stands for its group; rows that share an id are one document, whose texts all stay."""
+    kept = near_dedup(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = staged(kept, "kept-ids")
+    n_ids, most = kept.agg(F.count("*"), F.max("n")).first()
+    return _once(keep_ids(docs, kept.select("doc_id"), "doc_id", n_ids), (most or 0) > 1)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes of each document, with the white space behind them; a block that is taken
     k times stands in k rows of its document."""
+    same = Window.partitionBy("__id", "__source", "__key")
     held = F.struct("start", "blocks", "shard_size", "times").alias("__plan")
-    plan = mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), held)
-    plan = staged(plan.dropDuplicates(["__id", "__source"]), "mix-plan")
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].cast("string").eqNullSafe(F.col("__source")))
-    words = F.regexp_extract_all("text", F.lit(f"{WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))
-    rows = rows.select(F.struct(*docs.columns).alias("__doc"), words.alias("__words"), "__plan.*")
+    plan = mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_key").alias("__key"), held)
+    plan = staged(plan.withColumn("__copy", F.row_number().over(same.orderBy("__plan.start"))), "mix-plan")
+    repeated = not plan.where("__copy > 1").isEmpty()
+    rows = docs.select(F.struct(*docs.columns).alias("__doc"), F.col("doc_id").alias("__id"), F.col("source").cast("string").alias("__source"), F.xxhash64("text").alias("__key"))
+    copy = F.row_number().over(same.orderBy(F.xxhash64("__doc"))) if repeated else F.lit(1)
+    rows, left, right = rows.withColumn("__copy", copy), "d", "p"
+    names = ("__id", "__source", "__key", "__copy")
+    rows = rows.alias(left).join(plan.alias(right), [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in names])
+    words = F.regexp_extract_all("__doc.text", F.lit(f"{WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))
+    rows = rows.select("__doc", words.alias("__words"), "__plan.*")
     rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.array_max("times"))).alias("__round"))
     rows = rows.select("__doc", F.array_join(words_taken(F.col("__words"), F.col("__round")), "").alias("__text"))
     new = {"text": F.col("__text"), "n_chars": F.char_length("__text").cast("long")}
