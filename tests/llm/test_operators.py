@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gridspark.llm import licenses, line_templates, mixing, pieces, ppm, quality, secrets, url_rules
@@ -155,7 +156,7 @@ def water(sizes, weights, total):
     while True:
         rest = total - sum(3 * sizes[s] for s in sizes if s not in active)
         share = sum(weights[s] for s in active)
-        target = {s: rest * weights[s] / share if s in active else 3 * sizes[s] for s in sizes}
+        target = {s: rest / share * weights[s] if s in active else 3 * sizes[s] for s in sizes}
         over = {s for s in active if target[s] > 3 * sizes[s] + 1e-9}
         if not over:
             return target
@@ -182,8 +183,66 @@ def test_mixing(docs, odd, none, spark):
     assert mixing.mix_sources(none).count() == 0
 
 
+def spark_hash(*parts):
+    """What Spark's xxhash64 gives for ints (as "i", n), longs, strings and NULLs."""
+    h = 42
+    for x in parts:
+        if x is not None:
+            raw = x.encode() if isinstance(x, str) else x[1].to_bytes(4, "little", signed=True) if isinstance(x, tuple) else x.to_bytes(8, "little", signed=True)
+            h = xxhash.xxh64_intdigest(raw, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def sainte_lague(claims, seats):
+    won = dict.fromkeys(claims, 0)
+    for _ in range(seats if any(claims.values()) else 0):
+        won[max(claims, key=lambda k: (claims[k] / (2 * won[k] + 1), -k))] += 1
+    return won
+
+
+def brute_taken(rows, block, shard_docs, seed):
+    """(doc_id, source, size, taken) of rows (doc_id, text, source), word by word."""
+    docs = [(i, s, len(WORD.findall(t or "")), spark_hash(t)) for i, t, s in rows]
+    sources = sorted({s for _, s, *_ in docs}, key=lambda s: (s is None, (s or "").encode()))
+    size = {s: sum(n for _, x, n, _ in docs if x == s) for s in sources}
+    target = water(size, {s: 1 + k % 3 for k, s in enumerate(sources)}, sum(size.values()))
+    pick = lambda *x: spark_hash(("i", seed), *x)
+    shards = defaultdict(list)
+    for i, s, n, key in docs:
+        place, n_docs = sources.index(s) + 1, sum(x == s for _, x, *_ in docs)
+        shards[place, pick("shard", i) % max(1, -(-n_docs // shard_docs))].append((pick("order", i), (i is not None, i), key, n, s))
+    held = {k: sum(x[3] for x in v) for k, v in shards.items()}
+    seats = sainte_lague({k: target[s] for k, s in enumerate(sources, 1)}, math.floor(sum(target.values()) / block + 0.5))
+    out = []
+    for place, s in enumerate(sources, 1):
+        quota = sainte_lague({h: held[p, h] for p, h in shards if p == place and held[p, h]}, seats[place])
+        for (p, h), members in shards.items():
+            if p != place:
+                continue
+            n_blocks = max(1, math.floor(held[p, h] / block + 0.5))
+            q = min(quota.get(h, 0), 3 * n_blocks)
+            order = sorted(range(n_blocks), key=lambda b: (pick("block", p, h, b), b))
+            times = {b: q // n_blocks + (r < q % n_blocks) for r, b in enumerate(order)}
+            at = 0
+            for _, (_, i), _, n, _ in sorted(members):
+                out.append((i, s, n, sum(times[x * n_blocks // held[p, h]] for x in range(at, at + n))))
+                at += n
+    return Counter(out)
+
+
+def test_mixing_word_by_word(spark, docs, odd):
+    rng = np.random.default_rng(2)
+    made = [(int(i), "w " * int(rng.integers(0, 60)), [None, "a", "b", "é", "z"][min(int(rng.integers(0, 9)), 4)]) for i in range(400)]
+    made += [(1, "same id " * 30, "z"), (1, "other text " * 9, "z"), (2, "twice " * 20, "z"), (2, "twice " * 20, "z"), (None, "no id", "a")]
+    schema = "doc_id long, text string, source string"
+    for df, block, shard_docs in ((spark.createDataFrame(made, schema), 8, 16), (odd, 64, 2048), (docs, 64, 64)):
+        got = mixing.plan(mixing.sizes(df), block=block, shard_docs=shard_docs).collect()
+        rows = [(r["doc_id"], r["text"], r["source"]) for r in df.select("doc_id", "text", "source").collect()]
+        assert Counter((r["doc_id"], r["source"], r["size"], r["taken"]) for r in got) == brute_taken(rows, block, shard_docs, mixing.SEED)
+
+
 def test_apportion(spark):
-    claims = {"a": 53000, "b": 24000, "c": 23000, "d": 7, "e": 0}
+    claims = {"a": 53000, "b": 24000, "c": 23000, "d": 7, "e": 0, "f": 7, "g": 24000}
     df = spark.createDataFrame([(0, k, v) for k, v in claims.items()], "g int, k string, c long")
     for seats in (1, 7, 100, 101):
         got = {r["k"]: r["n"] for r in mixing.apportion(df, ["g"], ["k"], "c", F.lit(seats), "n").collect()}
@@ -322,13 +381,13 @@ def brute_ppm(train, texts_, order, contexts):
 def test_ppm(spark, odd, none, docs):
     rows = [(i, t) for i, t in enumerate(["The cat sat. ä", "the dog sat on the cat", None, "", "zebra quux", "the the the", "Cat dog", "on the mat sat"] * 3)]
     small = spark.createDataFrame(rows, "doc_id long, text string")
-    for df, config in ((small, ppm.PpmConfig(3, 40, 3)), (odd.limit(9), ppm.PpmConfig(2, 1 << 15, 1 << 22))):
+    for df, config in ((small, ppm.PpmConfig(3, 40, 3)), (odd, ppm.PpmConfig(2, 1 << 15, 1 << 22)), (odd, ppm.PpmConfig(3, hot=1, chunk=100))):
         pairs = [(i, lower(t).encode()) for i, t in texts(df)]
         held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
         train = [t for i, t in pairs if not held(i)]
         c = Counter(w for t in train for w in [*t.split(), None])
         n, v = sum(c.values()), len(c)
-        score = brute_ppm(train, [t for _, t in pairs], config.order, config.contexts)
+        score = brute_ppm(train, [t for _, t in pairs], config.order, config.contexts or 1 << 40)
         want = sorted(((i is None, i or 0), held(i), len(t.split()) + 1, sum(c[w] > 0 for w in [*t.split(), None]), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*t.split(), None]), s) for (i, t), s in zip(pairs, score))
         got = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in ppm.score_ppm(df, config).collect())
         for x, y in zip(got, want, strict=True):

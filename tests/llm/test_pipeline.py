@@ -56,3 +56,29 @@ def test_odd_rows(spark, tmp_path):
             df = spark.read.parquet(f"{tmp_path}/{empty}-{name}")
             if name == "near_dedup":
                 assert Counter(r["doc_id"] for r in df.collect()) == (Counter() if empty else Counter([2, None]))
+
+
+def test_rows_that_share_an_id(spark):
+    """Decisions and words belong to rows, not to ids."""
+    w = lambda n, k: " ".join(f"{k}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(n))
+    a, b, c = w(300, "a"), w(900, "b"), w(400, "c")
+    make = lambda rows: spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    short = "few words"
+    assert Counter(texts(corpus_pipeline.quality(spark, make([(1, a, "s"), (1, short, "s"), (2, short, "s")]), ""))) == Counter([(1, a)])
+    got = Counter(texts(corpus_pipeline.exact(spark, make([(1, "u v w", "s"), (1, "p q r", "s"), (0, "p q r", "s"), (1, "u  v w", "s"), (3, "x", "s"), (3, "x", "t")]), "")))
+    assert got == Counter([(1, "u  v w"), (0, "p q r"), (3, "x")])
+    rows = [(1, a, "s"), (1, b, "s"), (2, c, "t"), (2, c, "t"), (2, c, "t"), (4, w(700, "d"), None)]
+    docs = make(rows)
+    taken = Counter()
+    for r in mixing.mix_sources(docs).collect():
+        taken[r["doc_id"], r["source"], r["size"]] += r["taken"]
+    size = {t: len(WORD.findall(t)) for _, t, _ in rows}
+    got = Counter()
+    for r in corpus_pipeline.mix(spark, docs, "").collect():
+        words = WORD.findall(r["text"])
+        whole = next(t for t in size if set(words) <= set(WORD.findall(t)))
+        got[r["doc_id"], r["source"], size[whole]] += len(words)
+    assert got == Counter({k: n for k, n in taken.items() if n})
+    long = make([(1, "lang text " + "ü" * 200_000 + " " + w(4000, "q"), "s"), (2, a, "s")])
+    for stage in (corpus_pipeline.quality, corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.mix, corpus_pipeline.pieces):
+        assert stage(spark, long, "").count() >= 1
