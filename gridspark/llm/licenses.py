@@ -84,13 +84,13 @@ def template_vectors(templates: list[tuple[str, str]], weight: dict[str, float])
     return out
 
 
-def anchors(vectors: list[dict[str, float]], cosine: float) -> list[str]:
-    """Terms of which every passage with this cosine to a template holds one: of each template its heaviest terms,
-    until what is left is too short to reach the cosine on its own."""
+def anchors(vectors: list[dict[str, float]], weight: dict[str, float], cosine: float) -> list[str]:
+    """Terms of which every passage with this cosine to a template holds one: of each template its rarest terms, until
+    what is left is too short to reach the cosine on its own."""
     out: set[str] = set()
     for v in vectors:
         rest = sum(x * x for x in v.values())
-        for t in sorted(v, key=lambda t: (-v[t], t)):
+        for t in sorted(v, key=lambda t: (-weight[t], t)):
             if rest < (cosine - 1e-9) ** 2:
                 break
             out.add(t)
@@ -194,7 +194,7 @@ def scan_licenses(docs: DataFrame, config: LicenseConfig = LicenseConfig(), temp
         seen = {r["term"]: r["df"] for r in df.where(F.col("term").isin(vocabulary)).collect()}  # at most the templates' terms
         weight = {t: math.log((1.0 + n_docs) / (1.0 + seen.get(t, 0))) + 1.0 for t in vocabulary}
         vectors = template_vectors(templates, weight)
-        found = staged(_anchored(slim, anchors(vectors, config.cosine)), "license-passages", keep=True)
+        found = staged(_anchored(slim, anchors(vectors, weight, config.cosine)), "license-passages", keep=True)
         best = match_passages(found.where(F.size("passages") > 0), df, vectors, [name for name, _ in templates], n_docs, config)
         best = staged(best, "license-matches")
         held = found.select("row", "doc_id", "path", "n_terms")
