@@ -13,10 +13,19 @@ def weighted_mean(df: DataFrame, group: list[str], value: str, weight: Column, n
     return df.groupBy(*group).agg(F.try_divide(F.sum(weight * F.col(value)), F.sum(weight)).alias(name), F.sum(weight).alias("weight"))
 
 
-def fit_hazards(df: DataFrame, team: str, driver: str, failed: str, index: str, latest: float, half_life: float = 12.0, alpha: float = 1.2, beta: float = 12.0, shrink: float = 6.0) -> DataFrame:
-    """Per driver: base rate, team rate, driver rate and log-odds excess, from recency-weighted counts."""
-    w = recency_weight(F.col(index), latest, half_life)
-    rows = df.select(F.col(team).alias("team"), F.col(driver).alias("driver"), F.col(failed).cast("double").alias("y"), w.alias("w")).where("w > 1e-6")
+def as_of_weight(index: str, as_of: float, half_life: float, regime: str | None = None, target: str | None = None, cross: float = 0.35) -> Column:
+    """Recency weight of a row before the target event, less in another regime; later rows must be filtered out."""
+    w = recency_weight(F.col(index), as_of, half_life)
+    return w * F.when(F.col(regime) == target, 1.0).otherwise(cross) if regime else w
+
+
+def fit_hazards(df: DataFrame, team: str, driver: str, failed: str, index: str, as_of: float, half_life: float = 12.0, alpha: float = 1.2, beta: float = 12.0, shrink: float = 6.0, started: str | None = None, regime: str | None = None, target: str | None = None) -> DataFrame:
+    """Per driver: base rate, team rate, driver rate and log-odds excess, from recency-weighted counts of starters in
+    events before as_of."""
+    w = as_of_weight(index, as_of, half_life, regime, target)
+    history = df.where(F.col(index) < as_of)
+    history = history.where(F.col(started) == 1) if started else history
+    rows = history.select(F.col(team).alias("team"), F.col(driver).alias("driver"), F.col(failed).cast("double").alias("y"), w.alias("w")).where("w > 1e-6")
     cells = rows.groupBy("team", "driver").agg(F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum("w").alias("w"))
     base = cells.agg(F.try_divide(F.sum("wy"), F.sum("w")).alias("base"))
     mass = alpha + beta
@@ -30,13 +39,24 @@ def fit_hazards(df: DataFrame, team: str, driver: str, failed: str, index: str,
     return per.select("driver", "base", expected.alias("expected"), rate.alias("rate"), (logit(rate) - logit(expected)).alias("excess"))
 
 
-def rate_multipliers(df: DataFrame, group: str, failed: str, pseudo: float = 80.0) -> DataFrame:
+def rate_multipliers(df: DataFrame, group: str, failed: str, pseudo: float = 80.0, started: str | None = None) -> DataFrame:
+    """group, n, rate, multiplier over starters, shrunk to the base rate by pseudo entries."""
+    df = df.where(F.col(started) == 1) if started else df
     per = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("double")).alias("y"))
     base = df.agg(F.avg(F.col(failed).cast("double")).alias("base"))
     rate = (F.col("y") + pseudo * F.col("base")) / (F.col("n") + pseudo)
     return per.join(F.broadcast(base)).select(group, F.col("n"), rate.alias("rate"), F.try_divide(rate, F.col("base")).alias("multiplier"))
 
 
+def family_multiplier(df: DataFrame, family: str, failed: str, started: str | None = None, least: int = 100) -> DataFrame:
+    """family, n, multiplier: a family's failure rate over the base rate; 1 under `least` rows or without a base."""
+    df = df.where(F.col(started) == 1) if started else df
+    y = F.col(failed).cast("double")
+    per = df.where(F.col(family).isNotNull()).groupBy(family).agg(F.count("*").alias("n"), F.avg(y).alias("rate"))
+    ratio = F.try_divide(F.col("rate"), F.col("base"))
+    return per.join(F.broadcast(df.agg(F.avg(y).alias("base")))).select(family, "n", F.when((F.col("n") >= least) & (F.col("base") > 0), ratio).otherwise(1.0).alias("multiplier"))
+
+
 def spearman(df: DataFrame, group: list[str], x: str, y: str, least: int = 3) -> DataFrame:
     """Rank correlation by group, by average ranks; NULL under `least` rows or without spread."""
     ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__x", average_rank(x, group)).withColumn("__y", average_rank(y, group))
@@ -45,12 +65,15 @@ def spearman(df: DataFrame, group: list[str], x: str, y: str, least: int = 3) ->
 
 
 def difficulty(per_event: DataFrame, venue: str, least: int = 3) -> DataFrame:
-    """Per venue: medians of rank correlation and change over events, and their percentile ranks' mean, clipped.
+    """Per venue: medians of rank correlation and change over events with a correlation, and their percentile ranks'
+    mean, clipped.
 
-    Venues with fewer than `least` events have no difficulty.
+    Venues with fewer than `least` such events have no difficulty, unless no venue has as many: then all have one.
     """
-    per = per_event.where(F.col(venue).isNotNull()).groupBy(venue).agg(F.median("rho").alias("rho"), F.median("mean_change").alias("mean_change"), F.count("*").alias("n_events"))
-    per = per.withColumn("__ok", F.col("n_events") >= least)
+    valid = per_event.where(F.col(venue).isNotNull() & F.col("rho").isNotNull())
+    per = valid.groupBy(venue).agg(F.median("rho").alias("rho"), F.median("mean_change").alias("mean_change"), F.count("*").alias("n_events"))
+    enough = per.agg((F.coalesce(F.max("n_events"), F.lit(0)) >= least).alias("__any"))
+    per = per.join(F.broadcast(enough)).withColumn("__ok", (F.col("n_events") >= least) | ~F.col("__any"))
     n = F.count("*").over(Window.partitionBy("__ok"))
     score = (average_rank("rho", ["__ok"]) / n + 1 - average_rank("mean_change", ["__ok"]) / n) / 2
     return per.select(venue, "rho", "mean_change", "n_events", F.when(F.col("__ok"), clip(score, 0.02, 0.98)).alias("difficulty"))
@@ -101,50 +124,29 @@ def pace_gap(df: DataFrame, group: list[str], lead: str, fallback: str, low: flo
     return df.withColumn("gap_pct", F.when(value.between(low, high), value)).withColumn("gap_source", source)
 
 
-def backfit(df: DataFrame, team: str, driver: str, value: str, index: str, latest: float, team_half_life: float = 6.0, driver_half_life: float = 6.0, ridge: float = 1.0, shrink: float = 3.0, passes: int = 4) -> DataFrame:
-    """driver, team, effects by backfitting on cell sums: (team, driver) cells carry all that the passes need.
+def backfit(df: DataFrame, team: str, driver: str, value: str, index: str, as_of: float, team_half_life: float = 6.0, driver_half_life: float = 6.0, ridge: float = 1.0, shrink: float = 3.0, passes: int = 4, regime: str | None = None, target: str | None = None) -> DataFrame:
+    """driver, team, effects by backfitting on cell sums of the rows before as_of: (team, driver) cells carry all that
+    the passes need.
 
-    Weighted sums per cell are aggregated once; each pass is two aggregates over cells, so the fact table is read
-    and shuffled a single time whatever the number of passes.
+    Weighted sums per cell are aggregated once; each pass is two windows over cells and one row of sums, so the fact
+    table is read and shuffled a single time whatever the number of passes.
     """
-    wt, wd = recency_weight(F.col(index), latest, team_half_life), recency_weight(F.col(index), latest, driver_half_life)
-    cell = df.groupBy(F.col(team).alias("team"), F.col(driver).alias("driver")).agg(
+    wt, wd = as_of_weight(index, as_of, team_half_life, regime, target), as_of_weight(index, as_of, driver_half_life, regime, target)
+    rows = df.where((F.col(index) < as_of) & F.col(value).isNotNull()).where((wt > 1e-6) | (wd > 1e-6))
+    cell = rows.groupBy(F.col(team).alias("team"), F.col(driver).alias("driver")).agg(
         F.sum(wt).alias("wt"), F.sum(wt * F.col(value)).alias("wty"), F.sum(wd).alias("wd"), F.sum(wd * F.col(value)).alias("wdy")
     )
-    mu = F.sum("wty").over(Window.partitionBy(F.lit(0))) / F.sum("wt").over(Window.partitionBy(F.lit(0)))
-    cell = cell.withColumn("mu", mu).withColumn("t", F.lit(0.0)).withColumn("d", F.lit(0.0))
-    by_team, by_driver, all_ = Window.partitionBy("team"), Window.partitionBy("driver"), Window.partitionBy(F.lit(0))
+    start = cell.agg((F.sum("wty") / F.sum("wt")).alias("mu"), F.sum("wd").alias("all"))
+    cell = cell.join(F.broadcast(start)).withColumn("t", F.lit(0.0)).withColumn("d", F.lit(0.0))
+    by_team, by_driver = Window.partitionBy("team"), Window.partitionBy("driver")
     for _ in range(passes):
         cell = cell.withColumn("t", F.sum(F.col("wty") - F.col("wt") * (F.col("mu") + F.col("d"))).over(by_team) / (F.sum("wt").over(by_team) + ridge))
         cell = cell.withColumn("d", F.sum(F.col("wdy") - F.col("wd") * (F.col("mu") + F.col("t"))).over(by_driver) / (F.sum("wd").over(by_driver) + ridge))
-        cell = cell.withColumn("s", F.sum(F.col("wd") * F.col("d")).over(all_) / F.sum("wd").over(all_))
-        cell = cell.withColumn("d", F.col("d") - F.col("s")).withColumn("mu", F.col("mu") + F.col("s")).drop("s")
+        centre = cell.agg((F.sum(F.col("wd") * F.col("d")) / F.first("all")).alias("s"))
+        cell = cell.join(F.broadcast(centre)).withColumn("d", F.col("d") - F.col("s")).withColumn("mu", F.col("mu") + F.col("s")).drop("s")
     n = F.sum("wd").over(by_driver)
-    return cell.select("team", "driver", F.col("mu").alias("intercept"), F.col("t").alias("team_effect"), F.col("d").alias("driver_effect"), (F.col("d") * n / (n + shrink)).alias("driver_shrunk"))
+    return cell.select(
+        "team", "driver", F.col("mu").alias("intercept"), F.col("t").alias("team_effect"), F.col("d").alias("driver_effect"),
+        (F.col("d") * n / (n + shrink)).alias("driver_shrunk"), n.alias("driver_weight"))
 
 
-def fit_ridge(df: DataFrame, team: str, driver: str, value: str, index: str, latest: float, half_life: float = 6.0, ridge: float = 1.0):
-    """(names, coefficients, covariance, residual sd) of the joint ridge.
-
-    The Gram matrix comes from (team, driver) cell sums; only cells, as many as distinct pairs of effect levels,
-    reach the driver, where a dense system of that order must fit in any case.
-    """
-    w = recency_weight(F.col(index), latest, half_life)
-    rows = df.select(F.col(team).alias("team"), F.col(driver).alias("driver"), F.col(value).alias("y"), w.alias("w")).where("w > 1e-6")
-    cells = rows.groupBy("team", "driver").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("wyy")).toPandas()
-    teams, drivers = sorted(cells["team"].unique()), sorted(cells["driver"].unique())
-    x = np.zeros((len(cells), 1 + len(teams) + len(drivers)))
-    x[:, 0] = 1
-    x[np.arange(len(cells)), 1 + np.searchsorted(teams, cells["team"])] = 1
-    x[np.arange(len(cells)), 1 + len(teams) + np.searchsorted(drivers, cells["driver"])] = 1
-    weight, wy = cells["w"].to_numpy(), cells["wy"].to_numpy()
-    gram = x.T @ (x * weight[:, None])
-    full = gram + np.diag([0.0] + [ridge] * (x.shape[1] - 1))
-    beta = np.linalg.solve(full, x.T @ wy)
-    fitted = x @ beta
-    rss = float((cells["wyy"].to_numpy() - 2 * fitted * wy + weight * fitted**2).sum())
-    inverse = np.linalg.inv(full)
-    dof = max(weight.sum() - np.trace(inverse @ gram), 1.0)
-    variance = max(rss / dof, 1e-9)
-    names = ["intercept", *[f"team:{t}" for t in teams], *[f"driver:{d}" for d in drivers]]
-    return names, beta, variance * inverse, variance**0.5

@@ -61,10 +61,12 @@ def baselines(results: DataFrame, driver: str, index: str, position: str, points
 
 
 def align_field(entries: DataFrame, truth: DataFrame, race: str, driver: str, position: str) -> DataFrame:
-    """Named entries re-ranked: finishers by position, then the absent by id; with counts of both kinds of surprise."""
+    """Named entries re-ranked: finishers by position, then the absent by id; with counts of both kinds of surprise and
+    whether the race can be scored, that is whether its winner was named."""
     t = truth.select(race, driver, F.col(position).alias("__p"))
     both = entries.select(race, driver, F.lit(1).alias("__named")).join(t, [race, driver], "full")
     w = Window.partitionBy(race)
     out = both.withColumn("n_absent", F.sum(F.col("__p").isNull().cast("long")).over(w)).withColumn("n_unforeseen", F.sum(F.col("__named").isNull().cast("long")).over(w))
+    out = out.withColumn("scoreable", F.coalesce(F.bool_or((F.col("__named") == 1) & (F.col("__p") == 1)).over(w), F.lit(False)))
     rank = F.row_number().over(w.orderBy(F.col("__p").isNull(), "__p", driver))
-    return out.where("__named = 1").withColumn("aligned", rank.cast("long")).select(race, driver, "aligned", F.col("__p").isNull().alias("absent"), "n_absent", "n_unforeseen")
+    return out.where("__named = 1").withColumn("aligned", rank.cast("long")).select(race, driver, "aligned", F.col("__p").isNull().alias("absent"), "n_absent", "n_unforeseen", "scoreable")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .guards import ContractError, require_unique
 
 STATS = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "std": F.stddev_samp, "median": F.median}
@@ -77,6 +80,39 @@ def last_per_group(df: DataFrame, group: list[str], order: list[Column], k: int)
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__r") <= k).drop("__r")
 
 
+def most_similar(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+    """target, <key>, similarity: each query's k rows of highest cosine, to six places, itself left out; ties by key.
+
+    Exact search in blocks: both sides are packed into blocks of about `block` vectors, every pair of blocks is one
+    matrix product in a task, and only k rows a query leave it.
+    """
+    ship_package(rows.sparkSession)
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        df = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        n = max(1, -(-df.count() // block))
+        return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list("id").alias(f"{name}_id"), F.collect_list("v").alias(f"{name}_v"))
+
+    a, b = packed(queries, "a"), packed(rows, "b")
+    blocks = a.agg(F.collect_set("a_block").alias("all"))
+    pairs = b.join(F.broadcast(blocks)).select("b_id", "b_v", F.explode("all").alias("a_block")).join(a, "a_block")
+
+    def run(batches):
+        for pdf in batches:
+            for _, r in pdf.iterrows():
+                x, y = np.array(r["a_v"].tolist()), np.array(r["b_v"].tolist())
+                norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+                s = np.round(norm(x) @ norm(y).T, 6)
+                ids, own = np.asarray(r["b_id"]), np.asarray(r["a_id"])
+                for i in range(len(own)):
+                    other = np.flatnonzero(ids != own[i])
+                    top = other[np.lexsort((ids[other], -s[i, other]))[:k]]
+                    yield pd.DataFrame({"target": own[i], key: ids[top], "similarity": s[i, top]})
+
+    found = pairs.mapInPandas(run, f"target long, `{key}` long, similarity double")
+    return last_per_group(found, ["target"], [F.col("similarity").desc(), F.col(key)], k)
+
+
 def resample(df: DataFrame, group: list[str], x: str, values: list[str], step: float) -> DataFrame:
     """Linear interpolation onto multiples of step within each pair of neighbours, from the first x on."""
     w = Window.partitionBy(*group).orderBy(x)

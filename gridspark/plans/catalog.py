@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import estimators as E
 from ..operators import evaluation as V
-from ..operators import filtering, guards, panel, simulation, temporal
+from ..operators import guards, panel, temporal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,9 +97,9 @@ def duplicate_keys(spark, sf_dir):
     return guards.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]).select("l_orderkey", *longs("l_linenumber"), "n_rows")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')")
 def missing_references(spark, sf_dir):
-    return guards.missing_references(table(spark, sf_dir, "customer"), ["c_custkey"], table(spark, sf_dir, "orders"), ["o_custkey"]).select("c_custkey")
+    return guards.missing_references(table(spark, sf_dir, "customer"), ["c_custkey"], table(spark, sf_dir, "orders").where("o_orderpriority LIKE '1%'"), ["o_custkey"]).select("c_custkey")
 
 
 def _probit(p: str) -> str:
@@ -202,35 +202,34 @@ def baselines_wide(spark, sf_dir):
 
 
 @query(f"""
-WITH {_DAYS}, t AS (SELECT user_id, row_number() OVER (ORDER BY v DESC, user_id) AS p FROM d WHERE i = 11), e AS (SELECT user_id FROM d WHERE i = 10),
-b AS (SELECT coalesce(e.user_id, t.user_id) AS user_id, e.user_id IS NOT NULL AS named, p FROM e FULL JOIN t USING (user_id)),
-r AS (SELECT *, sum(CAST(p IS NULL AS INT)) OVER () AS na, sum(CAST(NOT named AS INT)) OVER () AS nu FROM b)
-SELECT user_id, row_number() OVER (ORDER BY p IS NULL, p, user_id) AS aligned, p IS NULL AS absent, CAST(na AS BIGINT) AS n_absent, CAST(nu AS BIGINT) AS n_unforeseen FROM r WHERE named
+WITH {_DAYS}, t AS (SELECT i - 1 AS i, user_id, row_number() OVER (PARTITION BY i ORDER BY v DESC, user_id) AS p FROM d),
+b AS (SELECT coalesce(e.i, t.i) AS i, coalesce(e.user_id, t.user_id) AS user_id, e.user_id IS NOT NULL AS named, p FROM d e FULL JOIN t ON e.i = t.i AND e.user_id = t.user_id),
+r AS (SELECT *, sum(CAST(p IS NULL AS INT)) OVER w AS na, sum(CAST(NOT named AS INT)) OVER w AS nu, coalesce(bool_or(named AND p = 1) OVER w, false) AS sc FROM b WINDOW w AS (PARTITION BY i))
+SELECT i, user_id, row_number() OVER (PARTITION BY i ORDER BY p IS NULL, p, user_id) AS aligned, p IS NULL AS absent, CAST(na AS BIGINT) AS n_absent, CAST(nu AS BIGINT) AS n_unforeseen, sc AS scoreable FROM r WHERE named
 """)
 def align_field(spark, sf_dir):
     d = days(spark, sf_dir)
-    truth = d.where("i = 11").withColumn("p", F.row_number().over(Window.partitionBy("i").orderBy(F.col("v").desc(), "user_id")))
-    entries = d.where("i = 10").select(F.lit(0).alias("race"), "user_id")
-    return panel.align_field(entries, truth.withColumn("race", F.lit(0)), "race", "user_id", "p").drop("race")
+    truth = d.select((F.col("i") - 1).alias("i"), "user_id", F.row_number().over(Window.partitionBy("i").orderBy(F.col("v").desc(), "user_id")).alias("p"))
+    return panel.align_field(d.select("i", "user_id"), truth, "i", "user_id", "p")
 
 
 def lines(spark, sf_dir):
     """team (nation), driver (supplier), failed, venue (part type) and month index of each line."""
-    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_extendedprice", "l_quantity", F.col("l_returnflag").alias("flag"), ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")).cast("double").alias("i"))
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_extendedprice", "l_quantity", (F.col("l_linenumber") % 5 != 0).cast("int").alias("started"), F.col("l_returnflag").alias("flag"), ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")).cast("double").alias("i"))
     su, pa = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("team")), table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size")
     out = li.join(su, F.col("l_suppkey") == F.col("s_suppkey")).join(pa, F.col("l_partkey") == F.col("p_partkey"))
     return out.withColumn("failed", (F.col("flag") == "R").cast("int")).withColumn("price", F.round(F.col("l_extendedprice") / F.col("l_quantity"), 6))
 
 
 _LINES = """
-li AS (SELECT l_suppkey, CAST(s_nationkey AS BIGINT) AS team, p_type, p_brand, p_size, l_returnflag AS flag, CAST(l_returnflag = 'R' AS INT) AS failed,
+li AS (SELECT l_suppkey, CAST(s_nationkey AS BIGINT) AS team, p_type, p_brand, p_size, l_returnflag AS flag, CAST(l_returnflag = 'R' AS INT) AS failed, CAST(l_linenumber % 5 <> 0 AS INT) AS started,
   CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS DOUBLE) AS i, l_quantity, l_extendedprice, round(l_extendedprice / l_quantity, 6) AS price
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)
 """
 
 
 @query(f"""
-WITH {_LINES}, w AS (SELECT team, l_suppkey, failed, pow(0.5, greatest(80 - i, 0) / 12.0) AS w FROM li WHERE pow(0.5, greatest(80 - i, 0) / 12.0) > 1e-6),
+WITH {_LINES}, w AS (SELECT team, l_suppkey, failed, pow(0.5, (48 - i) / 12.0) * CASE WHEN i >= 24 THEN 1 ELSE 0.35 END AS w FROM li WHERE i < 48 AND started = 1),
 b AS (SELECT sum(w * failed) / sum(w) AS base FROM w),
 t AS (SELECT team, (sum(w * failed) + 13.2 * any_value(base)) / (sum(w) + 13.2) AS tr FROM w, b GROUP BY team),
 x AS (SELECT l_suppkey, sum(w * failed) AS wy, sum(w) AS sw, sum(w * tr) / sum(w) AS e FROM w JOIN t USING (team) GROUP BY l_suppkey),
@@ -239,13 +238,19 @@ SELECT l_suppkey, round(base, 6) AS base, round(e, 6) AS expected, round(r, 6) A
   round(least(greatest(1 / (1 + exp(-(ln(e / (1 - e)) + ln(r / (1 - r)) - ln(e / (1 - e))))), 0.01), 0.60), 6) AS hazard FROM y, b
 """)
 def hazard_hierarchy(spark, sf_dir):
-    fit = E.fit_hazards(lines(spark, sf_dir), "team", "l_suppkey", "failed", "i", 80.0)
+    rows = lines(spark, sf_dir).withColumn("regime", F.when(F.col("i") >= 24, "new").otherwise("old"))
+    fit = E.fit_hazards(rows, "team", "l_suppkey", "failed", "i", 48.0, started="started", regime="regime", target="new")
     return fit.select(F.col("driver").alias("l_suppkey"), *r6s("base", "expected", "rate", "excess"), r6(S.hazard(F.col("expected"), F.col("excess")), "hazard"))
 
 
-@query(f"WITH {_LINES}, b AS (SELECT avg(failed) AS base FROM li) SELECT p_type, count(*) AS n, round((sum(failed) + 80 * any_value(base)) / (count(*) + 80), 6) AS rate, round((sum(failed) + 80 * any_value(base)) / (count(*) + 80) / any_value(base), 6) AS multiplier FROM li, b GROUP BY p_type")
+@query(f"WITH {_LINES}, b AS (SELECT avg(failed) AS base FROM li WHERE started = 1) SELECT p_type, count(*) AS n, round((sum(failed) + 80 * any_value(base)) / (count(*) + 80), 6) AS rate, round((sum(failed) + 80 * any_value(base)) / (count(*) + 80) / any_value(base), 6) AS multiplier FROM li, b WHERE started = 1 GROUP BY p_type")
 def venue_multiplier(spark, sf_dir):
-    return E.rate_multipliers(lines(spark, sf_dir), "p_type", "failed").select("p_type", "n", *r6s("rate", "multiplier"))
+    return E.rate_multipliers(lines(spark, sf_dir), "p_type", "failed", started="started").select("p_type", "n", *r6s("rate", "multiplier"))
+
+
+@query(f"WITH {_LINES}, b AS (SELECT avg(failed) AS base FROM li WHERE started = 1) SELECT p_brand, count(*) AS n, round(CASE WHEN count(*) >= 1500 THEN avg(failed) / any_value(base) ELSE 1 END, 6) AS multiplier FROM li, b WHERE started = 1 GROUP BY p_brand")
+def family_multiplier(spark, sf_dir):
+    return E.family_multiplier(lines(spark, sf_dir), "p_brand", "failed", "started", least=1500).select("p_brand", "n", *r6s("multiplier"))
 
 
 _RHO = f"""
@@ -265,7 +270,7 @@ def spearman_by_event(spark, sf_dir):
 
 
 @query(f"""
-WITH {_RHO}, m AS (SELECT p_type, median(round(rho, 6)) AS rho, median(round(mc, 6)) AS mc, count(*) AS n FROM sp GROUP BY p_type),
+WITH {_RHO}, m AS (SELECT p_type, median(round(rho, 6)) AS rho, median(round(mc, 6)) AS mc, count(*) AS n FROM sp WHERE rho IS NOT NULL GROUP BY p_type),
 z AS (SELECT *, (rank() OVER (ORDER BY rho) + (count(*) OVER (PARTITION BY rho) - 1) / 2.0) / count(*) OVER () AS a, (rank() OVER (ORDER BY mc) + (count(*) OVER (PARTITION BY mc) - 1) / 2.0) / count(*) OVER () AS b FROM m)
 SELECT p_type, round(rho, 6) AS rho, round(mc, 6) AS mean_change, n AS n_events, round(least(greatest((a + 1 - b) / 2, 0.02), 0.98), 6) AS difficulty FROM z
 """)
@@ -349,23 +354,17 @@ c{k + 1} AS (SELECT team, driver, wt, wty, wd, wdy, {"t," if k == 3 else ""} mu
 
 
 @query(f"""
-WITH {_LINES}, w AS (SELECT team, l_suppkey AS driver, l_quantity AS y, pow(0.5, greatest(80 - i, 0) / 6.0) AS w FROM li),
+WITH {_LINES}, w AS (SELECT team, l_suppkey AS driver, l_quantity AS y, pow(0.5, (48 - i) / 6.0) AS w FROM li WHERE i < 48),
 cell AS (SELECT team, driver, sum(w) AS wt, sum(w * y) AS wty, sum(w) AS wd, sum(w * y) AS wdy FROM w GROUP BY ALL), {_passes()}
 SELECT team, driver, round(mu, 6) AS intercept, round(t, 6) AS team_effect, round(d, 6) AS driver_effect, round(d * sum(wd) OVER (PARTITION BY driver) / (sum(wd) OVER (PARTITION BY driver) + 3), 6) AS driver_shrunk FROM c4
 """)
 def backfit(spark, sf_dir):
-    out = E.backfit(lines(spark, sf_dir), "team", "l_suppkey", "l_quantity", "i", 80.0)
+    out = E.backfit(lines(spark, sf_dir), "team", "l_suppkey", "l_quantity", "i", 48.0)
     return out.select("team", "driver", *r6s("intercept", "team_effect", "driver_effect", "driver_shrunk"))
 
 
-@query()
-def ridge_effects(spark, sf_dir):
-    names, beta, cov, sd = E.fit_ridge(lines(spark, sf_dir), "team", "l_suppkey", "l_quantity", "i", 80.0)
-    return spark.createDataFrame([(n, float(b), float(cov[k, k]) ** 0.5, float(sd)) for k, (n, b) in enumerate(zip(names, beta))], "effect string, value double, se double, residual_sd double")
-
-
 _FIELD = f"""
-{_DAYS}, z AS (SELECT user_id, i, n, v, rank() OVER (PARTITION BY i ORDER BY s DESC, user_id) AS pos, exp((v - max(v) OVER (PARTITION BY i)) / 20.0) AS ex FROM d),
+{_DAYS}, z AS (SELECT user_id, i, n, v, rank() OVER (PARTITION BY i ORDER BY s DESC, user_id) AS pos, CAST((7 * n + user_id) % 11 <> 0 AS INT) AS classified, exp((v - max(v) OVER (PARTITION BY i)) / 20.0) AS ex FROM d),
 f AS (SELECT *, round(ex / sum(ex) OVER (PARTITION BY i), 12) AS pr FROM z)
 """
 
@@ -373,6 +372,7 @@ f AS (SELECT *, round(ex / sum(ex) OVER (PARTITION BY i), 12) AS pr FROM z)
 def field(spark, sf_dir):
     """Entrants of each day with their finishing position and a softmax probability of winning."""
     d = days(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("i").orderBy(F.col("s").desc(), "user_id")))
+    d = d.withColumn("classified", ((7 * F.col("n") + F.col("user_id")) % 11 != 0).cast("int"))
     return V.softmax(d, "v", ["i"], 20.0).withColumn("pr", F.round("probability", 12))
 
 
@@ -381,59 +381,6 @@ def softmax_temperature(spark, sf_dir):
     return field(spark, sf_dir).select("user_id", "i", r6(F.col("pr"), "probability"))
 
 
-@query(f"""
-WITH {_FIELD}, g AS (SELECT unnest([0.5, 0.75, 1.0, 1.5, 2.0, 3.0]) AS temperature),
-p AS (SELECT i, temperature, sum(pow(greatest(pr, 1e-12), 1 / temperature)) AS zz, sum(CAST(pos = 1 AS INT)) AS n, max(CASE WHEN pos = 1 THEN greatest(pr, 1e-12) END) AS pw FROM f, g GROUP BY ALL)
-SELECT CAST(temperature AS DOUBLE) AS temperature, round(avg(-ln(greatest(pow(pw, 1 / temperature) / zz, 1e-12))), 6) AS loss, count(*) AS n_races FROM p WHERE n = 1 GROUP BY temperature
-""")
-def temperature_grid(spark, sf_dir):
-    rows = field(spark, sf_dir).withColumn("won", F.col("pos") == 1)
-    return V.fit_temperature(rows, "pr", ["i"], "won", [0.5, 0.75, 1.0, 1.5, 2.0, 3.0]).select("temperature", *r6s("loss"), "n_races")
-
-
-_GAIN = "(CASE WHEN {r} <= 5 THEN (pow(2.0, rel) - 1) / log2({r} + 1.0) ELSE 0 END)"
-_METRICS = f"""
-{_FIELD}, a AS (SELECT *, CAST(least(greatest(6 - pos, 0), 5) AS DOUBLE) AS rel, row_number() OVER (PARTITION BY i ORDER BY pr DESC, user_id) AS r FROM f),
-b AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY rel DESC, user_id) AS ir FROM a),
-m AS (SELECT i, count(*) AS n_entries, max(CAST(pos = 1 AND r = 1 AS DOUBLE)) AS top1, max(CAST(pos = 1 AND r <= 3 AS DOUBLE)) AS winner_top3, min(CASE WHEN pos = 1 THEN CAST(r AS DOUBLE) END) AS winner_rank,
-  avg(abs(r - pos)) AS rank_mae, sum({_GAIN.format(r="r")}) / sum({_GAIN.format(r="ir")}) AS ndcg5, corr(r, pos) AS spearman,
-  -ln(greatest(max(CASE WHEN pos = 1 THEN pr END), 1e-12)) AS winner_logloss, avg(pow(pr - CAST(pos = 1 AS DOUBLE), 2)) AS winner_brier FROM b GROUP BY i)
-"""
-
-
-@query(f"WITH {_METRICS} SELECT i, n_entries, top1, winner_top3, winner_rank, round(rank_mae, 6) AS rank_mae, round(ndcg5, 6) AS ndcg5, round(spearman, 6) AS spearman, round(winner_logloss, 6) AS winner_logloss, round(winner_brier, 6) AS winner_brier FROM m")
-def race_metrics(spark, sf_dir):
-    out = V.race_metrics(field(spark, sf_dir), ["i"], "user_id", "pr", "pos", "pr")
-    return out.select("i", "n_entries", "top1", "winner_top3", "winner_rank", *r6s("rank_mae", "ndcg5", "spearman", "winner_logloss", "winner_brier"))
-
-
-@query(f"""
-WITH {_METRICS}, l AS (SELECT CASE WHEN CAST(i AS BIGINT) % 2 = 0 THEN 'even' ELSE 'odd' END AS model, * FROM m),
-g AS (SELECT model, count(*) AS n, avg(top1) AS p, avg(ndcg5) AS ndcg5, avg(winner_logloss) AS ll FROM l GROUP BY model)
-SELECT model, n AS n_races, round(p, 6) AS top1, round(ndcg5, 6) AS ndcg5, round(ll, 6) AS winner_logloss,
-  round((p + 3.841458820 / (2 * n)) / (1 + 3.841458820 / n) - 1.959963985 * sqrt(p * (1 - p) / n + 3.841458820 / (4.0 * n * n)) / (1 + 3.841458820 / n), 6) AS top1_low,
-  round((p + 3.841458820 / (2 * n)) / (1 + 3.841458820 / n) + 1.959963985 * sqrt(p * (1 - p) / n + 3.841458820 / (4.0 * n * n)) / (1 + 3.841458820 / n), 6) AS top1_high FROM g
-""")
-def leaderboard(spark, sf_dir):
-    per = V.race_metrics(field(spark, sf_dir), ["i"], "user_id", "pr", "pos", "pr").withColumn("model", F.when(F.col("i").cast("long") % 2 == 0, "even").otherwise("odd"))
-    return V.leaderboard(per, "model", ["top1", "ndcg5", "winner_logloss"]).select("model", "n_races", *r6s("top1", "ndcg5", "winner_logloss", "top1_low", "top1_high"))
-
-
-@query("SELECT CAST(greatest(ceil(round(l_discount * 10, 9)), 1) AS BIGINT) AS bin, count(*) AS n, round(avg(l_discount), 6) AS predicted, round(avg(CAST(l_returnflag = 'R' AS INT)), 6) AS observed, round(abs(avg(CAST(l_returnflag = 'R' AS INT)) - avg(l_discount)), 6) AS gap FROM lineitem GROUP BY 1")
-def calibration_table(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("p"), (F.col("l_returnflag") == "R").alias("y"))
-    return V.calibration_table(rows, "p", "y").select("bin", "n", *r6s("predicted", "observed", "gap"))
-
-
-@query("""
-WITH b AS (SELECT CASE WHEN l_discount <= 0.02 THEN 1 WHEN l_discount <= 0.05 THEN 2 WHEN l_discount <= 0.1 THEN 3 WHEN l_discount <= 0.2 THEN 4 ELSE 5 END AS bin, l_discount AS p, CAST(l_returnflag = 'R' AS INT) AS y FROM lineitem),
-t AS (SELECT bin, count(*) AS n, abs(avg(y) - avg(p)) AS gap FROM b GROUP BY bin) SELECT round(sum(gap * n) / sum(n), 6) AS ece, CAST(sum(n) AS BIGINT) AS n FROM t
-""")
-def reliability_ece(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("p"), (F.col("l_returnflag") == "R").alias("y"))
-    return V.expected_calibration_error(V.calibration_table(rows, "p", "y", bins=None)).select(*r6s("ece"), "n")
-
-
 _ODDS = f"{_FIELD}, o AS (SELECT *, CASE WHEN n >= 3 THEN -110 - 10 * n ELSE 100 + 150 * n END AS odds FROM f), k AS (SELECT *, CASE WHEN odds > 0 THEN 100.0 / (odds + 100.0) ELSE abs(odds) / (abs(odds) + 100.0) END AS raw, CASE WHEN odds > 0 THEN 1 + odds / 100.0 ELSE 1 + 100.0 / abs(odds) END AS dec FROM o), h AS (SELECT *, sum(raw) OVER (PARTITION BY i) AS ov, raw / sum(raw) OVER (PARTITION BY i) AS mp FROM k), j AS (SELECT *, pr * dec - 1 AS xv, greatest((pr * (dec - 1) - (1 - pr)) / (dec - 1), 0) AS kf FROM h)"
 
 
@@ -467,52 +414,7 @@ def _z(*parts: str) -> str:
     return f"(sqrt(-2.0 * ln({_u(*parts)})) * cos(6.283185307179586 * {_u(*parts, part=1)}))"
 
 
-_SEED, _SIMS = 20260913, 200
-_SUMMARY = """
-, c AS (SELECT race, entry, sum(CAST(finish = 1 AS INT)) / {n} AS win_probability, sum(CAST(finish <= 3 AS INT)) / {n} AS podium_probability, sum(CAST(finish <= least(10, field) AS INT)) / {n} AS top10_probability,
-  sum(CAST(retired AS INT)) / {n} AS failure_probability, sum(finish) / {n} AS expected_finish, CAST(percentile_disc(0.1) WITHIN GROUP (ORDER BY finish) AS BIGINT) AS finish_p10,
-  CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY finish) AS BIGINT) AS finish_p50, CAST(percentile_disc(0.9) WITHIN GROUP (ORDER BY finish) AS BIGINT) AS finish_p90 FROM r GROUP BY race, entry)
-SELECT race, entry, round(win_probability, 6) AS win_probability, round(podium_probability, 6) AS podium_probability, round(top10_probability, 6) AS top10_probability, round(failure_probability, 6) AS failure_probability,
-  round(expected_finish, 6) AS expected_finish, finish_p10, finish_p50, finish_p90, row_number() OVER (PARTITION BY race ORDER BY win_probability DESC, expected_finish, entry) AS win_rank FROM c
-""".replace("{n}", f"{_SIMS}.0")
-_ENTRIES = f"""
-en AS (SELECT CAST(s_nationkey % 5 AS BIGINT) AS race, s_suppkey AS entry, s_acctbal / 5000.0 AS strength, 0.3 AS sd, 0.05 + 0.01 * (s_suppkey % 20) AS p, 0.4 AS difficulty FROM supplier),
-calm AS (SELECT *, p / (1 + 0.22 * (2.1 - 1)) AS o FROM en), cc AS (SELECT *, CASE WHEN o * 2.1 > 1 THEN (p - 0.22) / (1 - 0.22) ELSE o END AS pc FROM calm),
-si AS (SELECT *, unnest(range({_SIMS})) AS sim FROM cc),
-fa AS (SELECT *, count(*) OVER (PARTITION BY race, sim) AS field, {_u(str(_SEED), "'fail'", "race", "sim", "entry")} < CASE WHEN {_u(str(_SEED), "'chaos'", "race", "sim")} < 0.22 THEN least(pc * 2.1, 1.0) ELSE pc END AS retired FROM si)
-"""
-
-
-def _score(p: str) -> str:
-    return f"(-{_probit(f'least(greatest({p}, 1e-4), 1 - 1e-4)')})"
-
-
-@query(f"""
-WITH {_ENTRIES}, q AS (SELECT *, row_number() OVER (PARTITION BY race, sim ORDER BY strength + sqrt(0.55 * 0.55 + sd * sd) * {_z(str(_SEED), "'quali'", "race", "sim", "entry")} DESC, entry) AS grid FROM fa),
-s AS (SELECT *, (0.18 + 0.70 * difficulty) AS g, CASE WHEN field > 1 THEN ({_score("0.5 / field")} - {_score("(field - 0.5) / field")}) / (field - 1) ELSE 0 END AS slot FROM q),
-x AS (SELECT *, g * ({_score("(grid - 0.5) / field")} + slot * (1.6 * {_z(str(_SEED), "'start'", "race", "sim", "entry")} + 2.0 * {_z(str(_SEED), "'strategy'", "race", "sim", "entry")}))
-  + (1 - g) * (strength + sqrt(0.6 * 0.6 + sd * sd) * {_z(str(_SEED), "'race'", "race", "sim", "entry")}) AS sc FROM s),
-r AS (SELECT *, row_number() OVER (PARTITION BY race, sim ORDER BY retired, sc DESC, entry) AS finish FROM x) {_SUMMARY}
-""")
-def monte_carlo_race(spark, sf_dir):
-    out = simulation.simulate_race(_entries(spark, sf_dir), "race", "entry", "strength", "sd", "p", "difficulty", simulation.SimulationSettings(n_sims=_SIMS))
-    return _rounded(out)
-
-
-@query(f"WITH {_ENTRIES}, r AS (SELECT *, row_number() OVER (PARTITION BY race, sim ORDER BY retired, strength / 1.0 - ln(-ln({_u(str(_SEED), chr(39) + 'gumbel' + chr(39), 'race', 'sim', 'entry')})) DESC, entry) AS finish FROM fa) {_SUMMARY}")
-def plackett_luce(spark, sf_dir):
-    return _rounded(simulation.simulate_plackett_luce(_entries(spark, sf_dir), "race", "entry", "strength", "p", settings=simulation.SimulationSettings(n_sims=_SIMS)))
-
-
-def _entries(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select(
-        (F.col("s_nationkey") % 5).cast("long").alias("race"), F.col("s_suppkey").alias("entry"), (F.col("s_acctbal") / 5000.0).alias("strength"), F.lit(0.3).alias("sd"), (0.05 + 0.01 * (F.col("s_suppkey") % 20)).alias("p"), F.lit(0.4).alias("difficulty")
-    )
-
-
-def _rounded(out):
-    p = ("win_probability", "podium_probability", "top10_probability", "failure_probability", "expected_finish")
-    return out.select("race", "entry", *r6s(*p), "finish_p10", "finish_p50", "finish_p90", *longs("win_rank"))
+_SEED = 20260913
 
 
 @query("SELECT p, q, round(CASE WHEN q >= 1 THEN p / 2.1 ELSE c END, 6) AS calm, round(CASE WHEN q >= 1 THEN p ELSE least(c * 2.1, 1) END, 6) AS chaos FROM (SELECT p, q, CASE WHEN p / (1 + q * 1.1) * 2.1 > 1 THEN (p - q) / nullif(1 - q, 0) ELSE p / (1 + q * 1.1) END AS c FROM (SELECT DISTINCT CAST(l_discount AS DOUBLE) * 8 AS p FROM lineitem) a CROSS JOIN (VALUES (0.0::DOUBLE), (0.22::DOUBLE), (1.0::DOUBLE)) t(q))")
@@ -523,44 +425,14 @@ def rate_split(spark, sf_dir):
     return p.select("p", "q", r6(calm, "calm"), r6(chaos, "chaos"))
 
 
-def _boot(block: int, season: str) -> str:
-    start = f"CAST(floor({_u(str(_SEED), chr(39) + 'ndcg5' + chr(39), 'b', 'sn', f'CAST(floor(j / w) AS BIGINT)')} * n) AS BIGINT)"
-    return f"""
-WITH {_METRICS}, x AS (SELECT e.i, o.ndcg5 - e.ndcg5 AS delta FROM m e JOIN m o ON o.i = e.i + 1 WHERE CAST(e.i AS BIGINT) % 2 = 0),
-y AS (SELECT i, delta, {season} AS sn, row_number() OVER (PARTITION BY {season} ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY {season}) AS n FROM x),
-dr AS (SELECT unnest(range(500)) AS b), pl AS (SELECT b, sn, n, k AS j, least({block}, n) AS w FROM y, dr), pk AS (SELECT b, sn, ({start} + j % w) % n AS k FROM pl),
-mn AS (SELECT b, avg(delta) AS mean FROM pk JOIN y USING (sn, k) GROUP BY b)
-SELECT (SELECT round(avg(delta), 6) FROM x) AS delta, (SELECT count(*) FROM x) AS n_races, round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high, round(avg(CAST(mean > 0 AS INT)), 6) AS p_better FROM mn
-"""
-
-
-def _pairs(spark, sf_dir):
-    m = V.race_metrics(field(spark, sf_dir), ["i"], "user_id", "pr", "pos", "pr")
-    even = m.where(F.col("i").cast("long") % 2 == 0).select(F.col("i").alias("race"), "ndcg5")
-    return V.paired_deltas(even, m.select((F.col("i") - 1).alias("race"), "ndcg5"), "race", "ndcg5")
-
-
-@query(_boot(1, "0"))
-def paired_bootstrap(spark, sf_dir):
-    return V.bootstrap(_pairs(spark, sf_dir), "race", "ndcg5", draws=500).select(*r6s("delta"), "n_races", *r6s("ci_low", "ci_high", "p_better"))
-
-
-@query(_boot(4, "CAST(floor(i / 16) AS BIGINT)"))
-def block_bootstrap(spark, sf_dir):
-    d = _pairs(spark, sf_dir).withColumn("season", F.floor(F.col("race") / 16).cast("long"))
-    return V.bootstrap(d, "race", "ndcg5", draws=500, block=4, season="season").select(*r6s("delta"), "n_races", *r6s("ci_low", "ci_high", "p_better"))
-
-
 @query("""
-WITH t AS (SELECT vec_id AS target, embedding AS te FROM embeddings WHERE vec_id < 5),
+WITH t AS (SELECT vec_id AS target, embedding AS te FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT target, vec_id, round(list_dot_product(embedding::DOUBLE[], te::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(te::DOUBLE[], te::DOUBLE[])), 6) AS similarity FROM embeddings, t WHERE vec_id <> target)
 SELECT target, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY similarity DESC, vec_id) AS r FROM s) WHERE r <= 5
 """)
 def embedding_topk(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    targets = e.where("vec_id < 5").select(F.col("vec_id").alias("target"), F.col("embedding").alias("te"))
-    s = e.join(F.broadcast(targets), F.col("vec_id") != F.col("target")).select("target", "vec_id", r6(S.cosine(F.col("embedding"), F.col("te")), "similarity"))
-    return temporal.last_per_group(s, ["target"], [F.col("similarity").desc(), F.col("vec_id")], 5)
+    e = table(spark, sf_dir, "embeddings")
+    return temporal.most_similar(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 5)
 
 
 @query(f"""
@@ -599,15 +471,3 @@ def upsert(spark, sf_dir):
 def data_quality(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"), r6(F.avg((F.col("n_chars") > 2000).cast("int")), "long_share"), r6(F.median("n_chars"), "median_chars"))
-
-
-@query()
-def local_level(spark, sf_dir):
-    return filtering.local_level(days(spark, sf_dir), ["user_id"], "i", "v", prior=100.0, step=1.0, noise=50.0).select("user_id", "n", *r6s("level", "variance", "loglik"))
-
-
-@query()
-def acceptance_gates(spark, sf_dir):
-    tests = paired_bootstrap(spark, sf_dir).withColumn("metric", F.lit("ndcg5"))
-    n = tests.first()["n_races"]
-    return V.acceptance(tests, n, 0.05, 0.04)
