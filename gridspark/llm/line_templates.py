@@ -8,15 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, attach_group, in_groups, scratch, staged
+from .common import BROADCAST_ROWS, SPACE, attach_group, in_groups, scratch, staged
 
 ANY = "<*>"
 #: A token with a digit in it, from its first character on.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 #: Texts without any of this have only lines that masking leaves as they are.
 MASKABLE = r"[0-9\x09\x0B-\x0D]|  |(?:^|\n) | (?:\n|$)"
-#: Places of dropped lines that may be broadcast, at 16 bytes each.
-BROADCAST_PLACES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -24,9 +22,10 @@ class TemplateConfig:
     """A leaf is a token count and the first depth tokens, with ANY for tokens that hold a digit.
 
     A node, at first a leaf, is a template if its lines have one token at `similar` of their places or more; it is
-    recurring if min_docs documents share it.  Another node is split at the place where most lines have a token that
-    min_docs documents share there: each such token makes a node, and the other lines make one more.  A masked line
-    that min_docs documents share is recurring as well, and one of long_tokens tokens that long_docs share.
+    recurring if min_docs documents share it.  Another node is split by the common tokens, which min_docs documents
+    share at a place; only places count whose common tokens cover at least half as many lines as the best place's.
+    Lines with the same common tokens there make a node, and lines without any make one more.  A masked line that
+    min_docs documents share is recurring as well, and one of long_tokens tokens that long_docs share.
     """
 
     depth: int = 4
@@ -51,22 +50,17 @@ def _n_tokens(line: Column) -> Column:
     return F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def mask_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, doc_id, text, masks (of the lines that masking changes, else NULL) and keys of all masked lines."""
+def mask_lines(docs: DataFrame, config: TemplateConfig, id_col: str, text_col: str) -> DataFrame:
+    """row, doc_id, lines, n_lines (with a word), masks (of the lines that masking changes, else NULL), and of all masked
+    lines keys, leaves and numbers of tokens: what later steps need without reading the lines again."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("*", F.when(F.col("text").rlike(MASKABLE), F.transform(F.split("text", "\n"), masked)).alias("m"))
-    lines = F.coalesce("m", F.split("text", "\n"))
-    rows = rows.select("row", "doc_id", "text", "m", F.transform(lines, _key).alias("keys"))
-    masks = F.transform("m", lambda x, i: F.nullif(x, F.get(F.split("text", "\n"), i)))
-    return rows.select("row", "doc_id", "text", masks.alias("masks"), "keys")
-
-
-def _lines(rows: DataFrame) -> DataFrame:
-    """row, line, key: the distinct masked lines of each document that have a word."""
-    plain = F.split("text", "\n")
-    lines = F.when(F.col("masks").isNull(), plain).otherwise(F.zip_with("masks", plain, lambda m, x: F.coalesce(m, x)))
-    return rows.select("row", F.explode(F.array_distinct(lines)).alias("line")).where("line <> ''").select("row", "line", _key(F.col("line")).alias("key"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.split(text, "\n").alias("lines"), text.rlike(MASKABLE).alias("odd"))
+    rows = rows.select("row", "doc_id", "lines", F.when(F.col("odd"), F.transform("lines", masked)).alias("m"))
+    rows = rows.select("row", "doc_id", "lines", F.zip_with("m", "lines", lambda m, x: F.nullif(m, x)).alias("masks"), F.coalesce("m", "lines").alias("all"))
+    first = F.transform("all", lambda x: _leaf(x, config))
+    return rows.select(
+        "row", "doc_id", "lines", F.size(F.array_remove("all", "")).cast("long").alias("n_lines"), "masks",
+        F.transform("all", _key).alias("keys"), first.alias("leaves"), F.transform("all", _n_tokens).alias("sizes"))
 
 
 def _leaf(line: Column, config: TemplateConfig) -> Column:
@@ -77,14 +71,12 @@ def tree_nodes(lines: DataFrame, config: TemplateConfig) -> DataFrame:
     """(node, key) of the lines (node, key, tokens, n: their documents) that end in a template.
 
     Every round splits all open nodes once.  Nodes that have too few documents, or too many places without a common
-    token, can never become templates and are closed; a split settles a place, so the rounds end.
+    token, can never become templates and are closed.  A round halves the documents that a node's best open place
+    covers, so the number of rounds grows with the logarithm of the documents.
     """
-    open_, done = lines, None
-    while True:
-        total, = open_.agg(F.count("*")).first()
-        if not total:
-            break
-        each = open_.select("node", "n", F.posexplode("tokens").alias("place", "token"))
+    open_, done = lines, lines.select("node", "key").limit(0)
+    while total := open_.count():
+        each = open_.select("node", "key", "n", F.posexplode("tokens").alias("place", "token"))
         cells = staged(each.groupBy("node", "place", "token").agg(F.sum("n").alias("n"), F.count("*").alias("lines")), "template-cells")
         often = F.col("n") >= config.min_docs
         places = cells.groupBy("node", "place").agg(
@@ -92,36 +84,47 @@ def tree_nodes(lines: DataFrame, config: TemplateConfig) -> DataFrame:
         one, none = F.col("kinds") == 1, (F.col("kinds") > 1) & (F.col("cover") == 0)
         nodes = places.groupBy("node").agg(
             F.count("*").alias("size"), F.max("docs").alias("docs"), F.max("lines").alias("lines"), F.sum(one.cast("long")).alias("fixed"), F.sum(none.cast("long")).alias("loose"),
-            F.max(F.when(~one & ~none, F.struct("cover", (-F.col("place")).alias("p")))).alias("best"))
+            F.max(F.when(~one & ~none, F.col("cover"))).alias("best"))
         whole = F.col("fixed") >= config.similar * F.col("size")
         alive = (F.col("docs") >= config.min_docs) & ((F.col("size") - F.col("loose")) >= config.similar * F.col("size"))
-        nodes = staged(nodes.where(alive).select("node", "lines", whole.alias("whole"), (-F.col("best.p")).alias("split")).where("whole OR split IS NOT NULL"), "template-nodes")
-        here = attach_group(open_, nodes, "node", "lines", total).where("whole IS NOT NULL").drop("lines")
-        ended = staged(here.where("whole").select("node", "key"), "template-lines")
-        done = ended if done is None else done.unionByName(ended)
-        child = here.where("NOT whole").withColumn("child", F.xxhash64("node", "split", F.get("tokens", F.col("split"))))
-        wide = cells.where(often).join(nodes.where("NOT whole").select("node", "split"), "node").where("place = split")
-        wide = wide.select(F.xxhash64("node", "split", "token").alias("child"), F.col("lines").alias("__lines"), F.lit(True).alias("common"))
-        child = attach_group(child.select("child", "node", "split", "key", "tokens", "n"), wide, "child", "__lines", total)
-        rest = F.xxhash64("node", "split")
-        open_ = staged(child.select(F.when(F.col("common"), F.col("child")).otherwise(rest).alias("node"), "key", "tokens", "n"), "template-open")
-    return lines.select("node", "key").limit(0) if done is None else done
+        nodes = staged(nodes.where(alive).select("node", "lines", whole.alias("whole"), "best").where("whole OR best IS NOT NULL"), "template-nodes")
+        here = attach_group(open_, nodes, "node", "lines", total).where("whole IS NOT NULL").drop("lines", "best")
+        done = done.unionByName(staged(here.where("whole").select("node", "key"), "template-lines"))
+        here = staged(here.where("NOT whole"), "template-open")
+        chosen = places.where((F.col("kinds") > 1) & (F.col("cover") > 0)).select("node", "place", "cover")
+        chosen = chosen.join(nodes.where("NOT whole").select("node", "best"), "node").where(F.col("cover") * 2 >= F.col("best")).select("node", "place")
+        cell = F.struct("node", "place", "token").alias("cell")
+        wide = staged(cells.where(often).join(chosen, ["node", "place"]).select(cell, F.col("lines").alias("lines_")), "template-splits")
+        apart = here.select("key", F.col("node").alias("of"), F.posexplode("tokens").alias("place", "token"))
+        apart = apart.select("of", "key", F.struct(F.col("of").alias("node"), "place", "token").alias("cell"))
+        n_tokens = cells.agg(F.sum("lines")).first()[0]
+        apart = in_groups(apart, wide, "cell", "lines_", n_tokens).groupBy("of", "key")
+        child = apart.agg(F.xxhash64("of", F.sort_array(F.collect_list(F.struct("cell.place", "cell.token")))).alias("child"))
+        named = here.join(child.select(F.col("of").alias("node"), "key", "child"), ["node", "key"], "left")
+        open_ = staged(named.select(F.coalesce("child", F.xxhash64("node")).alias("node"), "key", "tokens", "n"), "template-open")
+    return done
 
 
 def recurring(rows: DataFrame, config: TemplateConfig = TemplateConfig()) -> DataFrame:
     """(key, n_docs) of the masked lines to drop, of mask_lines' rows."""
-    keys = rows.select("row", F.explode(F.array_distinct("keys")).alias("key")).where(F.col("key") != _key(F.lit("")))
+    blank = F.col("key") == _key(F.lit(""))
+    keys = rows.select("row", F.explode(F.array_distinct("keys")).alias("key")).where(~blank)
     shared = staged(keys.groupBy("key").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min(config.long_docs, config.min_docs)), "shared-lines")
     same = shared.where(F.col("n_docs") >= config.min_docs)
-    lines = _lines(rows)
-    n = _n_tokens(F.col("line"))
-    some = in_groups(lines.where(n >= config.long_tokens).select("key"), shared.where(F.col("n_docs") >= config.long_docs), "key", "n_docs", rows.count())
-    same = staged(same.unionByName(shared.join(some.distinct(), "key", "left_semi")).distinct(), "same-lines")
+    sized = rows.select(F.explode(F.arrays_zip("keys", "sizes")).alias("x")).where(F.col("x.sizes") >= config.long_tokens).select(F.col("x.keys").alias("key"))
+    some = shared.where(F.col("n_docs") >= config.long_docs).join(sized.distinct(), "key", "left_semi")
+    same = staged(same.unionByName(some).distinct(), "same-lines")
     # A leaf no longer than the tree is deep has one line, so only longer ones are looked at further.
-    deep = lines.where(n > config.depth).select("row", "key", "line", _leaf(F.col("line"), config).alias("node"))
-    leaves = deep.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") >= config.min_docs)
+    each = rows.select("row", F.explode(F.array_distinct(F.arrays_zip("leaves", "keys", "sizes"))).alias("x")).where(F.col("x.sizes") > config.depth)
+    leaves = each.groupBy(F.col("x.leaves").alias("node")).agg(F.count("*").alias("size")).where(F.col("size") >= config.min_docs)
+    leaves = staged(leaves, "leaves")
     n_lines = keys.count()
-    here = staged(in_groups(deep, staged(leaves, "leaves"), "node", "size", n_lines), "leaf-lines")
+    lines = F.when(F.col("masks").isNull(), F.col("lines")).otherwise(F.zip_with("masks", "lines", lambda m, x: F.coalesce(m, x)))
+    deep = rows.select("row", F.explode(F.array_distinct(F.arrays_zip(lines.alias("line"), "keys", "leaves", "sizes"))).alias("x")).where(F.col("x.sizes") > config.depth)
+    deep = deep.select("row", F.col("x.keys").alias("key"), F.col("x.line").alias("line"), F.col("x.leaves").alias("node"))
+    few = leaves.count() <= BROADCAST_ROWS // 4
+    here = deep.join(F.broadcast(leaves.select("node")), "node", "left_semi") if few else in_groups(deep, leaves, "node", "size", n_lines)
+    here = staged(here, "leaf-lines")
     each = here.groupBy("node", "key").agg(F.first("line").alias("line"), F.count("*").alias("n"))
     each = staged(each.select("node", "key", F.split("line", " ").alias("tokens"), "n"), "distinct-lines")
     ended = staged(tree_nodes(each, config).select(F.col("node").alias("template"), "key"), "template-members")
@@ -141,18 +144,14 @@ def drop_recurring_lines(docs: DataFrame, config: TemplateConfig = TemplateConfi
     later steps meet lines by their keys, and only places of dropped lines come back to the texts.
     """
     with scratch(docs.sparkSession):
-        rows = staged(mask_lines(docs, id_col, text_col), "masked-lines", keep=True)
+        rows = staged(mask_lines(docs, config, id_col, text_col), "masked-lines", keep=True)
         drop = staged(recurring(rows, config), "dropped-lines")
         each = rows.select("row", F.posexplode("keys").alias("place", "key"))
         total = rows.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
         hits = in_groups(each, drop, "key", "n_docs", total).groupBy("row").agg(F.collect_list("place").alias("places"))
         hits = staged(hits, "dropped-places", keep=True)
-        n_places = hits.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
-    side = F.broadcast(hits) if n_places <= BROADCAST_PLACES else hits
-    n_lines = F.size(F.filter("keys", lambda k: k != _key(F.lit("")))).cast("long")
-    lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("places", F.array().cast("array<int>")))
-    text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    out = rows.select("row", "doc_id", "lines", "n_lines").join(hits.hint("merge"), "row", "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "places")
     none = F.col("places").isNull()
-    return rows.join(side, "row", "left").select(
-        "doc_id", n_lines.alias("n_lines"), F.when(none, F.lit(0)).otherwise(F.size("places")).cast("long").alias("n_dropped"), F.when(none, F.col("text")).otherwise(text).alias("text"))
+    text = F.array_join(F.when(none, F.col("lines")).otherwise(F.transform(kept, lambda i: F.get("lines", i))), "\n")
+    return out.select("doc_id", "n_lines", F.when(none, F.lit(0)).otherwise(F.size("places")).cast("long").alias("n_dropped"), text.alias("text"))
