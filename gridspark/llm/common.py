@@ -77,16 +77,17 @@ def scratch(spark: SparkSession):
 def attach_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """rows left-joined with groups (one row per key; size: rows that have the key, of total).
 
-    Keys with at least total/HOT_SHARE rows number HOT_SHARE at most, which bounds their broadcast; all others
-    are joined by a shuffle in which no key has more than that share of the rows.
+    Keys with at least total/HOT_SHARE rows number HOT_SHARE at most; their hashes split both sides into a part that
+    is joined by a broadcast of those groups and one that is joined by a shuffle, in which no key has more than that
+    share of the rows.
     """
     limit = max(total // HOT_SHARE, 1)
-    add = [c for c in groups.columns if c != key]
-    hot = groups.where(F.col(size) >= limit)
-    flagged = rows.join(F.broadcast(hot.select(key, F.struct(*add).alias("__hot"))), key, "left")
-    warm = flagged.where("__hot IS NOT NULL").select(*rows.columns, *[F.col(f"__hot.{c}").alias(c) for c in add])
-    cold = flagged.where("__hot IS NULL").drop("__hot").join(groups.where(F.col(size) < limit), key, "left")
-    return warm.unionByName(cold.select(*warm.columns))
+    place = F.xxhash64(key)
+    hot = [r[0] for r in groups.where(F.col(size) >= limit).select(place.alias("h")).distinct().collect()]
+    if not hot:
+        return rows.join(groups, key, "left")
+    warm = rows.where(place.isin(hot)).join(F.broadcast(groups.where(place.isin(hot))), key, "left")
+    return warm.unionByName(rows.where(~place.isin(hot)).join(groups.where(~place.isin(hot)), key, "left"))
 
 
 def in_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
