@@ -443,10 +443,11 @@ def brute_lines(pairs, c):
             if sum(bool(ms & set(lines)) for ms in doc_lines) >= c.min_docs:
                 drop.update(lines)
             return
-        p = max((q for q in range(size) if len(at[q]) > 1 and cover[q]), key=lambda q: (cover[q], -q))
+        best = max(cover[q] for q in range(size) if len(at[q]) > 1)
+        at_ = [q for q in range(size) if len(at[q]) > 1 and cover[q] and 2 * cover[q] >= best]
         groups = defaultdict(list)
         for m, t in zip(lines, toks):
-            groups[t[p] if at[p][t[p]] >= c.min_docs else None].append(m)
+            groups[tuple((q, t[q]) for q in at_ if at[q][t[q]] >= c.min_docs)].append(m)
         for x in groups.values():
             node(x)
 
