@@ -15,7 +15,7 @@ QUANTILE_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00
 QUANTILE_TAIL = 0.02425
 
 # Stages in order, and hours before the start at which information closes.
-STAGES = {"PRE_WEEKEND": -60, "POST_FP1": -50, "POST_FP2": -46, "POST_FP3": -27, "POST_QUALIFYING": -23, "RACE_START": 0}
+STAGES = {"PRE_WEEKEND": -60, "POST_FP1": -50, "POST_FP2": -46, "POST_FP3": -27, "POST_QUALI": -23, "RACE_START": 0}
 # Regimes by first and last season; the last one is open.
 REGIMES = (("R2014", 2014, 2016), ("R2017", 2017, 2021), ("R2022", 2022, 2025), ("R2026", 2026, None))
 
@@ -200,7 +200,8 @@ def wind_components(speed: Column, wind_degrees: Column, heading_degrees: Column
 
 
 def traffic_class(gap: Column) -> Column:
-    return F.when(gap < 1, "dirty").when(gap < 2, "affected").otherwise("clean")
+    """By seconds to the car ahead; a gap that is missing or not finite is clean air."""
+    return F.when(gap.isNull() | F.isnan(gap) | (F.abs(gap) == float("inf")), "clean").when(gap < 1, "dirty").when(gap < 2, "affected").otherwise("clean")
 
 
 def pit_loss(entry: Column, exit_: Column, reference: Column) -> Column:
@@ -218,3 +219,41 @@ def status_class(status: Column, position_text: Column) -> Column:
     incident = F.lower(s).rlike("|".join(INCIDENT_WORDS)) | (p == "D")
     never = s.isin(*NON_STARTERS) | p.isin("W", "F")
     return F.when(never, "non_starter").when(p.rlike("^[0-9]+$"), "finished").when(incident, "incident").otherwise("mechanical")
+
+
+#: Statuses of cars that reached the flag.
+FINISHED = ("Finished", "Lapped")
+
+
+def is_finished(status: Column) -> Column:
+    s = F.trim(F.coalesce(status, F.lit("")))
+    return s.isin(*FINISHED) | s.startswith("+")
+
+
+def to_free(value: Column, low: float, high: float) -> Column:
+    """A bounded number on the whole line."""
+    return logit(clip((value - low) / (high - low), 1e-6, 1 - 1e-6))
+
+
+def from_free(value: Column, low: float, high: float) -> Column:
+    return low + (high - low) * sigmoid(value)
+
+
+def undercut_power(before: Column, fresh: Column, pit_loss: Column, laps: float = 2.0) -> Column:
+    """Time that fresh tyres gain over some laps, as a share of the pit loss."""
+    return F.greatest(before - fresh, F.lit(0.0)) * laps / F.greatest(pit_loss, F.lit(1e-9))
+
+
+def shrink_mean(total: Column, count: Column, prior: Column, strength: float = 5.0) -> Column:
+    """The mean of count values, drawn to the prior as by `strength` more of them; without values the prior."""
+    return F.when(count > 0, (total + strength * prior) / (count + strength)).otherwise(prior)
+
+
+#: Dimensions of a track's demand and of a car's capability that belong together.
+MATCHED = (("low_speed_share", "low_speed"), ("medium_speed_share", "medium_speed"), ("high_speed_share", "high_speed"), ("braking_demand", "braking"), ("traction_demand", "traction"), ("aero_demand", "aero"))
+
+
+def named_cosine(columns: list[str]) -> Column:
+    """Cosine of a track's and a car's matched dimensions, of those that a row has on both sides."""
+    have = [(a, b) for a, b in MATCHED if a in columns and b in columns]
+    return cosine(F.array(*[F.col(a).cast("double") for a, _ in have]), F.array(*[F.col(b).cast("double") for _, b in have]))

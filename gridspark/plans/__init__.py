@@ -1,6 +1,6 @@
 """Registered queries over the shared tables, and the SQL that gives the same rows."""
 
-from . import evaluation, laps, simulation  # noqa: F401  (add their queries to the catalogue)
+from . import evaluation, laps, models, simulation  # noqa: F401  (add their queries to the catalogue)
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -134,14 +134,13 @@ def regime_lookup(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(S.regime(F.year("o_orderdate") + 20).alias("regime")).agg(F.count("*").alias("n"))
 
 
-@query("""
-WITH f(feature, earliest_stage) AS (VALUES ('history', 'PRE_WEEKEND'), ('practice', 'POST_FP2'), ('grid', 'POST_QUALIFYING'), ('result', 'POST_RACE')),
-s(stage, k) AS (VALUES ('PRE_WEEKEND', 0), ('POST_FP1', 1), ('POST_FP2', 2), ('POST_FP3', 3), ('POST_QUALIFYING', 4), ('RACE_START', 5))
+@query(f"""
+WITH f(feature, earliest_stage) AS (VALUES {', '.join(map(str, guards.FAMILIES.items()))}),
+s(stage, k) AS (VALUES ('PRE_WEEKEND', 0), ('POST_FP1', 1), ('POST_FP2', 2), ('POST_FP3', 3), ('POST_QUALI', 4), ('RACE_START', 5))
 SELECT f.feature, f.earliest_stage, s.stage, coalesce(e.k <= s.k, false) AS allowed FROM f CROSS JOIN s LEFT JOIN s e ON e.stage = f.earliest_stage
 """)
 def stage_gate(spark, sf_dir):
-    features = spark.createDataFrame([("history", "PRE_WEEKEND"), ("practice", "POST_FP2"), ("grid", "POST_QUALIFYING"), ("result", "POST_RACE")], "feature string, earliest_stage string")
-    return guards.stage_gate(features, spark.createDataFrame([(s,) for s in S.STAGES], "stage string"))
+    return guards.stage_gate(guards.feature_catalogue(spark), spark.createDataFrame([(s,) for s in S.STAGES], "stage string"))
 
 
 @query("SELECT event_type, count(*) AS n_late FROM events WHERE ts IS NULL OR ts >= TIMESTAMP '2024-01-20' - INTERVAL 60 HOUR GROUP BY event_type")
