@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import circuits, corners, pace, panel, retirement
+from ..operators import circuits, corners, filtering, pace, panel, retirement
 from ..operators import estimators as E
+from ..streaming.daily import daily_means as daily
 from .catalog import _DAYS, _LINES, _passes, days, lines, longs, query, r6, r6s, table
 
 _CELLS = f"""
@@ -255,3 +256,27 @@ FROM (SELECT *, least(greatest((l_quantity - 0.05) / 60.0, 1e-6), 1 - 1e-6) AS u
 def bounded_parameters(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").where("l_tax > 0").groupBy("l_orderkey", "l_linenumber", "l_quantity", "l_tax").agg(F.count("*").alias("n"))
     return li.select("l_orderkey", *longs("l_linenumber"), "n", r6(S.to_free(F.col("l_quantity"), 0.05, 60.05), "free"), r6(S.undercut_power(F.col("l_quantity"), F.lit(20.0), F.col("l_tax") * 100), "undercut"))
+
+
+@query()
+def ridge_effects(spark, sf_dir):
+    fit = pace.fit_ridge(lines(spark, sf_dir), "team", "l_suppkey", "l_quantity", "i", 48.0)
+    named = lambda df, kind, value: df.select(F.concat(F.lit(f"{kind}:"), F.col(kind)).alias("effect"), F.col(value).alias("value"), F.col("effect_se").alias("se"))
+    out = named(fit.teams, "team", "team_effect").unionByName(named(fit.drivers, "driver", "driver_effect"))
+    return out.withColumn("intercept", F.lit(fit.intercept)).withColumn("residual_sd", F.lit(fit.residual_sd))
+
+
+@query(f"""
+WITH RECURSIVE {_DAYS}, x AS (SELECT user_id, i, v, row_number() OVER (PARTITION BY user_id ORDER BY i) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM d WHERE v IS NOT NULL),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS m, CAST(100 AS DOUBLE) AS p, CAST(NULL AS DOUBLE) AS t, CAST(0 AS DOUBLE) AS l FROM x
+  UNION ALL SELECT x.user_id, x.k, m + (p + coalesce(x.i - t, 0)) / (p + coalesce(x.i - t, 0) + 50) * (x.v - m), (p + coalesce(x.i - t, 0)) * (1 - (p + coalesce(x.i - t, 0)) / (p + coalesce(x.i - t, 0) + 50)), x.i,
+    l - 0.5 * (ln(2 * 3.141592653589793 * (p + coalesce(x.i - t, 0) + 50)) + (x.v - m) * (x.v - m) / (p + coalesce(x.i - t, 0) + 50)) FROM f JOIN x ON x.user_id = f.user_id AND x.k = f.k + 1)
+SELECT f.user_id, n, round(m, 6) AS level, round(p, 6) AS variance, round(l, 6) AS loglik FROM f JOIN x USING (user_id, k) WHERE k = n
+""")
+def local_level(spark, sf_dir):
+    return filtering.local_level(days(spark, sf_dir), ["user_id"], "i", "v", prior=100.0, step=1.0, noise=50.0).select("user_id", "n", *r6s("level", "variance", "loglik"))
+
+
+@query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def daily_means(spark, sf_dir):
+    return daily(table(spark, sf_dir, "events")).select("user_id", "day", "n", *r6s("mean"))
