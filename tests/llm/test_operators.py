@@ -473,9 +473,10 @@ def test_line_templates(spark, docs, odd, none):
     rows = [(i, f"Posted by user {i} on day {i % 5} of May\nown line number {'abc'[i % 3]} stays here {chr(97 + i)}\n\nShare this page with name{chr(97 + i)} or friends now\nOk.") for i in range(14)]
     made = spark.createDataFrame(rows, "doc_id long, text string")
     config = line_templates.TemplateConfig()
-    for df in (made, docs, odd):
+    for df in (made.unionByName(odd.select("doc_id", "text")), docs):
         assert dropped(df) == brute_lines(texts(df), config)
     assert {r["n_dropped"] for r in line_templates.drop_recurring_lines(made).collect()} == {3}
+    assert line_templates.drop_recurring_lines(odd).count() == len(ROWS)
     assert line_templates.drop_recurring_lines(none).count() == 0
 
 
@@ -490,8 +491,8 @@ def test_line_templates_split_a_leaf(spark):
     passage = " ".join(word() for _ in range(60))
     rows += [(200, "head\n" + passage), (201, passage + "\n tail"), (202, None), (203, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for config in (line_templates.TemplateConfig(), line_templates.TemplateConfig(depth=2, similar=0.5, min_docs=5), line_templates.TemplateConfig(similar=0.85)):
-        assert dropped(df, config) == brute_lines(rows, config)
+    config = line_templates.TemplateConfig(depth=2, similar=0.6, min_docs=5)
+    assert dropped(df, config) == brute_lines(rows, config)
     n = {r["doc_id"]: r["n_dropped"] for r in line_templates.drop_recurring_lines(df).collect()}
     assert all(n[i] == (i % 3 < 2) for i in range(120)) and n[200] == n[201] == 1
 
