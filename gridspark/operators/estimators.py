@@ -80,10 +80,16 @@ def difficulty(per_event: DataFrame, venue: str, least: int = 3) -> DataFrame:
 
 
 def z_scores(df: DataFrame, columns: list[str], group: list[str] | None = None) -> DataFrame:
-    """df with z_<column>: population standard deviation, 1 where there is none."""
-    w = Window.partitionBy(*(group or [F.lit(0)]))
-    sd = lambda c: F.stddev_pop(c).over(w)
-    return df.select("*", *[((F.col(c) - F.avg(c).over(w)) / F.when(sd(c) > 0, sd(c)).otherwise(1.0)).alias(f"z_{c}") for c in columns])
+    """df with z_<column>: population standard deviation, 1 where there is none.  Without a group, means and deviations
+    are one row of aggregates, so no task holds the whole table."""
+    named = [(c, F.avg(c).alias(f"__m_{c}"), F.stddev_pop(c).alias(f"__s_{c}")) for c in columns]
+    if group:
+        w = Window.partitionBy(*group)
+        out = df.select("*", *[x.over(w).alias(n) for c in columns for x, n in ((F.avg(c), f"__m_{c}"), (F.stddev_pop(c), f"__s_{c}"))])
+    else:
+        out = df.join(F.broadcast(df.agg(*[x for _, m, s in named for x in (m, s)])))
+    z = lambda c: (F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") > 0, F.col(f"__s_{c}")).otherwise(1.0)
+    return out.select(*df.columns, *[z(c).alias(f"z_{c}") for c in columns])
 
 
 def nearest(pool: DataFrame, key: str, target, columns: list[str], k: int) -> DataFrame:

@@ -191,9 +191,11 @@ def block_support(per_race: DataFrame, incumbent: str, race: str, season: str, b
 
 
 def market_board(odds: DataFrame, column: str = "american_odds", board: list[str] | None = None) -> DataFrame:
-    w = Window.partitionBy(*(board or [F.lit(0)]))
+    """odds with implied_raw, decimal_odds, the overround of their board (all rows, if none is named) and the market's
+    probability."""
     out = odds.withColumn("implied_raw", american_to_implied(F.col(column))).withColumn("decimal_odds", american_to_decimal(F.col(column)))
-    out = out.withColumn("overround", F.sum("implied_raw").over(w))
+    total = F.sum("implied_raw")
+    out = out.withColumn("overround", total.over(Window.partitionBy(*board))) if board else out.join(F.broadcast(out.agg(total.alias("overround"))))
     return out.withColumn("market_probability", F.when(F.col("overround") > 0, F.col("implied_raw") / F.col("overround")).otherwise(F.col("implied_raw")))
 
 

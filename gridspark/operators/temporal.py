@@ -33,42 +33,70 @@ def shifted(df: DataFrame, group: list[str], value: str, order: str, name: str,
     return df.withColumn(name, F.when(F.count(value).over(w) >= min_periods, STATS[stat](value).over(w)))
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], strict: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], strict: bool = False, width: float | None = None) -> DataFrame:
     """left with the values of the last right row at or before (strict: before) its time.
 
     Both sides go through one sort by key and time, and each left row takes the last right row before it; there
-    is no join on an inequality.
+    is no join on an inequality.  With a width (seconds, or units of a number) a key is sorted by stretches of it, in
+    several tasks, and a stretch without a right row before takes the last one of earlier stretches.
     """
     put = F.struct(F.col(time).alias("__at"), *values)
     a = left.select(*keys, time, F.struct(*left.columns).alias("__row"), F.lit(None).cast(right.select(put.alias("x")).schema["x"].dataType).alias("__put"), F.lit(0 if strict else 1).alias("__side"))
     b = right.select(*keys, time, F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), put.alias("__put"), F.lit(1 if strict else 0).alias("__side"))
-    w = Window.partitionBy(*keys).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("__last", F.last("__put", ignorenulls=True).over(w))
-    return both.where("__row IS NOT NULL").select("__row.*", *[F.col(f"__last.{v}").alias(v) for v in values], F.col("__last.__at").alias("matched_at"))
-
-
-def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], time: str, start: str, end: str, rank: str) -> DataFrame:
+    both, by = a.unionByName(b), list(keys)
+    if width:
+        both, by = both.withColumn("__cell", _bucket(left, time, width)), [*keys, "__cell"]
+    w = Window.partitionBy(*by).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    here = both.withColumn("__last", F.last("__put", ignorenulls=True).over(w)).where("__row IS NOT NULL")
+    if width:
+        latest = both.groupBy(*by).agg(F.max_by("__put", F.when(F.col("__put").isNotNull(), F.col(time))).alias("__put"))
+        earlier = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+        carried = latest.select(*by, F.last("__put", ignorenulls=True).over(earlier).alias("__carried"))
+        here = here.join(carried, by, "left").withColumn("__last", F.coalesce("__last", "__carried"))
+    return here.select("__row.*", *[F.col(f"__last.{v}").alias(v) for v in values], F.col("__last.__at").alias("matched_at"))
+
+
+def _bucket(df: DataFrame, column: str, width: float) -> Column:
+    """The number of the stretch of so many seconds (or units, of a number) that a value lies in."""
+    kind = df.schema[column].dataType.typeName()
+    x = F.unix_micros(F.col(column).cast("timestamp")) / 1e6 if kind.startswith("timestamp") else F.col(column).cast("double")
+    return F.floor(x / width)
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], time: str, start: str, end: str, rank: str, width: float | None = None) -> DataFrame:
     """points with the interval (key, start to end, both included) of highest rank that holds them.
 
-    Equal keys make it a shuffle join with a range residual, which AQE splits where a key is hot; the winner is a
-    partial aggregate, not a window.
+    With a width, points and intervals are dealt to stretches of it (seconds, or units of a number), so a key with many
+    of both is split over tasks; else they meet on equal keys with a range residual.  The winner is a partial aggregate
+    for each distinct key and time, which points then take by an equality.
     """
-    numbered = points.withColumn("__id", F.monotonically_increasing_id())
     other = [c for c in intervals.columns if c not in keys]
-    side = intervals.select(*keys, F.struct(rank, *[c for c in other if c != rank]).alias("__iv"))
+    side = intervals.select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(rank, *[c for c in other if c != rank]).alias("__iv"))
+    at = points.select(*keys, time).where(F.col(time).isNotNull()).distinct()
+    on = [at[k] == side[f"__{k}"] for k in keys]
+    if width:
+        at = at.withColumn("__cell", _bucket(points, time, width))
+        cells = F.sequence(_bucket(intervals, start, width), _bucket(intervals, end, width))
+        side = intervals.where(F.col(start) <= F.col(end)).select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(rank, *[c for c in other if c != rank]).alias("__iv"), F.explode(cells).alias("__span"))
+        on = [*[at[k] == side[f"__{k}"] for k in keys], at["__cell"] == side["__span"]]
     inside = (F.col(time) >= F.col(f"__iv.{start}")) & (F.col(time) <= F.col(f"__iv.{end}"))
-    on = [numbered[k] == side[k] for k in keys]
-    hit = numbered.join(side, [*on, inside], "left").select(numbered["*"], "__iv")
-    best = hit.groupBy("__id").agg(F.max("__iv").alias("__iv"), *[F.first(c).alias(c) for c in points.columns])
-    return best.select(*points.columns, *[F.col(f"__iv.{c}").alias(c) for c in other])
+    best = at.join(side, [*on, inside]).groupBy(*[at[k].alias(f"__{k}") for k in keys], at[time].alias("__time")).agg(F.max("__iv").alias("__iv"))
+    out = points.join(best, [*[points[k] == best[f"__{k}"] for k in keys], points[time] == best["__time"]], "left")
+    return out.select(*[points[c] for c in points.columns], *[F.col(f"__iv.{c}").alias(c) for c in other])
 
 
 def without_overlap(df: DataFrame, marks: DataFrame, keys: list[str], time: str, mark: str, seconds: int) -> DataFrame:
-    """Rows of df with no mark of the same key within so many seconds before or after."""
-    side = marks.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(mark).alias("__mark"))
+    """Rows of df with no mark of the same key within so many seconds before or after.
+
+    Rows and marks are dealt to stretches of that length, a mark to its own and both next ones, so a key with many of
+    both is split over tasks.
+    """
+    cell = _bucket(marks, mark, seconds)
+    side = marks.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(mark).alias("__mark"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("__span"))
     reach = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
     near = F.col("__mark").between(F.col(time) - reach, F.col(time) + reach)
-    return df.join(side, [*[df[k] == side[f"__{k}"] for k in keys], near], "left_anti")
+    rows = df.withColumn("__cell", _bucket(df, time, seconds))
+    return rows.join(side, [*[rows[k] == side[f"__{k}"] for k in keys], rows["__cell"] == side["__span"], near], "left_anti").drop("__cell")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

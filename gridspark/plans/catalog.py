@@ -167,7 +167,7 @@ def asof_backward(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     left = ev.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     right = ev.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"), "value")
-    return temporal.as_of(left, right, ["user_id"], "ts", ["view_id", "value"]).select("event_id", "user_id", "view_id", "value", "matched_at")
+    return temporal.as_of(left, right, ["user_id"], "ts", ["view_id", "value"], width=86400).select("event_id", "user_id", "view_id", "value", "matched_at")
 
 
 @query("""
@@ -178,7 +178,7 @@ def interval_join(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     iv = ev.where("event_type = 'signup'").select("user_id", F.col("ts").alias("lo"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("hi"), F.col("event_id").alias("stint"))
     points = ev.where("event_type = 'click'").select("event_id", "user_id", "ts")
-    return temporal.interval_join(points, iv, ["user_id"], "ts", "lo", "hi", "stint").select("event_id", "stint")
+    return temporal.interval_join(points, iv, ["user_id"], "ts", "lo", "hi", "stint", width=6 * 3600).select("event_id", "stint")
 
 
 @query("""
