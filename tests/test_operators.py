@@ -357,3 +357,42 @@ def test_vehicle_dynamics(spark):
     assert v(S.from_free(S.to_free(lit(1.5), 0.0, 6.0), 0.0, 6.0)) == pytest.approx(1.5) and v(S.shrink_mean(lit(0.0), lit(0), lit(0.3))) == 0.3
     row = one.select(lit(1.0).alias("low_speed_share"), lit(2.0).alias("low_speed"), lit(0.5).alias("braking_demand"), lit(1.0).alias("braking"), lit(9.0).alias("aero"))
     assert row.select(S.named_cosine(row.columns)).first()[0] == pytest.approx(1)
+
+
+def test_lap_corners_and_session_practice(spark):
+    """Two drivers on a circle: the one who is faster through the corner performs better there."""
+    from gridspark.operators import corners
+
+    rows = []
+    for driver, fast in (("a", 10.0), ("b", 0.0)):
+        for k in range(120):
+            d = 10.0 * k
+            speed = 250 - 120 * math.exp(-(((d - 600) / 120) ** 2)) + fast
+            angle = 2 * math.pi * d / 1200
+            rows.append(("t", driver, d, speed, 100.0 if d > 620 else 0.0, 1.0 if 450 < d < 600 else 0.0, d / 60, 190 * math.cos(angle), 190 * math.sin(angle)))
+    telemetry = spark.createDataFrame(rows, "track string, driver string, distance double, speed double, throttle double, brake double, time_s double, x double, y double")
+    markers = spark.createDataFrame([("t", 1, 600.0), ("t", 2, 5000.0)], "track string, corner int, distance double")
+    out = {r["driver"]: r for r in corners.lap_corners(telemetry, markers, ["track"], ["driver"], step=5.0).collect()}
+    assert set(out) == {"a", "b"} and out["a"]["corner_performance"] == pytest.approx(1) and out["b"]["corner_performance"] == pytest.approx(-1)
+    a = out["a"]
+    assert a["apex_speed_kmh"] == pytest.approx(140, abs=0.5) and a["entry_speed_kmh"] > a["apex_speed_kmh"] < a["exit_speed_kmh"] and 100 < a["braking_distance_m"] < 160
+    laps = [(d, "FP2", 1, 60.0 * k, 90 + (0.2 if d == "b" else 0) - 0.01 * k) for d in "ab" for k in range(12)]
+    df = spark.createDataFrame(laps, "driver string, session string, stint int, session_seconds double, lap_time double")
+    out = corners.session_practice(df, ["session"]).orderBy("driver").collect()
+    assert [r["driver"] for r in out] == ["a", "b"] and out[0]["session"] == "FP2"
+
+
+def test_joins_on_odd_rows(spark):
+    points = spark.createDataFrame([(1, 5.0), (1, 5.0), (1, None), (None, 5.0), (2, 100.0)], "k int, t double")
+    spans = spark.createDataFrame([(1, 0.0, 5.0, "x", 1), (1, 5.0, 9.0, "y", 2), (1, 9.0, 1.0, "back", 9), (2, None, None, "none", 3)], "k int, lo double, hi double, name string, r int")
+    for width in (None, 2.0):
+        got = sorted(((r["k"], r["t"], r["name"]) for r in temporal.interval_join(points, spans, ["k"], "t", "lo", "hi", "r", width=width).collect()), key=str)
+        assert got == sorted([(1, 5.0, "y"), (1, 5.0, "y"), (1, None, None), (None, 5.0, None), (2, 100.0, None)], key=str)
+        assert temporal.interval_join(points.limit(0), spans, ["k"], "t", "lo", "hi", "r", width=width).count() == 0
+    left = spark.createDataFrame([(1, 0.5, "clash"), (1, 7.0, "b"), (2, 7.0, "c")], "k int, t double, __name string")
+    right = spark.createDataFrame([(1, 0.5, 10), (1, 6.0, None), (3, 1.0, 5)], "k int, t double, v int")
+    for width in (None, 1.0):
+        got = {(r["k"], r["t"], r["v"], r["matched_at"]) for r in temporal.as_of(left, right, ["k"], "t", ["v"], width=width).collect()}
+        assert got == {(1, 0.5, 10, 0.5), (1, 7.0, None, 6.0), (2, 7.0, None, None)}
+        strict = {(r["k"], r["t"], r["matched_at"]) for r in temporal.as_of(left, right, ["k"], "t", ["v"], strict=True, width=width).collect()}
+        assert strict == {(1, 0.5, None), (1, 7.0, 6.0), (2, 7.0, None)}
