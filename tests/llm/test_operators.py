@@ -77,9 +77,8 @@ def classes(rows):
 
 def test_near_dedup(docs, odd, none):
     for df in (docs, odd):
-        got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup(df).collect()}
-        assert got == classes(texts(df))
-    assert near_dedup(odd).count() == len(ROWS)
+        rows = near_dedup(df).collect()
+        assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows} == classes(texts(df)) and len(rows) == df.count()
     assert near_dedup(none).count() == 0
 
 
@@ -476,7 +475,6 @@ def test_line_templates(spark, docs, odd, none):
     for df in (made.unionByName(odd.select("doc_id", "text")), docs):
         assert dropped(df) == brute_lines(texts(df), config)
     assert {r["n_dropped"] for r in line_templates.drop_recurring_lines(made).collect()} == {3}
-    assert line_templates.drop_recurring_lines(odd).count() == len(ROWS)
     assert line_templates.drop_recurring_lines(none).count() == 0
 
 
