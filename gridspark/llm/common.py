@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import scratch, staged, staged_path  # noqa: F401  (the operators take them from here)
+
 #: White space between words; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,50 +30,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local session may leave it unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="gridspark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def staged_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/gridspark-{label}-{uuid.uuid4().hex}"
-
-
-#: Paths of staged tables, one list for each scratch block that is open.
-_scratch: list[list[str]] = []
-
-
-def staged(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends here and survives lost executors.
-
-    Within a scratch block, a table that the block's result still reads must be kept.
-    """
-    spark = df.sparkSession
-    path = staged_path(spark, label)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch(spark: SparkSession):
-    """Tables staged within are deleted at the end, but for the kept ones."""
-    _scratch.append([])
-    try:
-        yield
-    finally:
-        for name in _scratch.pop():
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def attach_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """rows left-joined with groups (one row per key; size: rows that have the key, of total).
 

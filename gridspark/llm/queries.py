@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import chat_digest, format_chats
 from .exact_dedup import exact_dedup
 from .licenses import scan_licenses
 from .line_templates import drop_recurring_lines
@@ -16,7 +17,9 @@ from .near_dedup import near_dedup
 from .pieces import encode_pieces
 from .ppm import score_ppm
 from .quality import quality_rules
+from .repair import damage, repair_conversations, repaired_digest
 from .secrets import scan_secrets, secret_digest
+from .spelling import group_spellings
 from .url_rules import filter_urls
 
 #: A public SentencePiece file on the driver.
@@ -68,14 +71,108 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(documents(spark, sf_dir))
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations(spark, sf_dir)
+    return repaired_digest(rows, *repair_conversations(damage(rows)))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = conversations(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType) for f in extra.schema])
+    return chat_digest(format_chats(rows.unionByName(extra)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_quality_rules, op3_mix_sources, op4_secrets, op5_pieces, op6_ppm, op7_line_templates, op8_url_filter, op9_licenses, op10_exact_dedup)
+    for f in (op1_near_dedup, op2_quality_rules, op3_mix_sources, op4_secrets, op5_pieces, op6_ppm, op7_line_templates, op8_url_filter, op9_licenses, op10_exact_dedup, op11_spelling_variants, op12_conversation_repair, op13_chat_format)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+#: CRC-32 of a text's UTF-8 by its table of 256 entries, which the rule of the polynomial gives.
+_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n))"
+
+
+def _crc(text: str) -> str:
+    """SQL of the CRC-32 of a text, where crc.t is the table."""
+    bytes_ = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce({bytes_}, lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+#: Ways of a conversation from a state (0: start, 1: after s, 2: after u, 3: after a) by insertions, and by a role.
+_FILLS = "fill(x, y, ins) AS (VALUES (0, 0, ''), (1, 1, ''), (2, 2, ''), (3, 3, ''), (0, 2, 'I'), (1, 2, 'I'), (3, 2, 'I'), (2, 3, 'I'), (0, 3, 'II'), (1, 3, 'II'), (2, 2, 'II'), (3, 3, 'II')), nxt(x, r, y) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2))"
+_CONTROLS = r"\\|<s>|</s>|\[INST\]|\[/INST\]|\[TURN:|\[/TURN\]"
+
 ORACLES: dict[str, str] = {
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents),
+c AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS k FROM r WHERE length(r) >= 7 GROUP BY ALL),
+h AS (SELECT c.r, k, {_crc("coalesce(doc_id::VARCHAR, '') || ':' || c.r")} AS h FROM c, crc),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, (h % length(r))::INT) || substr(r, (h % length(r))::INT + 2) ELSE r END AS word, sum(k)::BIGINT AS n FROM h GROUP BY 1),
+v AS (SELECT word, n FROM w WHERE length(word) >= 7 AND n >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS l FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.l = b.l AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.l = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.l = b.word
+),
+best AS (SELECT word, count(*) AS n_near, max(n) AS m FROM near GROUP BY word),
+pick AS (SELECT near.word, min(other) AS other FROM near JOIN best ON near.word = best.word AND near.n = m GROUP BY near.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN other END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n FROM v LEFT JOIN best USING (word) LEFT JOIN pick USING (word)),
+walk AS (SELECT word, word AS here, 0 AS step FROM f UNION ALL SELECT walk.word, f.form, step + 1 FROM walk JOIN f ON f.word = walk.here WHERE f.form IS NOT NULL),
+root AS (SELECT word, arg_max(here, step) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)
+""",
+    "op12_conversation_repair": rf"""
+WITH RECURSIVE {_FILLS}, crc AS (SELECT {_CRC_TABLE} AS t),
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS f FROM conversations, crc),
+e AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE f <> 0),
+o AS (SELECT *, row_number() OVER w AS i, lag(substr(role, 1, 1)) OVER w AS before FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+g AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM o),
+t AS (SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS r, before, blank, NOT blank AND again AS dup, NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut FROM g),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM t GROUP BY conv_id),
+way AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS x, 0 AS cost, '' AS audit FROM s
+  UNION ALL
+  SELECT conv_id, i, x, b.cost, b.audit FROM (
+    SELECT conv_id, i, x, min({{'cost': cost, 'audit': audit}}) AS b FROM (
+      SELECT way.conv_id, t.i, m.z AS x, way.cost + 2 * length(fill.ins) + m.cost AS cost, way.audit || fill.ins || m.op AS audit
+      FROM way JOIN t ON t.conv_id IS NOT DISTINCT FROM way.conv_id AND t.i = way.i + 1 JOIN fill ON fill.x = way.x JOIN LATERAL (
+        SELECT fill.y AS z, 3 AS cost, 'D' AS op
+        UNION ALL SELECT nxt.y, t.cut::INT, 'K' FROM nxt WHERE nxt.x = fill.y AND nxt.r = t.r AND NOT t.blank AND NOT t.dup
+        UNION ALL SELECT nxt.y, 2 + t.cut::INT, 'R' FROM nxt WHERE nxt.x = fill.y AND nxt.r <> 's' AND NOT t.blank AND NOT t.dup
+      ) m ON true
+    ) GROUP BY conv_id, i, x
+  )
+),
+done AS (SELECT conv_id, min({{'cost': cost + CASE x WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END, 'audit': audit || CASE x WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END}}) AS b FROM way JOIN s USING (conv_id) WHERE i = n GROUP BY conv_id),
+op AS (SELECT conv_id, p, substr(b.audit, p, 1) AS op, p - length(regexp_replace(substr(b.audit, 1, p), '[^I]', '', 'g')) AS i FROM (SELECT *, unnest(range(1, length(b.audit) + 1)) AS p FROM done)),
+said AS (SELECT op.conv_id, p, op, t.role, t.text, row_number() OVER (PARTITION BY op.conv_id ORDER BY p) AS k, max(CASE WHEN op = 'K' AND r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY op.conv_id) AS sys
+  FROM op LEFT JOIN t ON op.conv_id IS NOT DISTINCT FROM t.conv_id AND op.i = t.i AND op.op <> 'I' WHERE op.op <> 'D'),
+rep AS (SELECT conv_id, string_agg(CASE WHEN op = 'K' THEN role ELSE CASE WHEN (k - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN op = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS said FROM said GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.cost, 0)::BIGINT AS cost,
+  coalesce(b.audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN rep ON rep.conv_id IS NOT DISTINCT FROM c.conv_id
+""",
+    "op13_chat_format": rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(text) + len(regexp_extract_all(text, '{_CONTROLS}')) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 16 + length(regexp_replace(role, '([\\\]])', '\\\1', 'g')) END AS size FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""",
     "op1_near_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (
