@@ -4,86 +4,72 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
 from .estimators import as_of_weight, pace_gap
-from .guards import ContractError
+from .ridge import Ridge, solve
 
 #: Percent of lap time for one unit of score.
 SCALE = 0.75
-#: Effect levels that one dense system may have on the driver.
-MOST_LEVELS = 20_000
 
 
 @dataclass(frozen=True)
 class Strength:
-    """teams: team, team_effect, n_obs, effect_se; drivers: driver, driver_effect, shrunk_effect, n_obs, effect_se;
-    pairs: team, driver, covariance (of the two effects); and what holds for all."""
+    """teams: team, team_effect, n_obs, effect_se; drivers: driver, driver_effect, shrunk_effect, n_obs, effect_se; system
+    has their covariances; and what holds for all."""
 
     teams: DataFrame
     drivers: DataFrame
-    pairs: DataFrame
     n_observations: int
     intercept: float = 0.0
     residual_sd: float | None = None
+    system: Ridge | None = None
+    teams_are_small: bool = True
+
+    def covariances(self, pairs: DataFrame) -> DataFrame:
+        """(team, driver, covariance) of two effects, for pairs (team, driver) of known levels; others have no row."""
+        if self.system is None:
+            return pairs.sparkSession.createDataFrame([], "team string, driver string, covariance double")
+        small, large = ("team", "driver") if self.teams_are_small else ("driver", "team")
+        i = self.system.small.select("i", F.col("level").alias(small))
+        b = self.system.large.select("b", F.col("level").alias(large))
+        known = pairs.select("team", "driver").distinct().join(i, small).join(b, large)
+        return self.system.covariances(known.select("b", "i")).join(known, ["b", "i"]).select("team", "driver", "covariance")
 
 
 def _empty(spark, n: int = 0) -> Strength:
     make = lambda schema: spark.createDataFrame([], schema)
     return Strength(
         make("team string, team_effect double, n_obs double, effect_se double"),
-        make("driver string, driver_effect double, shrunk_effect double, n_obs double, effect_se double"),
-        make("team string, driver string, covariance double"), n)
+        make("driver string, driver_effect double, shrunk_effect double, n_obs double, effect_se double"), n)
 
 
 def fit_ridge(df: DataFrame, team: str, driver: str, value: str, index: str, as_of: float, half_life: float = 6.0, ridge: float = 1.0, shrink: float = 3.0, kinds: dict[str, float] | None = None, kind: str = "kind", regime: str | None = None, target: str | None = None, multiplier: Column | None = None) -> Strength:
     """The joint weighted ridge of team and driver effects over rows before as_of, with an unpenalised intercept.
 
-    The Gram matrix comes from (team, driver) cell sums; only cells, as many as distinct pairs of effect levels,
-    reach the driver, where a dense system of that order must fit in any case.  No rows, or fewer than two drivers,
-    give the neutral estimate.
+    Rows are summed to (team, driver) cells; ridge.solve takes the system from those, whatever the number of levels.  No
+    rows, or fewer than two drivers, give the neutral estimate; a NULL team or driver has no effect and is left out.
     """
     w = as_of_weight(index, as_of, half_life, regime, target)
     if kinds:
         known = F.coalesce(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col(kind)], F.lit(0.5))
         w = w * known
     w = w * F.coalesce(multiplier, F.lit(1.0)) if multiplier is not None else w
-    rows = df.where((F.col(index) < as_of) & F.col(value).isNotNull())
+    rows = df.where((F.col(index) < as_of) & F.col(value).isNotNull() & F.col(team).isNotNull() & F.col(driver).isNotNull())
     rows = rows.select(F.col(team).cast("string").alias("team"), F.col(driver).cast("string").alias("driver"), F.col(value).cast("double").alias("y"), w.alias("w")).where("w > 1e-6")
     cells = rows.groupBy("team", "driver").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("wyy"))
-    levels = cells.agg(F.countDistinct("team") + F.countDistinct("driver"), F.countDistinct("driver"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if levels[0] > MOST_LEVELS:
-        raise ContractError(f"{levels[0]} effect levels make too large a dense system; use backfit")
-    if levels[1] < 2:
-        return _empty(df.sparkSession, levels[2])
-    c = cells.toPandas()
-    teams, drivers = sorted(c["team"].unique()), sorted(c["driver"].unique())
-    t, d = 1 + np.searchsorted(teams, c["team"]), 1 + len(teams) + np.searchsorted(drivers, c["driver"])
-    size, weight, wy = 1 + len(teams) + len(drivers), c["w"].to_numpy(), c["wy"].to_numpy()
-    gram, right = np.zeros((size, size)), np.zeros(size)
-    for i in (np.zeros(len(c), int), t, d):
-        np.add.at(right, i, wy)
-        for j in (np.zeros(len(c), int), t, d):
-            np.add.at(gram, (i, j), weight)
-    full = gram + np.diag([0.0] + [ridge] * (size - 1))
-    inverse = np.linalg.inv(full)
-    beta = inverse @ right
-    fitted = beta[0] + beta[t] + beta[d]
-    rss = float((c["wyy"].to_numpy() - 2 * fitted * wy + weight * fitted**2).sum())
-    variance = max(rss / max(weight.sum() - np.trace(inverse @ gram), 1.0), 1e-12)
-    cov = variance * inverse
-    se, n_obs = np.sqrt(np.clip(np.diag(cov), 0, None)), np.diag(gram)
-    at = lambda names, first: [(str(x), float(beta[first + k]), float(n_obs[first + k]), float(se[first + k])) for k, x in enumerate(names)]
-    spark, first = df.sparkSession, 1 + len(teams)
-    made = spark.createDataFrame(at(drivers, first), "driver string, driver_effect double, n_obs double, effect_se double")
-    shrunk = F.col("driver_effect") * F.col("n_obs") / (F.col("n_obs") + shrink)
-    pairs = [(str(x), str(y), float(cov[1 + i, first + j])) for i, x in enumerate(teams) for j, y in enumerate(drivers)]
-    return Strength(
-        spark.createDataFrame(at(teams, 1), "team string, team_effect double, n_obs double, effect_se double"),
-        made.select("driver", "driver_effect", shrunk.alias("shrunk_effect"), "n_obs", "effect_se"),
-        spark.createDataFrame(pairs, "team string, driver string, covariance double"), int(c["n"].sum()), float(beta[0]), variance**0.5)
+    cells = staged(cells, "ridge-cells")
+    levels = cells.agg(F.countDistinct("team").alias("t"), F.countDistinct("driver").alias("d"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    if levels["d"] < 2:
+        return _empty(df.sparkSession, levels["n"])
+    few = levels["t"] <= levels["d"]
+    fit = solve(cells, *(("team", "driver") if few else ("driver", "team")), ridge)
+    teams, drivers = (fit.small, fit.large) if few else (fit.large, fit.small)
+    n = F.col("weight")
+    named = lambda f, kind, *more: f.select(F.col("level").alias(kind), F.col("effect").alias(f"{kind}_effect"), *more, n.alias("n_obs"), F.sqrt(F.greatest("variance", F.lit(0.0))).alias("effect_se"))
+    return Strength(named(teams, "team"), named(drivers, "driver", (F.col("effect") * n / (n + shrink)).alias("shrunk_effect")), levels["n"], fit.intercept, fit.variance**0.5, fit, few)
 
 
 def score_entries(entries: DataFrame, teams: DataFrame, drivers: DataFrame, team: str, driver: str, rookie_penalty: float = -0.25) -> DataFrame:
@@ -108,7 +94,8 @@ def strength_variance(entries: DataFrame, strength: Strength, team: str, driver:
     """
     t = strength.teams.select(F.col("team").alias("__t"), F.pow("effect_se", F.lit(2)).alias("__tv"))
     d = strength.drivers.select(F.col("driver").alias("__d"), F.pow("effect_se", F.lit(2)).alias("__dv"))
-    p = strength.pairs.select(F.col("team").alias("__pt"), F.col("driver").alias("__pd"), "covariance")
+    asked = entries.select(F.col(team).cast("string").alias("team"), F.col(driver).cast("string").alias("driver"))
+    p = strength.covariances(asked).select(F.col("team").alias("__pt"), F.col("driver").alias("__pd"), "covariance")
     top = strength.teams.select("effect_se").unionByName(strength.drivers.select("effect_se")).agg(F.pow(F.max("effect_se"), F.lit(2)).alias("__top"))
     out = entries.join(t, F.col(team) == F.col("__t"), "left").join(d, F.col(driver) == F.col("__d"), "left")
     out = out.join(p, (F.col("__t") == F.col("__pt")) & (F.col("__d") == F.col("__pd")), "left").join(F.broadcast(top))

@@ -258,12 +258,53 @@ def bounded_parameters(spark, sf_dir):
     return li.select("l_orderkey", *longs("l_linenumber"), "n", r6(S.to_free(F.col("l_quantity"), 0.05, 60.05), "free"), r6(S.undercut_power(F.col("l_quantity"), F.lit(20.0), F.col("l_tax") * 100), "undercut"))
 
 
-@query()
+#: Rows of the full system, solved by Gauss-Jordan steps on lists; brands and suppliers are crossed.
+_RIDGE = f"""
+{_LINES}, w AS (SELECT p_brand AS t, CAST(l_suppkey AS VARCHAR) AS d, l_quantity AS y, pow(0.5, (48 - i) / 6.0) AS w FROM li WHERE i < 48),
+c AS (SELECT t, d, sum(w) AS w, sum(w * y) AS wy, sum(w * y * y) AS wyy FROM w WHERE w > 1e-6 GROUP BY ALL),
+lv AS (SELECT *, row_number() OVER (ORDER BY kind, level) AS k FROM (SELECT '0' AS kind, '' AS level UNION ALL SELECT DISTINCT '1', t FROM c UNION ALL SELECT DISTINCT '2', d FROM c)),
+x AS (SELECT a.k AS a, b.k AS b, c.k AS c, w, wy, wyy FROM c AS s JOIN lv a ON a.kind = '0' JOIN lv b ON b.kind = '1' AND b.level = t JOIN lv c ON c.kind = '2' AND c.level = d),
+g AS (SELECT i, j, sum(w) AS v FROM (SELECT w, unnest([a, a, a, b, b, b, c, c, c]) AS i, unnest([a, b, c, a, b, c, a, b, c]) AS j FROM x) GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM lv), y AS (SELECT i, sum(wy) AS v FROM (SELECT wy, unnest([a, b, c]) AS i FROM x) GROUP BY i),
+m AS (SELECT p.k AS i, list(coalesce(g.v, 0) + CASE WHEN p.k = q.k AND p.k > 1 THEN 1 ELSE 0 END ORDER BY q.k) AS a, list(CASE WHEN p.k = q.k THEN 1.0::DOUBLE ELSE 0 END ORDER BY q.k) AS e FROM lv p CROSS JOIN lv q LEFT JOIN g ON g.i = p.k AND g.j = q.k GROUP BY p.k),
+gj AS (SELECT 1::BIGINT AS k, i, list_concat(a, e) AS r FROM m UNION ALL
+  SELECT gj.k + 1, gj.i, CASE WHEN gj.i = gj.k THEN list_transform(gj.r, lambda v: v / gj.r[gj.k]) ELSE list_transform(list_zip(gj.r, p.r), lambda z: z[1] - gj.r[gj.k] / p.r[gj.k] * z[2]) END
+  FROM gj JOIN gj p ON p.i = gj.k JOIN n ON gj.k <= n),
+v AS (SELECT i, list_slice(r, n + 1, 2 * n) AS r FROM gj, n WHERE k = n + 1), ys AS (SELECT list(v ORDER BY i) AS y FROM y),
+be AS (SELECT i, list_sum(list_transform(list_zip(r, y), lambda z: z[1] * z[2])) AS b, r[i] AS u FROM v, ys),
+f AS (SELECT sum(wyy - 2 * (ba.b + bb.b + bc.b) * wy + w * pow(ba.b + bb.b + bc.b, 2)) AS rss, sum(w) AS w FROM x JOIN be ba ON ba.i = a JOIN be bb ON bb.i = x.b JOIN be bc ON bc.i = c),
+s AS (SELECT greatest(rss / greatest(any_value(f.w) - (count(*) + 1 - sum(u)), 1.0), 1e-12) AS s2 FROM f, be WHERE i > 1 GROUP BY rss)
+"""
+
+
+def _ridge(spark, sf_dir):
+    return pace.fit_ridge(lines(spark, sf_dir), "p_brand", "l_suppkey", "l_quantity", "i", 48.0)
+
+
+@query(f"""
+WITH RECURSIVE {_RIDGE} SELECT CASE kind WHEN '1' THEN 'team:' ELSE 'driver:' END || level AS effect, round(b, 6) AS value, round(sqrt(u * s2), 6) AS se, round((SELECT b FROM be WHERE i = 1), 6) AS intercept, round(sqrt(s2), 6) AS residual_sd
+FROM lv JOIN be ON be.i = lv.k, s WHERE kind <> '0'
+""")
 def ridge_effects(spark, sf_dir):
-    fit = pace.fit_ridge(lines(spark, sf_dir), "team", "l_suppkey", "l_quantity", "i", 48.0)
+    fit = _ridge(spark, sf_dir)
     named = lambda df, kind, value: df.select(F.concat(F.lit(f"{kind}:"), F.col(kind)).alias("effect"), F.col(value).alias("value"), F.col("effect_se").alias("se"))
     out = named(fit.teams, "team", "team_effect").unionByName(named(fit.drivers, "driver", "driver_effect"))
-    return out.withColumn("intercept", F.lit(fit.intercept)).withColumn("residual_sd", F.lit(fit.residual_sd))
+    return out.select("effect", *r6s("value", "se"), F.lit(round(fit.intercept, 6)).alias("intercept"), F.lit(round(fit.residual_sd, 6)).alias("residual_sd"))
+
+
+@query(f"""
+WITH RECURSIVE {_RIDGE}, top AS (SELECT max(u * s2) AS top FROM be, s WHERE i > 1),
+en AS (SELECT s_suppkey, 'Brand#' || (1 + s_suppkey % 6) || (1 + s_suppkey % 5) AS t, CASE WHEN s_suppkey % 7 = 0 THEN 'new' ELSE CAST(s_suppkey AS VARCHAR) END AS d FROM supplier),
+ko AS (SELECT en.*, a.k AS a, b.k AS b FROM en LEFT JOIN lv a ON a.kind = '1' AND a.level = t LEFT JOIN lv b ON b.kind = '2' AND b.level = d)
+SELECT s_suppkey, t AS team, round(sqrt(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN s2 * (x.r[a] + y.r[b] + 2 * x.r[b]) WHEN a IS NOT NULL THEN s2 * x.r[a] + top WHEN b IS NOT NULL THEN s2 * y.r[b] + top ELSE top END), 6) AS strength_se
+FROM ko LEFT JOIN v x ON x.i = a LEFT JOIN v y ON y.i = b, s, top
+""")
+def ridge_pairs(spark, sf_dir):
+    """Standard errors of pairs of effects, also of those never seen together, with new teams and drivers among them."""
+    key = F.col("s_suppkey")
+    team = F.concat(F.lit("Brand#"), (1 + key % 6).cast("string"), (1 + key % 5).cast("string"))
+    entries = table(spark, sf_dir, "supplier").select("s_suppkey", team.alias("team"), F.when(key % 7 == 0, "new").otherwise(key.cast("string")).alias("driver"))
+    return pace.strength_variance(entries, _ridge(spark, sf_dir), "team", "driver").select("s_suppkey", "team", *r6s("strength_se"))
 
 
 @query(f"""
