@@ -94,7 +94,8 @@ def affected(word: str, grams: list[tuple[int, str]], frequent: set[str] | froze
 
 
 def gram_lists(vocabulary: DataFrame, config: SpellingConfig) -> DataFrame:
-    """word, n, length, lost (its affected bound), grams (all: place and gram), rare (the lost + 1 rarest of them)."""
+    """word, n, length, letters (a bit for each), lost (its affected bound), n_grams, rare (the lost + 1 rarest grams: held
+    by so many words, gram, place)."""
     frequent = frozenset(frequent_grams(vocabulary, config))
     tails = frozenset(g[k:] for g in frequent for k in range(1, len(g)))
 
@@ -103,14 +104,17 @@ def gram_lists(vocabulary: DataFrame, config: SpellingConfig) -> DataFrame:
             rows = []
             for word, n in zip(pdf["word"], pdf["n"]):
                 grams = decompose(word, frequent, config)
-                rows.append((word, n, len(word), affected(word, grams, frequent, tails, config), [{"at": a, "gram": g} for a, g in grams]))
-            yield pd.DataFrame(rows, columns=["word", "n", "length", "lost", "grams"])
+                letters = 0
+                for c in word:
+                    letters |= 1 << ord(c) % 63
+                rows.append((word, n, len(word), letters, affected(word, grams, frequent, tails, config), [{"at": a, "gram": g} for a, g in grams]))
+            yield pd.DataFrame(rows, columns=["word", "n", "length", "letters", "lost", "grams"])
 
-    words = staged(vocabulary.select("word", "n").mapInPandas(split, "word string, n long, length int, lost int, grams array<struct<at:int,gram:string>>"), "gram-lists")
+    words = staged(vocabulary.select("word", "n").mapInPandas(split, "word string, n long, length int, letters long, lost int, grams array<struct<at:int,gram:string>>"), "gram-lists")
     each = words.select("word", F.explode("grams").alias("g")).select("word", "g.at", "g.gram")
     held = each.groupBy("gram").agg(F.count("*").alias("held"))
     ranked = attach_group(each, held, "gram", "held", each.count()).groupBy("word").agg(F.sort_array(F.collect_list(F.struct("held", "gram", "at"))).alias("order"))
-    return words.join(ranked, "word").select("word", "n", "length", "lost", "grams", F.slice("order", 1, F.col("lost") + 1).alias("rare"))
+    return words.join(ranked, "word").select("word", "n", "length", "letters", "lost", F.size("grams").alias("n_grams"), F.slice("order", 1, F.col("lost") + 1).alias("rare"))
 
 
 def near_words(vocabulary: DataFrame, config: SpellingConfig = SpellingConfig()) -> DataFrame:
@@ -118,33 +122,33 @@ def near_words(vocabulary: DataFrame, config: SpellingConfig = SpellingConfig())
 
     One edit takes at most `lost` grams of a word, so near words share all the others, at the same place or, behind a
     letter too many, one place on.  Lists of words by length, gram and place are merged only for the lost + 1 rarest grams
-    of each word, of which near words share one; a candidate's other grams are then looked up, and those shared must reach
-    the bounds of both words; at last the distance is verified.  Where one edit can take all grams of both words there is
-    no such bound: those words are compared by what is left after the loss of one letter, in lists that the alphabet bounds.
+    of each word, of which near words share one if one of them has a gram that no edit takes.  A candidate is verified,
+    first by its letters (an edit changes two at most), then by its distance.  Words of which one edit can take all grams
+    have no bound among themselves: those are compared by what is left after the loss of one letter, in lists that the
+    alphabet bounds.
     """
     words = staged(gram_lists(vocabulary, config), "gram-index")
-    spelled = lambda more: F.transform("grams", lambda g: F.concat((g["at"] + more).cast("string"), F.lit(":"), g["gram"]))
-    bound = F.size("grams") - F.col("lost")
-    rows = words.select("word", "n", "length", bound.alias("bound"), spelled(0).alias("here"), spelled(1).alias("on"), F.explode("rare").alias("g"))
-    index = rows.select("length", F.col("g.gram").alias("gram"), F.col("g.at").alias("at"), "word", "n", "bound", "here")
-    steps = F.array(*[F.struct(F.lit(a).alias("more"), F.lit(b).alias("shift")) for a, b in ((0, 0), (1, 0), (1, 1))])
-    probe = rows.select("*", F.explode(steps).alias("s")).select(
-        (F.col("length") + F.col("s.more")).alias("length"), F.col("g.gram").alias("gram"), (F.col("g.at") + F.col("s.shift")).alias("at"), F.col("word").alias("p_word"), F.col("n").alias("p_n"),
-        F.col("bound").alias("p_bound"), F.when(F.col("s.more") == 0, F.col("here")).otherwise(F.array_union("here", "on")).alias("p_here"), F.col("s.more").alias("more"))
-    merged = index.join(probe, ["length", "gram", "at"]).where("more = 1 OR p_word < word")
-    merged = merged.where(F.size(F.array_intersect("here", "p_here")) >= F.greatest("bound", "p_bound"))
-    found = merged.where(F.levenshtein("word", "p_word", 1) == 1).select("word", "n", "p_word", "p_n")
+    bounded = F.col("n_grams") > F.col("lost")
+    rows = words.select("word", "length", "letters", bounded.alias("bounded"), F.explode("rare").alias("g"))
+    place = lambda more, shift: F.xxhash64("g.gram", F.col("g.at") + shift, F.col("length") + more)
+    index = rows.select(place(0, 0).alias("key"), "word", "length", "letters", "bounded")
+    # A word meets words of its own length, and those with a letter more, before or behind the gram.
+    steps = F.array(*[F.struct(place(a, b).alias("key"), F.lit(a).alias("more")) for a, b in ((0, 0), (1, 0), (1, 1))])
+    probe = rows.select(F.explode(steps).alias("s"), F.col("word").alias("p_word"), F.col("length").alias("p_length"), F.col("letters").alias("p_letters"), F.col("bounded").alias("p_bounded"))
+    probe = probe.select("s.key", "s.more", "p_word", "p_length", "p_letters", "p_bounded")
+    merged = index.join(probe, "key").where("length = p_length + more AND (more = 1 OR p_word < word) AND (bounded OR p_bounded)")
+    merged = merged.where(F.bit_count(F.col("letters").bitwiseXOR(F.col("p_letters"))) <= 2)
+    found = merged.where(F.levenshtein("word", "p_word", 1) == 1).select("word", "p_word")
     # Words without a bound: by (place, what is left without its letter) or, for lengths that differ, by what is left.
-    open_ = words.where(bound <= 0).select("word", "n")
+    open_ = words.where(~bounded).select("word")
     places = F.sequence(F.lit(1), F.length("word"))
     less = F.transform(places, lambda i: F.struct(i.alias("at"), F.concat(F.substr("word", F.lit(1), i - 1), F.substr("word", i + 1)).alias("left")))
-    cut = open_.select("word", "n", F.explode(less).alias("c")).select("word", "n", "c.at", "c.left")
-    p_cut = cut.select(F.col("word").alias("p_word"), F.col("n").alias("p_n"), "at", "left")
-    same = cut.join(p_cut, ["at", "left"]).where("p_word < word")
-    longer = cut.join(open_.select(F.col("word").alias("p_word"), F.col("n").alias("p_n"), F.col("word").alias("left")), "left")
-    rest = same.select("word", "n", "p_word", "p_n").unionByName(longer.select("word", "n", "p_word", "p_n"))
-    pairs = staged(found.unionByName(rest).distinct(), "near-words")
-    return pairs.select("word", F.col("p_word").alias("other"), F.col("p_n").alias("n")).unionByName(pairs.select(F.col("p_word").alias("word"), F.col("word").alias("other"), "n"))
+    cut = open_.select("word", F.explode(less).alias("c")).select("word", "c.at", "c.left")
+    same = cut.join(cut.select(F.col("word").alias("p_word"), "at", "left"), ["at", "left"]).where("p_word < word")
+    longer = cut.join(open_.select(F.col("word").alias("p_word"), F.col("word").alias("left")), "left")
+    pairs = staged(found.unionByName(same.select("word", "p_word")).unionByName(longer.select("word", "p_word")).distinct(), "near-words")
+    both = pairs.select("word", F.col("p_word").alias("other")).unionByName(pairs.select(F.col("p_word").alias("word"), F.col("word").alias("other")))
+    return both.join(words.select(F.col("word").alias("other"), "n"), "other").select("word", "other", "n")
 
 
 def roots(edges: DataFrame, steps: int) -> DataFrame:
