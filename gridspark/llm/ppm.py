@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import small_batches, staged, text_chunks
+from .common import scratch, small_batches, staged, text_chunks
 
 #: Ends a text; no UTF-8 text holds it.
 END = 0xFF
@@ -282,7 +282,7 @@ def score_ppm(docs: DataFrame, config: PpmConfig = PpmConfig(), id_col: str = "d
     an empty table gives an empty result; other columns are ignored.
     """
     ship_package(docs.sparkSession)
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), scratch(docs.sparkSession):
         return _score_ppm(docs, config, id_col, text_col)
 
 
@@ -292,7 +292,7 @@ def _score_ppm(docs: DataFrame, config: PpmConfig, id_col: str, text_col: str) -
     train = slim.where(~held_out(F.col("doc_id")))
     parts = staged(counts(train, config), "ppm-counts")
     words = parts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c"))
-    words = staged(words, "word-counts")
+    words = staged(words, "word-counts", keep=True)
     n_words, n_distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     codes = parts.where("code IS NOT NULL").select("code", "n")
     n_bytes, n_ends = codes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("code").bitwiseAND(F.lit(255)) == END, F.col("n"))), F.lit(0))).first()
@@ -351,7 +351,7 @@ def _score_ppm(docs: DataFrame, config: PpmConfig, id_col: str, text_col: str) -
         none = {"doc_id": pd.array([None], "Int64"), "n_tokens": 0, "n_known": 0, "head": 0.0, "score": 0.0, "rare": [None], "times": [None]}
         return pd.DataFrame({"row": [-1], **none, "chunk": chunk, "far": [None], "codes": [book.listed()]})
 
-    first = staged(slim.mapInPandas(run, "row long, doc_id long, n_tokens long, n_known long, head double, score double, rare array<binary>, times array<long>, chunk long, far binary, codes array<long>"), "ppm-scores")
+    first = staged(slim.mapInPandas(run, "row long, doc_id long, n_tokens long, n_known long, head double, score double, rare array<binary>, times array<long>, chunk long, far binary, codes array<long>"), "ppm-scores", keep=True)
     books, first = first.where("row < 0").select("chunk", F.posexplode("codes").alias("id", "code")), first.where("row >= 0").drop("codes")
     each = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     tail = each.join(words.where(F.col("c") < least), "word").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"))
@@ -361,7 +361,7 @@ def _score_ppm(docs: DataFrame, config: PpmConfig, id_col: str, text_col: str) -
         values = books.join(known, "code").select(F.col("chunk").alias("book"), "id", "logp")
         far = first.where(F.length("far") > 0).select("row", "chunk", "far")
         far = far.groupBy("chunk").cogroup(values.groupBy("book")).applyInPandas(_far_scores, "row long, far_score double")
-        out = out.join(staged(far, "ppm-far"), "row", "left").withColumn("score", F.col("score") + F.coalesce("far_score", F.lit(0.0))).drop("far_score")
+        out = out.join(staged(far, "ppm-far", keep=True), "row", "left").withColumn("score", F.col("score") + F.coalesce("far_score", F.lit(0.0))).drop("far_score")
     zero = F.lit(0)
     return out.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", zero)).alias("n_known"),

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, connected_components, staged
+from .common import ascii_lower, connected_components, scratch, staged
 
 
 @dataclass(frozen=True)
@@ -89,14 +89,22 @@ def resolved(base: Column, link: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): nodes joined by any canonical link or refresh in the html, outside comments and scripts."""
+    """(a, b): nodes joined by any canonical link or refresh in the html, outside comments and scripts.
+
+    Links are few beside pages: each step of their resolution is written down, so that no step's expression, which names
+    its input many times, is copied into the next one's.
+    """
     clean = lambda x: F.replace(x, F.lit("&amp;"), F.lit("&"))
     links = F.concat(*[F.transform(F.regexp_extract_all("html", F.lit(p), F.lit(1)), clean) for p in (CANONICAL, REFRESH)])
     has = F.col("html").rlike(r"(?i)canonical|refresh")
     read = pages.where(has).select("url", F.regexp_replace("html", UNREAD, " ").alias("html"))
     base = F.nullif(clean(F.regexp_extract("html", BASE, 1)), F.lit(""))
-    each = read.select("url", F.coalesce(resolved(F.col("url"), base), "url").alias("base"), F.explode(links).alias("link")).where("link <> ''")
-    return each.select(node(F.col("url")).alias("a"), node(resolved(F.col("base"), F.col("link"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    each = staged(read.select("url", base.alias("href"), F.explode(links).alias("link")), "links")
+    if each.isEmpty():
+        return each.select(F.col("url").alias("a"), F.col("link").alias("b"))
+    based = staged(each.where("link <> ''").select("url", F.coalesce(resolved(F.col("url"), F.col("href")), "url").alias("base"), "link"), "links")
+    led = staged(based.select("url", resolved(F.col("base"), F.col("link")).alias("target")), "links")
+    return staged(led.select(node(F.col("url")).alias("a"), node(F.col("target")).alias("b")), "links").where("a <> b")
 
 
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
@@ -109,6 +117,11 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: Da
     and NULL ids are kept; an empty table gives an empty result; other columns are ignored.
     """
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), (F.col(html_col) if html_col else F.lit(None).cast("string")).alias("html"))
+    with scratch(pages.sparkSession):
+        return _filter_urls(slim, rules, redirects)
+
+
+def _filter_urls(slim: DataFrame, rules: tuple[Rule, ...], redirects: DataFrame | None) -> DataFrame:
     edges = alias_edges(slim)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node(F.col("from_url")).alias("a"), node(F.col("to_url")).alias("b")))
@@ -119,7 +132,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: Da
     parts = parts.withColumn("own", own)
     votes = parts.groupBy("component").agg(F.bool_or(F.col("own") == "allow").alias("allow"), F.bool_or(F.col("own") == "block").alias("block"))
     blocked = votes.where("block AND NOT coalesce(allow, false)").select("component")
-    aliases = staged(parts.join(blocked, "component", "left_semi").select(F.col("node").alias("alias"), F.lit(True).alias("hit")), "blocked-aliases")
+    aliases = staged(parts.join(blocked, "component", "left_semi").select(F.col("node").alias("alias"), F.lit(True).alias("hit")), "blocked-aliases", keep=True)
     h, p = split_url(F.col("url"))
     text, verdict = matched(F.col("host"), F.col("path"), rules)
     judged = slim.select("page_id", h.alias("host"), p.alias("path"), node(F.col("url")).alias("node"))
