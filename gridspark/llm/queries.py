@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import chat_digest, format_chats
-from .exact_dedup import exact_dedup
+from .exact_dedup import DigestIndex, exact_dedup
 from .licenses import scan_licenses
 from .line_templates import drop_recurring_lines
 from .mixing import mix_sources
@@ -71,6 +71,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op10_exact_dedup_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two languages first, then all others against the index that the first batch left."""
+    docs, first = documents(spark, sf_dir), F.coalesce(F.col("lang").isin("en", "de"), F.lit(False))
+    index = DigestIndex(spark)
+    out = exact_dedup(docs.where(first), index).unionByName(exact_dedup(docs.where(~first), index))
+    index.close()
+    return out
+
+
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_spellings(documents(spark, sf_dir))
 
@@ -93,7 +102,7 @@ def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_quality_rules, op3_mix_sources, op4_secrets, op5_pieces, op6_ppm, op7_line_templates, op8_url_filter, op9_licenses, op10_exact_dedup, op11_spelling_variants, op12_conversation_repair, op13_chat_format)
+    for f in (op1_near_dedup, op2_quality_rules, op3_mix_sources, op4_secrets, op5_pieces, op6_ppm, op7_line_templates, op8_url_filter, op9_licenses, op10_exact_dedup, op10_exact_dedup_batches, op11_spelling_variants, op12_conversation_repair, op13_chat_format)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -227,6 +236,14 @@ hit AS (
   FROM p JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, q) GROUP BY page_id
 )
 SELECT p.page_id, host, path, hit.rule AS rule, coalesce(hit.verdict, 'allow') AS verdict FROM p LEFT JOIN hit USING (page_id)
+""",
+    "op10_exact_dedup_batches": r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS h, CASE WHEN lang IN ('en', 'de') THEN 1 ELSE 2 END AS batch FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY h ORDER BY batch, n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY h, batch) AS group_size,
+  doc_id = first_value(doc_id) OVER (PARTITION BY h ORDER BY batch, n DESC, doc_id) AS kept, h AS text_sha256
+FROM d
 """,
     "op10_exact_dedup": r"""
 WITH d AS (
