@@ -31,9 +31,9 @@ class RankCalibration:
     objective: str
 
 
-def rank_losses(past: DataFrame, race: str, score: str, temperatures: list[float], objective: str = "winner", position: str = "position_order", winner: str = "winner", classified: str = "classified") -> DataFrame:
-    """(temperature, loss, n_races): mean winner log-loss of the softmax of score / temperature, or the mean
-    Plackett-Luce loss of the classified order.  Scores are shifted by their race's maximum, so nothing overflows.
+def race_losses(past: DataFrame, race: str, score: str, temperatures: list[float], objective: str = "winner", position: str = "position_order", winner: str = "winner", classified: str = "classified") -> DataFrame:
+    """(race, temperature, l): a race's winner log-loss of the softmax of score / temperature, or its mean Plackett-Luce
+    loss of the classified order; NULL without a winner.  Scores are shifted by their race's maximum, so nothing overflows.
     """
     rows = past.where(F.col(classified) == 1) if objective == "ranking" else past
     w = Window.partitionBy(race)
@@ -46,17 +46,26 @@ def rank_losses(past: DataFrame, race: str, score: str, temperatures: list[float
         per = each.where(F.col(position) < F.col("__last")).groupBy(race, "temperature").agg(F.avg("__l").alias("l"))
     else:
         per = rows.groupBy(race, "temperature").agg((F.ln(F.sum(e)) - F.max(F.when(F.col(winner).cast("int") == 1, F.col("__z") / F.col("temperature")))).alias("l"))
-    return per.groupBy("temperature").agg(F.avg("l").alias("loss"), F.count("*").alias("n_races"))
+    return per.select(race, "temperature", "l")
+
+
+def rank_losses(past: DataFrame, race: str, score: str, temperatures: list[float], objective: str = "winner", **names) -> DataFrame:
+    """(temperature, loss, n_races): means of race_losses over the races that have one."""
+    return race_losses(past, race, score, temperatures, objective, **names).groupBy("temperature").agg(F.avg("l").alias("loss"), F.count("l").alias("n_races"))
 
 
 def fit_rank_calibration(history: DataFrame, race: str, index: str, as_of: float, score: str, objective: str = "winner", least: int = 10, **names) -> RankCalibration:
     """The temperature between 0.05 and 20 of least loss over races before as_of; 1 under `least` races.
 
-    A grid of 80 is searched in one job, then a grid as fine again between the best one's neighbours.
+    A grid of 80 is searched in one job, then a grid as fine again between the best one's neighbours.  Races before as_of
+    need two entries, one winner and finite scores each; others are refused.
     """
+    from .calibration import require_rankable
+
     if objective not in ("winner", "ranking"):
         raise ValueError(f"no such objective: {objective}")
     past = history.where(F.col(index) < as_of)
+    require_rankable(past, race, score, names.get("winner", "winner"))
     grid, best = geometric_grid(0.05, 20.0, 80), None
     for _ in range(2):
         found = rank_losses(past, race, score, grid, objective, **names).orderBy("loss", "temperature").first()
