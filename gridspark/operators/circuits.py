@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import average_rank, clip
+from ..functions.scalar import clip
+from ..staging import staged
 from .estimators import nearest
 from .guards import ContractError
+from .order import percent_ranks, quantiles
 
 #: Regulated race distance in metres; venues may differ.
 DISTANCE = 305_000.0
@@ -20,10 +22,11 @@ def speed_profile(results: DataFrame, qualifying: DataFrame, venue: str, race: s
     """
     own = F.create_map(*[F.lit(x) for pair in shorter.items() for x in pair])[F.col(venue)] if shorter else F.lit(None).cast("double")
     won = results.where((F.col("season") >= since) & (F.col("winner") == 1) & F.col(venue).isNotNull())
-    length = won.groupBy(venue).agg(F.median(F.coalesce(own, F.lit(DISTANCE)) / F.greatest(F.col("laps"), F.lit(1.0))).alias("lap_length_m"))
+    won = won.select(venue, (F.coalesce(own, F.lit(DISTANCE)) / F.greatest(F.col("laps"), F.lit(1.0))).alias("__l"))
+    length = quantiles(won, [venue], {"lap_length_m": ("__l", 0.5)})
     q = qualifying.where((F.col("season") >= since) & F.col(venue).isNotNull())
-    pole = q.groupBy(venue, race).agg(F.min("qual_best_s").alias("p")).groupBy(venue).agg(F.median("p").alias("pole_time_s"))
-    spread = q.groupBy(venue).agg(F.median("qual_gap_pct").alias("field_spread_pct"))
+    pole = quantiles(q.groupBy(venue, race).agg(F.min("qual_best_s").alias("__p")), [venue], {"pole_time_s": ("__p", 0.5)})
+    spread = quantiles(q, [venue], {"field_spread_pct": ("qual_gap_pct", 0.5)})
     out = length.join(pole, venue, "full").join(spread, venue, "full")
     return out.select(venue, "lap_length_m", "pole_time_s", F.try_divide(3.6 * F.col("lap_length_m"), F.col("pole_time_s")).alias("avg_lap_speed_kmh"), "field_spread_pct")
 
@@ -35,22 +38,23 @@ def pass_rate(passes: DataFrame, results: DataFrame, venue: str, race: str, leas
     n = passes.groupBy(race, venue).agg(F.count("*").alias("passes"))
     run = results.where("classified = 1").groupBy(race).agg(F.max("laps").alias("laps"), F.count("*").alias("field"))
     rate = 100.0 * F.col("passes") / F.greatest(F.col("laps") * F.col("field"), F.lit(1.0))
-    out = n.join(run, race).where(F.col(venue).isNotNull()).groupBy(venue).agg(F.median(rate).alias("overtakes_per_100_laps"), F.count("*").alias("n_races"))
-    return out.where(F.col("n_races") >= least)
+    out = n.join(run, race).where(F.col(venue).isNotNull()).select(venue, rate.alias("__rate"))
+    enough = out.groupBy(venue).agg(F.count("*").alias("n_races")).where(F.col("n_races") >= least)
+    return quantiles(out, [venue], {"overtakes_per_100_laps": ("__rate", 0.5)}).join(enough, venue)
 
 
 def counted_difficulty(rates: DataFrame, venue: str) -> DataFrame:
     """venue, n_races, difficulty: the percentile rank of the pass rate turned round; nothing for a single venue."""
-    n = F.count("*").over(Window.partitionBy())
-    out = rates.withColumn("__one", F.lit(0))
-    share = average_rank("overtakes_per_100_laps", ["__one"]) / n
-    return out.select(venue, "n_races", clip(1.0 - share, 0.02, 0.98).alias("difficulty"), n.alias("__n")).where("__n >= 2").drop("__n")
+    rates = staged(rates, "pass-rates")
+    out = percent_ranks(rates, "overtakes_per_100_laps", "__share").join(F.broadcast(rates.agg(F.count("*").alias("__n"))))
+    return out.where("__n >= 2").select(venue, "n_races", clip(1.0 - F.col("__share"), 0.02, 0.98).alias("difficulty"))
 
 
 def pit_lane_loss(stops: DataFrame, venue: str, seconds: str, low: float = 12.0, high: float = 60.0, least: int = 10) -> DataFrame:
     """venue, pit_loss_s, n_stops: median of plausible stops, of venues with enough of them."""
-    out = stops.where(F.col(seconds).between(low, high)).groupBy(venue).agg(F.median(seconds).alias("pit_loss_s"), F.count("*").alias("n_stops"))
-    return out.where(F.col("n_stops") >= least)
+    plausible = stops.where(F.col(seconds).between(low, high))
+    enough = plausible.groupBy(venue).agg(F.count("*").alias("n_stops")).where(F.col("n_stops") >= least)
+    return quantiles(plausible, [venue], {"pit_loss_s": (seconds, 0.5)}).join(enough, venue)
 
 
 def venue_profiles(difficulty: DataFrame, attrition: DataFrame, venue: str, street: list[str] = ()) -> DataFrame:

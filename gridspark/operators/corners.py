@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import aero_commitment, braking_efficiency, exit_amplification, traction_index
 from .laps import practice_summary, track_evolution
+from .order import quantiles
 from .temporal import curvature, resample
 
 
@@ -93,4 +94,6 @@ def session_practice(laps: DataFrame, session: list[str], driver: str = "driver"
 def curvature_indices(df: DataFrame, group: list[str], value: str = "curvature") -> DataFrame:
     """Exposure (mean), severity (95% quantile) of the absolute curvature, and its variation."""
     k = F.when(~F.isnan(value) & (F.abs(F.col(value)) < float("inf")), F.col(value))
-    return df.groupBy(*group).agg(F.avg(F.abs(k)).alias("curvature_exposure"), F.percentile(F.abs(k), 0.95).alias("curvature_severity"), F.stddev_pop(k).alias("curvature_variation"))
+    rows = df.select(*group, k.alias("__k"), F.abs(k).alias("__size"))
+    means = rows.groupBy(*group).agg(F.avg("__size").alias("curvature_exposure"), F.stddev_pop("__k").alias("curvature_variation"))
+    return means.join(quantiles(rows, group, {"curvature_severity": ("__size", 0.95)}), group)

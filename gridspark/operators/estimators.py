@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import average_rank, clip, logit, recency_weight
+from ..staging import staged
+from .order import percent_ranks, quantiles
 
 
 def weighted_mean(df: DataFrame, group: list[str], value: str, weight: Column, name: str = "mean") -> DataFrame:
@@ -68,14 +70,16 @@ def difficulty(per_event: DataFrame, venue: str, least: int = 3) -> DataFrame:
     """Per venue: medians of rank correlation and change over events with a correlation, and their percentile ranks'
     mean, clipped.
 
-    Venues with fewer than `least` such events have no difficulty, unless no venue has as many: then all have one.
+    Medians and ranks are exact and of any size: no venue's events and not all venues meet in one task.  Venues with fewer than `least` such events have no difficulty, unless no venue has as many: then all have one.
     """
     valid = per_event.where(F.col(venue).isNotNull() & F.col("rho").isNotNull())
-    per = valid.groupBy(venue).agg(F.median("rho").alias("rho"), F.median("mean_change").alias("mean_change"), F.count("*").alias("n_events"))
+    counts = valid.groupBy(venue).agg(F.count("*").alias("n_events"))
+    per = staged(quantiles(valid, [venue], {"rho": ("rho", 0.5), "mean_change": ("mean_change", 0.5)}).join(counts, venue), "venue-medians")
     enough = per.agg((F.coalesce(F.max("n_events"), F.lit(0)) >= least).alias("__any"))
     per = per.join(F.broadcast(enough)).withColumn("__ok", (F.col("n_events") >= least) | ~F.col("__any"))
-    n = F.count("*").over(Window.partitionBy("__ok"))
-    score = (average_rank("rho", ["__ok"]) / n + 1 - average_rank("mean_change", ["__ok"]) / n) / 2
+    for c in ("rho", "mean_change"):
+        per = percent_ranks(per, c, f"__r_{c}", F.col("__ok"))
+    score = (F.col("__r_rho") + 1 - F.col("__r_mean_change")) / 2
     return per.select(venue, "rho", "mean_change", "n_events", F.when(F.col("__ok"), clip(score, 0.02, 0.98)).alias("difficulty"))
 
 
@@ -134,20 +138,22 @@ def backfit(df: DataFrame, team: str, driver: str, value: str, index: str, as_of
     """driver, team, effects by backfitting on cell sums of the rows before as_of: (team, driver) cells carry all that
     the passes need.
 
-    Weighted sums per cell are aggregated once; each pass is two windows over cells and one row of sums, so the fact
-    table is read and shuffled a single time whatever the number of passes.
+    Weighted sums per cell are aggregated once and written down, and so are the cells after each pass, which is two
+    windows and one row of sums: the fact table is read once, and the plan of a pass does not hold the one before.
     """
     wt, wd = as_of_weight(index, as_of, team_half_life, regime, target), as_of_weight(index, as_of, driver_half_life, regime, target)
     rows = df.where((F.col(index) < as_of) & F.col(value).isNotNull()).where((wt > 1e-6) | (wd > 1e-6))
     cell = rows.groupBy(F.col(team).alias("team"), F.col(driver).alias("driver")).agg(
         F.sum(wt).alias("wt"), F.sum(wt * F.col(value)).alias("wty"), F.sum(wd).alias("wd"), F.sum(wd * F.col(value)).alias("wdy")
     )
+    cell = staged(cell, "backfit-cells")
     start = cell.agg((F.sum("wty") / F.sum("wt")).alias("mu"), F.sum("wd").alias("all"))
     cell = cell.join(F.broadcast(start)).withColumn("t", F.lit(0.0)).withColumn("d", F.lit(0.0))
     by_team, by_driver = Window.partitionBy("team"), Window.partitionBy("driver")
     for _ in range(passes):
         cell = cell.withColumn("t", F.sum(F.col("wty") - F.col("wt") * (F.col("mu") + F.col("d"))).over(by_team) / (F.sum("wt").over(by_team) + ridge))
         cell = cell.withColumn("d", F.sum(F.col("wdy") - F.col("wd") * (F.col("mu") + F.col("t"))).over(by_driver) / (F.sum("wd").over(by_driver) + ridge))
+        cell = staged(cell, "backfit-pass")
         centre = cell.agg((F.sum(F.col("wd") * F.col("d")) / F.first("all")).alias("s"))
         cell = cell.join(F.broadcast(centre)).withColumn("d", F.col("d") - F.col("s")).withColumn("mu", F.col("mu") + F.col("s")).drop("s")
     n = F.sum("wd").over(by_driver)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import average_rank, beta_rate, clip
+from ..functions.scalar import beta_rate, clip
+from ..staging import staged
+from .order import percent_ranks, with_index
 
 # Apex speeds in km/h at which a corner stops being slow, and medium.
 SLOW, MEDIUM = 140, 220
@@ -132,16 +134,15 @@ def transfer_difficulty(profiles: DataFrame, venue: str, family: str, wanted: bo
 
 def measured_difficulty(rates: DataFrame, venue: str, rate: str) -> DataFrame:
     """One less the percentile rank of a passing rate, clipped; no row for fewer than two venues."""
-    every = Window.partitionBy(F.lit(0))
-    n = F.count("*").over(every)
-    out = rates.where(F.col(rate).isNotNull()).withColumn("__one", F.lit(0)).withColumn("__n", n)
-    out = out.withColumn("difficulty", clip(1 - average_rank(rate, ["__one"]) / F.col("__n"), 0.02, 0.98))
-    return out.where("__n >= 2").drop("__one", "__n")
+    known = staged(rates.where(F.col(rate).isNotNull()), "rates")
+    out = percent_ranks(known, rate, "__share").join(F.broadcast(known.agg(F.count("*").alias("__n")))).where("__n >= 2")
+    return out.withColumn("difficulty", clip(1 - F.col("__share"), 0.02, 0.98)).drop("__share", "__n")
 
 
 def projected_entries(results: DataFrame, entrant: list[str], index: str, season: str) -> DataFrame:
     """Entrants of the event before, as the field of every event but a season's first."""
     events = results.select(F.col(index).alias("__i"), F.col(season).alias("__s")).distinct()
-    w = Window.partitionBy(F.lit(0)).orderBy("__i")
-    follow = events.select("__i", F.lead("__i").over(w).alias("target"), (F.lead("__s").over(w) == F.col("__s")).alias("__same")).where("__same")
+    placed = with_index(events, ["__i"], "__k")
+    after = placed.select((F.col("__k") - 1).alias("__k"), F.col("__i").alias("target"), F.col("__s").alias("__next"))
+    follow = placed.join(after, "__k").where(F.col("__s") == F.col("__next")).select("__i", "target")
     return results.select(*entrant, F.col(index).alias("__i")).distinct().join(follow, "__i").select("target", *entrant)

@@ -8,14 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from ..staging import staged
 from .guards import ContractError, require_unique
+from .order import with_index
 
+#: Events that one task may order.
+CALENDAR = 1_000_000
 STATS = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "std": F.stddev_samp, "median": F.median}
 
 
 def event_index(events: DataFrame, order: list[str], name: str = "event_index") -> DataFrame:
-    """Distinct events with a dense index from 0; the calendar is a dimension, so one task may order it."""
-    distinct = events.select(*order).distinct()
+    """Distinct events with a dense index from 0.
+
+    They are written down and counted: a calendar of up to CALENDAR events is ordered in one task, a longer one by ranges.
+    """
+    distinct = staged(events.select(*order).distinct(), "events")
+    if distinct.count() > CALENDAR:
+        return with_index(distinct, list(order), name).withColumn(name, F.col(name).cast("double"))
     return distinct.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("double"))
 
 

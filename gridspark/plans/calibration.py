@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import calibration as C
+from ..operators import lambdarank
 from .catalog import _DAYS, days, longs, query, r6s
 
 # Days stand for races and users for entrants: their mean value is the score, their sum decides.
@@ -51,3 +52,18 @@ def candidate_losses(spark, sf_dir):
     rows, _, _ = C.compare_candidates(_history(spark, sf_dir), "race", "user_id", "i", "score")
     won = rows.where("winner = 1 AND model <> 'ranking_calibrated'")
     return won.groupBy("model").agg(F.count("*").alias("n_races"), F.round(F.avg(-F.ln("win_probability")), 6).alias("winner_logloss"))
+
+
+@query(f"""
+WITH {_DAYS}, rw AS (SELECT i, user_id, round(v / 20.0, 6) AS s, CAST(n % 4 AS DOUBLE) AS y FROM d WHERE v IS NOT NULL),
+rk AS (SELECT *, pow(2, y) - 1 AS gain, row_number() OVER (PARTITION BY i ORDER BY s DESC, user_id) AS r, row_number() OVER (PARTITION BY i ORDER BY y DESC, user_id) AS b FROM rw),
+ds AS (SELECT *, CASE WHEN r <= 5 THEN 1 / log2(r + 1) ELSE 0 END AS d, sum(CASE WHEN b <= 5 THEN gain / log2(b + 1) ELSE 0 END) OVER (PARTITION BY i) AS ideal FROM rk),
+pa AS (SELECT x.i, x.user_id AS hi, z.user_id AS lo, 1 / (1 + exp(x.s - z.s)) AS p, abs((x.gain - z.gain) * (x.d - z.d)) / x.ideal AS delta FROM ds x JOIN ds z ON x.i = z.i AND x.y > z.y AND least(x.r, z.r) <= 5 WHERE x.ideal > 0),
+su AS (SELECT i, user_id, sum(g) AS g, sum(h) AS h FROM (SELECT i, hi AS user_id, p * delta AS g, p * (1 - p) * delta AS h FROM pa UNION ALL SELECT i, lo, -p * delta, p * (1 - p) * delta FROM pa) GROUP BY ALL)
+SELECT rw.i, rw.user_id, round(coalesce(g, 0), 6) + 0.0 AS g, round(coalesce(h, 0), 6) AS h FROM rw LEFT JOIN su ON su.i = rw.i AND su.user_id = rw.user_id
+""")
+def lambda_gradients(spark, sf_dir):
+    d = days(spark, sf_dir).where("v IS NOT NULL")
+    rows = d.select((F.col("i") * 1_000_000 + F.col("user_id")).cast("long").alias("__id"), "i", "user_id", F.round(F.col("v") / 20.0, 6).alias("s"), (F.col("n") % 4).cast("double").alias("y"))
+    out = lambdarank.gradients(rows, "i", "s", "y", 5)
+    return out.select("i", "user_id", (F.round("g", 6) + 0.0).alias("g"), *r6s("h"))
