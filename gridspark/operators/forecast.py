@@ -26,19 +26,28 @@ class ForecastConfig:
     kinds: tuple[tuple[str, float], ...] = (("qualifying", 1.0), ("race", 0.8))
 
 
-def history(rows: DataFrame, targets: DataFrame, index: str, half_life: float, regime: str, cross: float) -> DataFrame:
-    """rows once for each later target within reach, with target and w (its recency and regime weight).
+def decayed_cells(rows: DataFrame, targets: DataFrame, keys: list[str], index: str, half_life: float, regime: str, cross: float, amounts: dict[str, Column], share: Column | None = None) -> DataFrame:
+    """(target, <keys>, w, and each amount): sums of recency and regime weights (times a row's share), and of the weighted
+    amounts, over the rows of a cell of keys before each later target.
 
     targets is a calendar (target, target_index, target_regime), a small dimension.  A weight falls under 1e-6 after
-    twenty half-lives, so a row meets a bounded number of targets: it is dealt to blocks of events, and targets to the
-    blocks that they can see.
+    twenty half-lives and is left out there.  Rows are summed by cell and event first, then a cell's events of such a
+    stretch become one row: what meets a target is a cell's stretch, not its rows, and no more rows than there are cells
+    with a past for a target come out.  A stretch holds a bounded number of events.
     """
     reach = 20 * half_life
     block = lambda c: F.floor(c / reach)
-    t = targets.select("target", "target_index", "target_regime", F.explode(F.array(block(F.col("target_index")), block(F.col("target_index")) - 1)).alias("__block"))
-    out = rows.withColumn("__block", block(F.col(index))).join(F.broadcast(t), "__block").where(F.col(index) < F.col("target_index"))
-    w = recency_weight(F.col(index), F.col("target_index"), half_life) * F.when(F.col(regime) == F.col("target_regime"), 1.0).otherwise(cross)
-    return out.withColumn("w", w).where("w > 1e-6").drop("__block")
+    per = rows.groupBy(*keys, F.col(regime).alias("__regime"), F.col(index).cast("double").alias("__at")).agg(F.sum(F.lit(1.0) if share is None else share).alias("__w"), *[F.sum(c).alias(f"__a{k}") for k, c in enumerate(amounts.values())])
+    names = ["__w", *[f"__a{k}" for k in range(len(amounts))]]
+    packed = per.groupBy(*keys, block(F.col("__at")).alias("__block")).agg(F.collect_list(F.struct("__at", "__regime", *names)).alias("__events"))
+    t = targets.select("target", F.col("target_index").cast("double").alias("target_index"), "target_regime", F.explode(F.array(block(F.col("target_index")), block(F.col("target_index")) - 1)).alias("__block"))
+    met = packed.join(F.broadcast(t), "__block")
+    weight = lambda x: recency_weight(x["__at"], F.col("target_index"), half_life) * F.when(x["__regime"] == F.col("target_regime"), 1.0).otherwise(cross)
+    counted = F.filter("__events", lambda x: (x["__at"] < F.col("target_index")) & (weight(x) > 1e-6))
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in names])
+    sums = F.aggregate(counted, zero, lambda held, x: F.struct(*[(held[n] + weight(x) * F.coalesce(x[n].cast("double"), F.lit(0.0))).alias(n) for n in names]))
+    met = met.select("target", *keys, F.size(counted).alias("__n"), sums.alias("__s")).where("__n > 0")
+    return met.groupBy("target", *keys).agg(F.sum("__s.__w").alias("w"), *[F.sum(f"__s.__a{k}").alias(n) for k, n in enumerate(amounts)])
 
 
 def strengths(observations: DataFrame, targets: DataFrame, config: ForecastConfig = ForecastConfig()) -> tuple[DataFrame, DataFrame]:
@@ -46,10 +55,9 @@ def strengths(observations: DataFrame, targets: DataFrame, config: ForecastConfi
 
     observations has (event_index, regime, kind, team, driver, score).
     """
-    seen = history(observations.where("score IS NOT NULL"), targets, "event_index", config.half_life, "regime", config.cross_regime)
     kinds = F.create_map(*[F.lit(x) for pair in config.kinds for x in pair])
-    w = F.col("w") * F.coalesce(kinds[F.col("kind")], F.lit(0.5))
-    cell = seen.groupBy("target", "team", "driver").agg(F.sum(w).alias("w"), F.sum(w * F.col("score")).alias("wy"))
+    share = F.coalesce(kinds[F.col("kind")], F.lit(0.5))
+    cell = decayed_cells(observations.where("score IS NOT NULL"), targets, ["team", "driver"], "event_index", config.half_life, "regime", config.cross_regime, {"wy": share * F.col("score")}, share)
     every, team, driver = Window.partitionBy("target"), Window.partitionBy("target", "team"), Window.partitionBy("target", "driver")
     cell = cell.withColumn("mu", F.sum("wy").over(every) / F.sum("w").over(every)).withColumn("d", F.lit(0.0))
     for _ in range(config.passes):
@@ -65,9 +73,7 @@ def strengths(observations: DataFrame, targets: DataFrame, config: ForecastConfi
 
 def hazards(results: DataFrame, targets: DataFrame, config: ForecastConfig = ForecastConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(target, base), (target, team, team_rate) and (target, driver, excess) of retirements among starters."""
-    seen = history(results.where("started = 1"), targets, "event_index", 2 * config.half_life, "regime", config.cross_regime)
-    y = F.col("dnf").cast("double")
-    cell = seen.groupBy("target", "team", "driver").agg(F.sum("w").alias("w"), F.sum(F.col("w") * y).alias("wy"))
+    cell = decayed_cells(results.where("started = 1"), targets, ["team", "driver"], "event_index", 2 * config.half_life, "regime", config.cross_regime, {"wy": F.col("dnf").cast("double")})
     cell = cell.withColumn("base", F.sum("wy").over(Window.partitionBy("target")) / F.sum("w").over(Window.partitionBy("target")))
     mass, own = config.alpha + config.beta, Window.partitionBy("target", "team")
     cell = cell.withColumn("team_rate", (F.sum("wy").over(own) + mass * F.col("base")) / (F.sum("w").over(own) + mass))
