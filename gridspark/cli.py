@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,24 +12,28 @@ from .functions.scalar import regime
 from .operators import evaluation, forecast, panel
 from .operators.guards import ContractError
 from .operators.simulation import SimulationSettings
-from .sources import responses
+from .sources import paths, responses
 from .sources.files import manifest, write_table
 
 FLATTEN = {"schedule": responses.flatten_schedule, "results": responses.flatten_results, "qualifying": responses.flatten_qualifying, "standings": responses.flatten_standings}
 
 
-def confined(out: str, root: str) -> str:
-    """The output folder, which must lie within the root."""
-    path, base = Path(out).resolve(), Path(root).resolve()
-    if base != path and base not in path.parents:
+def confined(spark: SparkSession, out: str, root: str) -> str:
+    """The output folder as a whole URI, which must lie within the root, on whatever file system."""
+    path, base = paths.qualified(spark, out), paths.qualified(spark, root)
+    if path != base and not path.startswith(base.rstrip("/") + "/"):
         raise ContractError(f"{out} lies outside {root}")
-    return str(path)
+    return path
 
 
-def load_panel(spark: SparkSession, folder: str) -> panel.Panel:
-    """The panel of a folder's results, qualifying and schedule tables."""
+def load_panel(spark: SparkSession, folder: str, race_score: str = "rank") -> panel.Panel:
+    """The panel of a folder's results, qualifying and schedule tables, with standings and overtakes if they are there."""
+    missing = [n for n in ("results", "qualifying", "schedule") if not paths.exists(spark, f"{folder}/{n}.parquet")]
+    if missing:
+        raise ContractError(f"{folder} lacks {', '.join(missing)}")
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
-    return panel.build_panel(read("results"), read("qualifying"), read("schedule"))
+    more = {kind: read(name) for kind, name in (("standings", "standings"), ("passes", "overtakes")) if paths.exists(spark, f"{folder}/{name}.parquet")}
+    return panel.build_panel(read("results"), read("qualifying"), read("schedule"), race_score=race_score, **more)
 
 
 def model_tables(held: panel.Panel) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -49,7 +52,7 @@ def ingest(spark: SparkSession, landed: str, out: str) -> list[str]:
     left out."""
     done = []
     for kind, flatten in FLATTEN.items():
-        if not Path(f"{landed}/{kind}").exists():
+        if not paths.exists(spark, f"{landed}/{kind}"):
             continue
         raw = spark.read.text(f"{landed}/{kind}", wholetext=True).select(F.col("value").alias("body"), F.col("_metadata.file_modification_time").cast("string").alias("fetched_at"))
         write_table(flatten(raw), f"{out}/{kind}.parquet")
@@ -75,7 +78,8 @@ def backtest(spark: SparkSession, folder: str, out: str, seasons: tuple[int, int
     made = spark.read.parquet(f"{out}/predictions").where("win_probability IS NOT NULL")
     write_table(evaluation.probability_report(made), f"{out}/probability_report", "csv")
     write_table(skips, f"{out}/skipped", "csv")
-    Path(f"{out}/manifest.json").write_text(manifest(spark, [f"{folder}/{n}.parquet/*" if Path(f"{folder}/{n}.parquet").is_dir() else f"{folder}/{n}.parquet" for n in ("results", "qualifying", "schedule")], seasons=list(seasons), n_sims=n_sims, spark_version=spark.version))
+    inputs = [paths.files_of(spark, f"{folder}/{n}.parquet") for n in ("results", "qualifying", "schedule")]
+    paths.write_text(spark, f"{out}/manifest.json", manifest(spark, inputs, seasons=list(seasons), n_sims=n_sims, spark_version=spark.version))
     return board
 
 
@@ -104,8 +108,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         job.add_argument("--draws", type=int, default=10_000)
     args = parser.parse_args(argv)
     try:
-        out = confined(args.out, args.root)
         spark = spark or SparkSession.builder.appName("gridspark").getOrCreate()
+        out = confined(spark, args.out, args.root)
         if args.job == "ingest":
             print(", ".join(ingest(spark, args.landed, out)))
         elif args.job == "backtest":

@@ -19,6 +19,9 @@ class Panel:
     schedule: DataFrame
     observations: DataFrame
     event_order: DataFrame
+    #: Championship tables and counted passes, where a panel has them.
+    standings: DataFrame | None = None
+    passes: DataFrame | None = None
 
 
 def with_availability(df: DataFrame, date: str, published: str | None = None) -> DataFrame:
@@ -28,16 +31,32 @@ def with_availability(df: DataFrame, date: str, published: str | None = None) ->
     return df.withColumn("available_at", F.coalesce(known, proxy)).withColumn("availability_basis", F.when(known.isNotNull(), "published").otherwise("reconstructed"))
 
 
-def observations(results: DataFrame, qualifying: DataFrame) -> DataFrame:
-    """race_id, driver_id, kind, score: classified finishers by normal score, qualifying by gap."""
-    n = F.count("*").over(Window.partitionBy("race_id")).cast("double")
-    race = results.where("classified = 1").select("race_id", "driver_id", F.lit("race").alias("kind"), normal_score(F.col("position_order").cast("double"), n).alias("score"))
+def observations(results: DataFrame, qualifying: DataFrame, race_score: str = "rank") -> DataFrame:
+    """race_id, driver_id, kind, score: classified finishers by normal score of their rank, or by their pace over the
+    distance (race_score "pace", which needs laps, total_ms and fastest_lap_s); qualifying by gap."""
+    if race_score not in ("rank", "pace"):
+        raise ContractError(f"no such race score: {race_score}")
+    if race_score == "pace":
+        from .pace import race_pace
+
+        timed = race_pace(results, "race_id", "laps", "total_ms", "fastest_lap_s").where("score IS NOT NULL")
+        race = timed.select("race_id", "driver_id", F.lit("race").alias("kind"), "score")
+    else:
+        n = F.count("*").over(Window.partitionBy("race_id")).cast("double")
+        race = results.where("classified = 1").select("race_id", "driver_id", F.lit("race").alias("kind"), normal_score(F.col("position_order").cast("double"), n).alias("score"))
     laps = qualifying.where("qual_gap_pct IS NOT NULL").select("race_id", "driver_id", F.lit("qualifying").alias("kind"), qualifying_score(F.col("qual_gap_pct")).alias("score"))
     return race.unionByName(laps)
 
 
-def build_panel(results: DataFrame, qualifying: DataFrame, schedule: DataFrame, published: str | None = None) -> Panel:
-    """Checks keys and references, then joins the calendar's dense index; the calendar is a small dimension."""
+def build_panel(results: DataFrame, qualifying: DataFrame, schedule: DataFrame, published: str | None = None, standings: DataFrame | None = None, passes: DataFrame | None = None, race_score: str = "rank") -> Panel:
+    """Checks keys and references, then joins the calendar's dense index; the calendar is a small dimension.
+
+    standings (season, after_round, driver_id) and passes (race_id) are optional; races of passes must be in the calendar.
+    """
+    if standings is not None:
+        require_unique(standings, ["season", "after_round", "driver_id"])
+    if passes is not None:
+        require_reference(passes, ["race_id"], schedule)
     require_unique(schedule, ["race_id"])
     require_unique(schedule, ["season", "round"])
     order = event_index(schedule, ["season", "round", "race_id"]).select("race_id", "event_index")
@@ -47,8 +66,8 @@ def build_panel(results: DataFrame, qualifying: DataFrame, schedule: DataFrame,
         require_unique(fact, ["race_id", "driver_id"])
         require_reference(fact, ["race_id"], schedule)
         facts.append(with_availability(fact.drop("date").join(dates, "race_id"), "date", published if published in fact.columns else None))
-    seen = observations(*facts).join(order, "race_id")
-    return Panel(facts[0], facts[1], schedule, seen, order)
+    seen = observations(*facts, race_score).join(order, "race_id")
+    return Panel(facts[0], facts[1], schedule, seen, order, standings, passes)
 
 
 def baselines(results: DataFrame, driver: str, index: str, position: str, points: str) -> DataFrame:

@@ -9,13 +9,6 @@ from pyspark.sql import functions as F
 
 from ..operators.guards import require_columns
 
-#: Schema of a landed results response; only what the panel needs is parsed.
-RESULTS_JSON = (
-    "Races array<struct<season:string,round:string,date:string,Circuit:struct<circuitId:string>,Results:array<struct<position:string,positionText:string,grid:string,laps:string,"
-    "points:string,status:string,Driver:struct<driverId:string,code:string>,Constructor:struct<constructorId:string>,Time:struct<millis:string>>>>>"
-)
-
-
 def read_table(spark: SparkSession, path: str, types: dict[str, str] | None = None, kind: str = "parquet") -> DataFrame:
     """A table of declared columns; CSV and JSON are read as text and cast, so nothing is inferred."""
     if kind == "parquet":
@@ -29,19 +22,6 @@ def read_table(spark: SparkSession, path: str, types: dict[str, str] | None = No
     return require_columns(df, types)
 
 
-def flatten_results(landed: DataFrame, body: str = "body") -> DataFrame:
-    """One row per result of JSON responses, with race_id as season_round."""
-    races = landed.select(F.explode(F.from_json(F.col(body), RESULTS_JSON)["Races"]).alias("r"))
-    rows = races.select("r.*").select("season", "round", "date", F.col("Circuit.circuitId").alias("circuit_id"), F.explode("Results").alias("x"))
-    number = lambda c, t: F.col(c).try_cast(t)
-    return rows.select(
-        F.concat_ws("_", "season", F.lpad("round", 2, "0")).alias("race_id"), number("season", "int").alias("season"), number("round", "int").alias("round"), "date", "circuit_id",
-        F.col("x.Driver.driverId").alias("driver_id"), F.col("x.Constructor.constructorId").alias("constructor_id"), number("x.grid", "int").alias("grid"),
-        number("x.position", "int").alias("position_order"), F.col("x.positionText").alias("position_text"), number("x.laps", "int").alias("laps"), number("x.points", "double").alias("points"),
-        F.col("x.status").alias("status"), number("x.Time.millis", "double").alias("total_ms"),
-    )
-
-
 def write_table(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
     writer = df.write.mode("overwrite").partitionBy(*partition_by) if partition_by else df.write.mode("overwrite")
     writer.option("header", True).csv(path) if kind == "csv" else getattr(writer, kind)(path)
