@@ -28,10 +28,12 @@ def _ranges(df: DataFrame, order: list[Column], label: str) -> DataFrame:
 def _offsets(sums: dict[int, tuple], names: list[str], dealt: DataFrame) -> DataFrame:
     """dealt with what all earlier ranges hold of each name; there are as many rows to add as there are ranges."""
     parts = sorted(sums)
-    before = [list(accumulate((sums[p][k] for p in parts[:-1]), initial=0)) for k in range(len(names))] if parts else [[] for _ in names]
-    kinds = [f"`{n}` {'double' if any(isinstance(x, float) for x in b) else 'long'}" for n, b in zip(names, before)]
-    rows = [(p, *[float(b[i]) if k.endswith("double") else int(b[i]) for b, k in zip(before, kinds)]) for i, p in enumerate(parts)]
-    side = dealt.sparkSession.createDataFrame(rows, ", ".join(["__part long", *kinds]))
+    if not parts:
+        return dealt.withColumns({n: F.lit(0) for n in names})
+    before = [list(accumulate((sums[p][k] for p in parts[:-1]), initial=0)) for k in range(len(names))]
+    written = lambda column, x: f"CAST({x!r} AS DOUBLE)" if any(isinstance(y, float) for y in column) else f"{int(x)}L"
+    rows = ", ".join(f"({p}L, {', '.join(written(c, c[i]) for c in before)})" for i, p in enumerate(parts))
+    side = dealt.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(__part, {', '.join(f'`{n}`' for n in names)})")
     return dealt.join(F.broadcast(side), "__part")
 
 
