@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from ..operators.order import running_totals, with_index
+from .common import WORD, attach_group, scratch, staged
 
 #: Words of a block, about: a shard's blocks are equal to within a word.
 BLOCK = 64
@@ -26,44 +27,44 @@ def targets(sized: DataFrame) -> DataFrame:
 
     The weights share the sum of all sizes; no target is above MOST times its source's size, and what is cut off
     is shared by weight among the rest.  With sources sorted by limit per weight, those at their limit come
-    first, so one pass of running sums finds the level at which the rest stand.
+    first, so one pass of running sums finds the level at which the rest stand.  Places and running sums are those of
+    ranges over all sources, however many there are.
     """
     per = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source")))
-    per = per.withColumn("place", place.cast("long")).withColumn("weight", (F.col("place") - 1) % 3 + 1)
+    per = with_index(per, [F.col("source").isNull(), F.col("source")], "place").withColumn("place", F.col("place") + 1)
     most = F.col("source_size") * MOST
-    order = Window.orderBy((most / F.col("weight")), F.col("source").isNull(), F.col("source"))
-    before, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    level = (F.sum("source_size").over(every) - F.coalesce(F.sum(most).over(before), F.lit(0))) / (
-        F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    )
-    per = per.withColumn("__level", level).withColumn("__free", F.col("__level") * F.col("weight") <= most)
-    at_level = F.struct((most / F.col("weight")).alias("ratio"), F.col("__level").alias("level"))
-    free = F.min(F.when(F.col("__free"), at_level)).over(every).getField("level")
-    target = F.least(most.cast("double"), F.coalesce(free, F.lit(0.0)) * F.col("weight"))
-    return per.select("source", "place", "n_docs", "source_size", "weight", target.alias("target"))
+    per = per.withColumn("weight", (F.col("place") - 1) % 3 + 1).withColumns({"__ratio": most / F.col("weight"), "__none": F.col("source").isNull()})
+    every = per.agg(F.sum("source_size").alias("__size"), F.sum("weight").alias("__weights"))
+    run = running_totals(per, ["__ratio", "__none", "source"], {"__most": most, "__before": F.col("weight")}).join(F.broadcast(every))
+    run = run.withColumn("__level", (F.col("__size") - F.col("__most")) / (F.col("__weights") - F.col("__before")))
+    free = run.where(F.col("__level") * F.col("weight") <= most).agg(F.min(F.struct("__ratio", "__level")).getField("__level").alias("__free"))
+    target = F.least(most.cast("double"), F.coalesce("__free", F.lit(0.0)) * F.col("weight"))
+    return run.join(F.broadcast(free)).select("source", "place", "n_docs", "source_size", "weight", target.alias("target"))
 
 
-def apportion(units: DataFrame, group: list[str], key: list[str], claim: str, seats: Column, out: str) -> DataFrame:
+def apportion(units: DataFrame, group: str, key: str, claim: str, seats: Column, out: str) -> DataFrame:
     """units with an integer column out: Sainte-Lague seats for each unit of a group, by highest claim / (2k + 1).
 
     A unit's seats lie within (units / 2) * its share + 1 of its rounded quota, so only that many quotients are
-    ranked.  Units without a claim get none.  Ties go to the smaller key.
+    ranked.  Units without a claim get none.  Ties go to the smaller key.  Quotients are ranked by ranges of (group,
+    quotient) over all groups, so that a group with most of the units, as the shards of a large source, is no one task's.
     """
-    g = Window.partitionBy(*group)
-    base = units.withColumn("__t", F.sum(claim).over(g)).withColumn("__n", F.count("*").over(g)).withColumn("__s", seats.cast("long"))
+    units = staged(units.withColumn("__s", seats.cast("long")), "mix-units")
+    n = units.count()
+    sums = staged(units.groupBy(group).agg(F.sum(claim).alias("__t"), F.count("*").alias("__n")), "mix-groups")
+    base = attach_group(units, sums, group, "__n", n)
     share = F.when(F.col("__t") > 0, F.col(claim) / F.col("__t")).otherwise(F.lit(0.0))
     base = base.withColumn("__q", F.floor(share * F.col("__s") + 0.5).cast("long"))
     base = base.withColumn("__w", F.when(share > 0, F.ceil(share * F.col("__n") / 2).cast("long") + 1).otherwise(F.lit(0)))
-    low = F.greatest(F.col("__q") - F.col("__w"), F.lit(0))
-    base = base.withColumn("__low", low).withColumn("__sure", F.sum("__low").over(g))
-    tries = base.where("__w > 0").select(*group, *key, "__s", "__sure", F.explode(F.sequence(F.col("__low"), F.col("__q") + F.col("__w"))).alias("__k"), F.col(claim).alias("__c"))
-    order = [(F.col("__c") / (2 * F.col("__k") + 1)).desc(), *[F.col(k).isNull() for k in key], *[F.col(k) for k in key]]
-    won = tries.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__r") <= F.col("__s") - F.col("__sure"))
-    won = won.groupBy(*[F.col(c).alias(f"__{c}") for c in (*group, *key)]).agg(F.count("*").alias("__won"))
-    on = [base[c].eqNullSafe(won[f"__{c}"]) for c in (*group, *key)]
-    joined = base.join(won, on, "left")
-    return joined.select(*units.columns, (F.col("__low") + F.coalesce(F.col("__won"), F.lit(0))).cast("long").alias(out))
+    base = staged(base.withColumn("__low", F.greatest(F.col("__q") - F.col("__w"), F.lit(0))), "mix-quotients")
+    tries = base.where("__w > 0").select(group, key, "__s", F.explode(F.sequence(F.col("__low"), F.col("__q") + F.col("__w"))).alias("__k"), F.col(claim).alias("__c"))
+    ranked = staged(with_index(tries, [F.col(group), (F.col("__c") / (2 * F.col("__k") + 1)).desc(), F.col(key).isNull(), F.col(key)], "__i"), "mix-ranks")
+    first = ranked.groupBy(group).agg(F.min("__i").alias("__first"), F.count("*").alias("__tries"))
+    sure = staged(base.groupBy(group).agg(F.sum("__low").alias("__sure")).join(first, group), "mix-first")
+    placed = attach_group(ranked, sure, group, "__tries", ranked.count())
+    won = placed.where(F.col("__i") - F.col("__first") < F.col("__s") - F.col("__sure")).groupBy(F.col(group).alias("__g"), F.col(key).alias("__u")).agg(F.count("*").alias("__won"))
+    joined = base.join(won, base[group].eqNullSafe(F.col("__g")) & base[key].eqNullSafe(F.col("__u")), "left")
+    return joined.select(*[c for c in units.columns if c != "__s"], (F.col("__low") + F.coalesce(F.col("__won"), F.lit(0))).cast("long").alias(out))
 
 
 def plan(sized: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
@@ -74,7 +75,7 @@ def plan(sized: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS, see
     blocks of equal size.  Blocks are apportioned to sources, then to a source's shards; a shard takes its
     quota in whole rounds, and the rest from blocks in seeded order.
     """
-    level = staged(targets(sized), "mix-targets")
+    level = staged(targets(sized), "mix-targets", keep=True)
     pick = lambda *x: F.xxhash64(F.lit(seed), *x)
     per = level.select(
         F.col("source").alias("of"), "place", "source_size", "target",
@@ -88,11 +89,11 @@ def plan(sized: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS, see
     docs = docs.withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0)))
     shards = docs.groupBy("place", "shard").agg(F.sum("size").alias("shard_size")).where("shard_size > 0")
     total = level.agg(F.floor(F.sum("target") / block + 0.5)).first()[0] or 0
-    seats = apportion(level.select("place", "target", F.lit(0).alias("all")), ["all"], ["place"], "target", F.lit(total), "seats")
+    seats = apportion(level.select("place", "target", F.lit(0).alias("all")), "all", "place", "target", F.lit(total), "seats")
     units = shards.join(seats.select("place", "seats"), "place")
-    quotas = apportion(units, ["place"], ["shard"], "shard_size", F.col("seats"), "quota")
+    quotas = apportion(units, "place", "shard", "shard_size", F.col("seats"), "quota")
     quotas = quotas.withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("shard_size") / block)).cast("long"))
-    quotas = staged(quotas.select("place", "shard", "shard_size", "blocks", F.least("quota", F.col("blocks") * MOST).alias("quota")), "mix-quotas")
+    quotas = staged(quotas.select("place", "shard", "shard_size", "blocks", F.least("quota", F.col("blocks") * MOST).alias("quota")), "mix-quotas", keep=True)
     chosen = quotas.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     rank = F.row_number().over(Window.partitionBy("place", "shard").orderBy(pick(F.lit("block"), "place", "shard", "block"), "block"))
     times = F.floor(F.col("quota") / F.col("blocks")).cast("int") + (rank <= F.col("quota") % F.col("blocks")).cast("int")
@@ -131,4 +132,5 @@ def mix_sources(docs: DataFrame, block: int = BLOCK, seed: int = SEED, id_col: s
     A document whose row is repeated k times has k result rows; rows of one id with different texts are told apart by
     text_key, the text's xxhash64.
     """
-    return plan(staged(sizes(docs, id_col, text_col, source_col), "mix-sizes"), block=block, seed=seed)
+    with scratch(docs.sparkSession):
+        return plan(staged(sizes(docs, id_col, text_col, source_col), "mix-sizes", keep=True), block=block, seed=seed)

@@ -244,7 +244,7 @@ def test_apportion(spark):
     claims = {"a": 53000, "b": 24000, "c": 23000, "d": 7, "e": 0, "f": 7, "g": 24000}
     df = spark.createDataFrame([(0, k, v) for k, v in claims.items()], "g int, k string, c long")
     for seats in (1, 7, 100, 101):
-        got = {r["k"]: r["n"] for r in mixing.apportion(df, ["g"], ["k"], "c", F.lit(seats), "n").collect()}
+        got = {r["k"]: r["n"] for r in mixing.apportion(df, "g", "k", "c", F.lit(seats), "n").collect()}
         want = dict.fromkeys(claims, 0)
         for _ in range(seats):
             want[max(claims, key=lambda k: (claims[k] / (2 * want[k] + 1), -ord(k)))] += 1
