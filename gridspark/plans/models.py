@@ -203,7 +203,7 @@ def retirement_probabilities(spark, sf_dir):
 _SEASONS = f"""
 {_DAYS}, re AS (SELECT user_id, i, CAST(2022 + floor(i / 8) AS BIGINT) AS season, CAST(i % 8 + 1 AS BIGINT) AS round, s AS points, row_number() OVER (PARTITION BY i ORDER BY s DESC, user_id) AS pos, n % 5 AS grid, user_id % 9 AS qp FROM d),
 evs AS (SELECT DISTINCT season, round, i FROM re), us AS (SELECT DISTINCT season, user_id FROM re),
-cu AS (SELECT evs.season, evs.round, us.user_id, sum(CASE WHEN re.round <= evs.round THEN points END) AS p FROM evs JOIN us USING (season) JOIN re ON re.season = evs.season AND re.user_id = us.user_id GROUP BY ALL),
+cu AS (SELECT evs.season, evs.round, us.user_id, round(sum(CASE WHEN re.round <= evs.round THEN points END), 6) AS p FROM evs JOIN us USING (season) JOIN re ON re.season = evs.season AND re.user_id = us.user_id GROUP BY ALL),
 st AS (SELECT season, round AS after_round, user_id, row_number() OVER (PARTITION BY season, round ORDER BY p DESC, user_id) AS cp FROM cu WHERE p IS NOT NULL)
 """
 
@@ -214,7 +214,7 @@ def _seasons(spark, sf_dir):
         F.col("user_id").alias("driver_id"), F.col("i").alias("event_index"), F.col("i").alias("race_id"), (2022 + F.floor(F.col("i") / 8)).alias("season"), (F.col("i").cast("long") % 8 + 1).alias("round"), F.col("s").alias("points"),
         F.row_number().over(Window.partitionBy("i").orderBy(F.col("s").desc(), "user_id")).alias("position_order"), (F.col("n") % 5).alias("grid"), (F.col("user_id") % 9).alias("qual_position"))
     events = re.select("season", "round").distinct().withColumnRenamed("round", "after_round")
-    so_far = re.join(events, "season").where("round <= after_round").groupBy("season", "after_round", "driver_id").agg(F.sum("points").alias("p"))
+    so_far = re.join(events, "season").where("round <= after_round").groupBy("season", "after_round", "driver_id").agg(F.round(F.sum("points"), 6).alias("p"))
     place = F.row_number().over(Window.partitionBy("season", "after_round").orderBy(F.col("p").desc(), "driver_id"))
     return re, so_far.select("season", "after_round", "driver_id", place.alias("championship_position"))
 
