@@ -154,6 +154,13 @@ def _codec(shared) -> Codec:
     return _codecs[key]
 
 
+def _slices(batches, rows: int = 200):
+    """Arrow batches by few rows at a time: of a batch of long texts only so many become Python strings at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def encode_pieces(docs: DataFrame, model: str, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids, round_trip (decoding gives the text back).
 
@@ -168,8 +175,8 @@ def encode_pieces(docs: DataFrame, model: str, kind: str = "bpe", id_col: str =
 
     def run(batches):
         codec = _codec(shared)
-        for batch in batches:
-            for ids, texts in text_chunks(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), 4_000_000):
+        for batch in _slices(batches):
+            for ids, texts in text_chunks(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), 1_000_000):
                 plain = [t.decode() for t in texts]
                 flat, at = codec.encode(plain)
                 same = [codec.decode(flat[a:b].tolist()) == t.replace(MARK, " ") for t, a, b in zip(plain, at, at[1:])]
