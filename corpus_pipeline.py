@@ -36,11 +36,14 @@ def _once(docs: DataFrame, repeated: bool) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that no rule rejects.  NULL, empty and blank texts have too few words and go; NULL ids, sources and other
+    columns decide nothing; equal rows fare alike; an empty table stays empty."""
     return _chosen(docs, quality_rules(_keyed(docs), carry=("__key",)).where("kept"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row that the operator keeps; of rows that share its id as well, the longest."""
+    """Of equal texts the row that the operator keeps; of rows that share its id as well, the longest.  NULL counts as
+    empty text, a NULL id comes after all others; of wholly equal rows one stays; an empty table stays empty."""
     kept = staged(exact_dedup(_keyed(docs), carry=("__key", "__size")).where("kept"), "kept-rows")
     first = F.min(F.struct((-F.col("__size")).alias("s"), F.col("__key").alias("k")))
     one = kept.groupBy("text_sha256", "doc_id").agg(first.getField("k").alias("__key"), F.count("*").alias("n"))
@@ -48,7 +51,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that stands for its group; rows that share an id are one document, whose texts all stay."""
+    """The document that stands for its group; rows that share an id are one document, whose texts all stay.  Rows with a
+    NULL id and texts without words are nobody's copy and stay; an empty table stays empty."""
     kept = near_dedup(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = staged(kept, "kept-ids")
     n_ids, most = kept.agg(F.count("*"), F.max("n")).first()
@@ -57,7 +61,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes of each document, with the white space behind them; a block that is taken
-    k times stands in k rows of its document."""
+    k times stands in k rows of its document.  Texts without words, NULL ones too, give nothing to a mix and go; a NULL
+    source is a source; NULL ids are mixed as any; an empty table stays empty."""
     same = Window.partitionBy("__id", "__source", "__key")
     held = F.struct("start", "blocks", "shard_size", "times").alias("__plan")
     plan = mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_key").alias("__key"), held)
@@ -77,6 +82,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each row, as encode_pieces gives them: none for NULL and empty texts; every row stays, also repeated ones
+    and those with a NULL id; an empty table stays empty."""
     return encode_pieces(docs, PIECE_MODEL)
 
 
