@@ -69,7 +69,7 @@ class Codec:
         key = (left, right)
         if (known := self.stable.get(key)) is None:
             known = (not left or left + right not in self.score) and self.merged(left + right) == ([left, right] if left else [right])
-            if len(self.stable) > 2_000_000:
+            if len(self.stable) > 500_000:
                 self.stable.clear()
             self.stable[key] = known
         return known
