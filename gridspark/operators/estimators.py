@@ -126,9 +126,15 @@ def robust_z(df: DataFrame, value: str, group: list[str], name: str = "robust_z"
 
 
 def pace_gap(df: DataFrame, group: list[str], lead: str, fallback: str, low: float = 0.0, high: float = 8.0) -> DataFrame:
-    """Gap in percent to the group's best lead time, else to the best fallback time; gaps outside [low, high] are NULL."""
+    """Gap in percent to the group's best lead time, else to the best fallback time; gaps outside [low, high] are NULL.
+
+    A best time of 0 has no finite gap to it: its group keeps that source, and no gap."""
     w = Window.partitionBy(*group)
-    gap = lambda c: 100 * (F.col(c) - F.min(c).over(w)) / F.min(c).over(w)
+
+    def gap(c):
+        best = F.min(c).over(w)
+        return F.when(best != 0, 100 * (F.col(c) - best) / best).when(F.col(c).isNotNull(), float("nan"))
+
     value = F.coalesce(gap(lead), gap(fallback))
     source = F.when(gap(lead).isNotNull(), "lead").when(gap(fallback).isNotNull(), "fallback")
     return df.withColumn("gap_pct", F.when(value.between(low, high), value)).withColumn("gap_source", source)
