@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import struct
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,8 +22,9 @@ from ..session import ship_package
 
 #: Order of the field that draws are made in.
 PRIME = 2147483647
-#: Simulations of a race that one task makes together.
+#: Simulations of a race that one task makes together, and how many such chunks are counted before rows leave it.
 CHUNK = 500
+TOGETHER = 5
 
 
 @dataclass(frozen=True)
@@ -49,23 +49,77 @@ class SimulationSettings:
             raise ValueError("chaos settings out of range")
 
 
+#: MD5's constants (RFC 1321): sines, rotations and the word that each of the 64 steps takes.
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_TURNS = (7, 12, 17, 22) * 4 + (5, 9, 14, 20) * 4 + (4, 11, 16, 23) * 4 + (6, 10, 15, 21) * 4
+_WORDS = [(i, (5 * i + 1) % 16, (3 * i + 5) % 16, 7 * i % 16)[i // 16] for i in range(64)]
+
+
+def hashed(heads: list[str], tails: range) -> np.ndarray:
+    """The MD5 of each head followed by each number, as four 32-bit numbers: heads x tails x 4.
+
+    Texts of one block are hashed together, step by step; longer ones singly.
+    """
+    heads_, tails_ = [h.encode() for h in heads], [b"%d" % t for t in tails]
+    longest = max(map(len, heads_)) + max(map(len, tails_))
+    if longest > 55:
+        digests = b"".join(hashlib.md5(h + t).digest() for h in heads_ for t in tails_)
+        return np.frombuffer(digests, ">u4").astype(np.int64).reshape(len(heads_), len(tails_), 4)
+    block = np.zeros((len(heads_), len(tails_), 64), np.uint8)
+    sizes = np.array([len(t) for t in tails_])
+    for k, h in enumerate(heads_):
+        room = 64 - len(h)
+        block[k, :, : len(h)] = np.frombuffer(h, np.uint8)
+        block[k, :, len(h) :] = np.frombuffer(b"".join([(t + b"\x80").ljust(room, b"\0") for t in tails_]), np.uint8).reshape(-1, room)
+        bits = 8 * (len(h) + sizes)
+        block[k, :, 56], block[k, :, 57] = bits & 255, bits >> 8
+    words = np.ascontiguousarray(block.reshape(-1, 64).view("<u4").astype(np.uint32).T)
+    start = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(words.shape[1], x, np.uint32) for x in start)
+    for i in range(64):
+        if i < 16:
+            f = d ^ (b & (c ^ d))
+        elif i < 32:
+            f = c ^ (d & (b ^ c))
+        elif i < 48:
+            f = b ^ c ^ d
+        else:
+            f = c ^ (b | ~d)
+        f += a
+        f += np.uint32(_SINES[i])
+        f += words[_WORDS[i]]
+        turned = f << np.uint32(_TURNS[i])
+        turned |= f >> np.uint32(32 - _TURNS[i])
+        turned += b
+        a, d, c, b = d, c, b, turned
+    out = np.stack([x + y for x, y in zip((a, b, c, d), start)], axis=1)
+    return out.byteswap().astype(np.int64).reshape(len(heads_), len(tails_), 4)
+
+
 class Draws:
-    """Random matrices, simulations by entries, of one race."""
+    """Random matrices, simulations by entries, of one race; the streams named at first are hashed together."""
 
-    def __init__(self, seed: int, race: object, sims: range, n: int):
+    def __init__(self, seed: int, race: object, sims: range, n: int, streams: tuple[str, ...] = ()):
         self.seed, self.race, self.sims = seed, race, sims
         self.c = np.arange(1, n + 1, dtype=np.int64)[None, :]
+        self.held = dict(zip(streams, hashed([self._head(s) for s in streams], sims))) if streams else {}
+
+    def _head(self, stream: str) -> str:
+        return f"{self.seed}|{stream}|{self.race}|"
 
     def _hashed(self, stream: str) -> np.ndarray:
         """Four 32-bit numbers for each simulation."""
-        digests = [hashlib.md5(f"{self.seed}|{stream}|{self.race}|{sim}".encode()).digest() for sim in self.sims]
-        return np.array([struct.unpack(">4I", d) for d in digests], dtype=np.int64)
+        return self.held[stream] if stream in self.held else hashed([self._head(stream)], self.sims)[0]
 
     def uniform(self, stream: str) -> np.ndarray:
         k = self._hashed(stream) % PRIME
         h = k[:, :1]
         for i in (1, 2, 3):
-            h = (h * self.c + k[:, i : i + 1]) % PRIME
+            # The remainder by 2^31 - 1: the bits above the 31st are added to those below.
+            h = h * self.c + k[:, i : i + 1]
+            h = (h & PRIME) + (h >> 31)
+            h = (h & PRIME) + (h >> 31)
+            h[h == PRIME] = 0
         return (h + 0.5) / float(PRIME)
 
     def normal(self, stream: str) -> np.ndarray:
@@ -80,7 +134,7 @@ class Draws:
 Kind = Callable[[pd.Series, Draws], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _cells(entries: DataFrame, race: str, entry: str, fields: dict[str, Column], s: SimulationSettings, kind: Kind) -> DataFrame:
+def _cells(entries: DataFrame, race: str, entry: str, fields: dict[str, Column], s: SimulationSettings, kind: Kind, streams: tuple[str, ...]) -> DataFrame:
     """race, entry, finish, field (size), n, out and poles: counts of places, of retirements and of first starts."""
     spark = entries.sparkSession
     ship_package(spark)
@@ -91,7 +145,7 @@ def _cells(entries: DataFrame, race: str, entry: str, fields: dict[str, Column],
     slot = F.when(n > 1, (normal_score(F.lit(1.0), n) - normal_score(n, n)) / (n - 1)).otherwise(0.0)
     places = F.transform(F.sequence(F.lit(1), F.size("e")), lambda k: normal_score(k.cast("double"), n))
     lists = [F.col(f"e.{f}").alias(f) for f in ("id", *fields)]
-    chunks = F.explode(F.sequence(F.lit(0), F.lit((s.n_sims - 1) // CHUNK))).alias("chunk")
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((s.n_sims - 1) // (CHUNK * TOGETHER)))).alias("chunk")
     per = per.select(race, slot.alias("slot"), places.alias("places"), *lists, chunks)
     per = per.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), race, "chunk")
 
@@ -99,17 +153,21 @@ def _cells(entries: DataFrame, race: str, entry: str, fields: dict[str, Column],
         for pdf in batches:
             for _, r in pdf.iterrows():
                 size = len(r["id"])
-                sims = range(int(r["chunk"]) * CHUNK, min(int(r["chunk"]) * CHUNK + CHUNK, s.n_sims))
-                score, retired, grid = kind(r, Draws(s.seed, r[race], sims, size))
-                order = np.argsort(-score, axis=1, kind="stable")
-                order = np.take_along_axis(order, np.argsort(np.take_along_axis(retired, order, 1), axis=1, kind="stable"), 1)
-                cell = order * size + np.arange(size)[None, :]
-                count = lambda w=None: np.bincount(cell.ravel(), w, size * size)
-                hits = count()
-                out = count(np.take_along_axis(retired, order, 1).ravel())
-                poles = count(np.take_along_axis(grid == 1, order, 1).ravel())
+                hits, out, poles = np.zeros((3, size * size))
+                first, end = int(r["chunk"]) * CHUNK * TOGETHER, min((int(r["chunk"]) + 1) * CHUNK * TOGETHER, s.n_sims)
+                for start in range(first, end, CHUNK):
+                    score, retired, grid = kind(r, Draws(s.seed, r[race], range(start, min(start + CHUNK, end)), size, streams))
+                    order = np.argsort(-score, axis=1, kind="stable")
+                    # Those who retire keep their order behind those who don't.
+                    gone = np.take_along_axis(retired, order, 1)
+                    behind = np.cumsum(gone, axis=1)
+                    place = np.where(gone, size - behind[:, -1:] + behind, np.arange(1, size + 1) - behind) - 1
+                    cell = (order * size + place).ravel()
+                    hits += np.bincount(cell, minlength=size * size)
+                    out += np.bincount(cell[gone.ravel()], minlength=size * size)
+                    poles += np.bincount(cell[np.take_along_axis(grid == 1, order, 1).ravel()], minlength=size * size)
                 at = np.flatnonzero(hits)
-                yield pd.DataFrame({race: [r[race]] * len(at), entry: np.asarray(r["id"])[at // size], "finish": at % size + 1, "field": size, "n": hits[at], "out": out[at].astype(np.int64), "poles": poles[at].astype(np.int64)})
+                yield pd.DataFrame({race: [r[race]] * len(at), entry: np.asarray(r["id"])[at // size], "finish": at % size + 1, "field": size, "n": hits[at].astype(np.int64), "out": out[at].astype(np.int64), "poles": poles[at].astype(np.int64)})
 
     kinds = [f"`{c}` {entries.schema[c].dataType.simpleString()}" for c in (race, entry)]
     cells = per.mapInPandas(run, ", ".join(kinds) + ", finish int, field int, n long, out long, poles long")
@@ -175,13 +233,15 @@ def simulate_race(entries: DataFrame, race: str, entry: str, strength: str, spre
             place = np.broadcast_to(e["fixed"].astype(np.int64), (len(draws.sims), len(r["id"])))
         else:
             lap = e["lap"] + np.sqrt(s.qualifying_noise**2 + e["sd2"]) * draws.normal("quali")
-            place = np.argsort(np.argsort(-lap, axis=1, kind="stable"), axis=1, kind="stable") + 1
+            place = np.empty(lap.shape, np.int64)
+            np.put_along_axis(place, np.argsort(-lap, axis=1, kind="stable"), np.arange(1, lap.shape[1] + 1)[None, :], 1)
         swing = r["slot"] * (s.start_swing * draws.normal("start") + s.strategy_swing * draws.normal("strategy"))
         pace = e["strength"] + np.sqrt(s.race_noise**2 + e["sd2"]) * draws.normal("race")
         score = e["g"] * (np.asarray(r["places"], float)[place - 1] + swing) + (1 - e["g"]) * pace
         return score, draws.uniform("fail1") < np.where(draws.wild(s.chaos_probability), e["chaos"], e["calm"]), place
 
-    return _counts(_cells(entries, race, entry, fields, s, kind), race, entry, s.n_sims, pole=not grid)
+    streams = ("chaos", "fail1", *(f"{p}{k}" for p in ("start", "strategy", "race", *(() if grid else ("quali",))) for k in (1, 2)))
+    return _counts(_cells(entries, race, entry, fields, s, kind, streams), race, entry, s.n_sims, pole=not grid)
 
 
 def simulate_plackett_luce(entries: DataFrame, race: str, entry: str, strength: str, failure: str, temperature: float = 1.0, settings: SimulationSettings = SimulationSettings(n_sims=10_000)) -> DataFrame:
@@ -196,7 +256,7 @@ def simulate_plackett_luce(entries: DataFrame, race: str, entry: str, strength:
         out = draws.uniform("fail1") < np.where(draws.wild(settings.chaos_probability), e["chaos"], e["calm"])
         return score, out, np.zeros(score.shape, np.int64)
 
-    return _counts(_cells(entries, race, entry, fields, settings, kind), race, entry, settings.n_sims, pole=False)
+    return _counts(_cells(entries, race, entry, fields, settings, kind, ("chaos", "fail1", "gumbel1")), race, entry, settings.n_sims, pole=False)
 
 
 def simulate_simple(entries: DataFrame, race: str, entry: str, pace: str, failure: str, spread: str, settings: SimulationSettings = SimulationSettings(n_sims=10_000, seed=42)) -> DataFrame:
@@ -212,7 +272,7 @@ def simulate_simple(entries: DataFrame, race: str, entry: str, pace: str, failur
         score = e["strength"] + e["sd"] * draws.normal("pace")
         return score, draws.uniform("fail1") < e["calm"], np.zeros(score.shape, np.int64)
 
-    return _counts(_cells(entries, race, entry, fields, settings, kind), race, entry, settings.n_sims, pole=False)
+    return _counts(_cells(entries, race, entry, fields, settings, kind, ("pace1", "pace2", "fail1")), race, entry, settings.n_sims, pole=False)
 
 
 def winner_logloss(simulated: DataFrame, winners: DataFrame, race: str, entry: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Inputs of the third review: zeros among best times, large sessions, flat losses, wide tables."""
 
 import datetime
+import hashlib
 import itertools
+import struct
 from collections import Counter
 
 import duckdb
@@ -10,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.operators import checks
+from gridspark.operators import checks, simulation
 from gridspark.plans import ORACLES, QUERIES
 from test_queries import plain
 
@@ -68,3 +70,14 @@ def test_contrasts_of_more_pairs_than_an_int_holds(spark):
     assert (row["n_entries"], row["n_pairs"]) == (n, n * (n - 1) // 2)
     near = sum(1 for d in range(-6, 7) for x in range(7) if 0 <= x + d < 7 and d * d / 2 <= checks.Z80**2)
     assert row["coverage_80"] == pytest.approx((near * (n // 7) ** 2 - n) / (n * (n - 1)))
+
+
+def test_streams_hashed_together():
+    heads, tails = ["7|a|12|", "x|", "r\u00e9|" * 3, "y" * 51], range(8, 1203, 7)
+    want = [[struct.unpack(">4I", hashlib.md5(f"{h}{t}".encode()).digest()) for t in tails] for h in heads]
+    assert simulation.hashed(heads, tails).tolist() == [[list(w) for w in row] for row in want]
+    assert simulation.hashed(heads + ["z" * 80], tails)[:4].tolist() == [[list(w) for w in row] for row in want]
+    draws = simulation.Draws(5, 3, range(900, 1100), 23, ("a",))
+    k, c = simulation.hashed(["5|a|3|"], range(900, 1100))[0] % simulation.PRIME, np.arange(1, 24)
+    h = [[(((int(x[0]) * int(i) + int(x[1])) % simulation.PRIME * int(i) + int(x[2])) % simulation.PRIME * int(i) + int(x[3])) % simulation.PRIME for i in c] for x in k]
+    assert (draws.uniform("a") == (np.array(h) + 0.5) / float(simulation.PRIME)).all()
