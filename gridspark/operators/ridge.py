@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -47,23 +47,28 @@ class Ridge:
         return found.select("b", "i", (-F.lit(self.variance) * F.col("v") / F.col("diagonal")).alias("covariance"))
 
 
+def _arrays(structs: str, *fields: str, prefix: str = "") -> list[Column]:
+    """The fields of an array of structs as arrays of numbers: workers get those as NumPy arrays, structs as Python objects
+    of many times their size."""
+    return [F.col(f"{structs}.{f}").alias(prefix + f) for f in fields]
+
+
 def _packed(entries: DataFrame) -> DataFrame:
     """(bi, bj, m): the dense blocks, as bytes of doubles, of entries (i, j, v)."""
 
     def work(batches):
         for pdf in batches:
             out = []
-            for entries_ in pdf["e"]:
+            for i, j, v in zip(pdf["i"], pdf["j"], pdf["v"]):
                 m = np.zeros((BLOCK, BLOCK))
-                for e in entries_:
-                    m[e["i"], e["j"]] += e["v"]
+                np.add.at(m, (i, j), v)
                 out.append(m.tobytes())
             yield pd.DataFrame({"bi": pdf["bi"], "bj": pdf["bj"], "m": out})
 
     at = lambda c: (F.col(c) % BLOCK).cast("int").alias(c)
     # A block has BLOCK squared entries at most.
     held = entries.groupBy(F.floor(F.col("i") / BLOCK).alias("bi"), F.floor(F.col("j") / BLOCK).alias("bj")).agg(F.collect_list(F.struct(at("i"), at("j"), "v")).alias("e"))
-    return held.mapInPandas(work, "bi long, bj long, m binary")
+    return held.select("bi", "bj", *_arrays("e", "i", "j", "v")).mapInPandas(work, "bi long, bj long, m binary")
 
 
 def _outer(cells: DataFrame) -> DataFrame:
@@ -72,9 +77,7 @@ def _outer(cells: DataFrame) -> DataFrame:
     def work(batches):
         for pdf in batches:
             total: dict[int, float] = {}
-            for row, d in zip(pdf["row"], pdf["diagonal"]):
-                i = np.array([e["i"] for e in row], np.int64)
-                w = np.array([e["w"] for e in row])
+            for i, w, d in zip(pdf["i"], pdf["w"], pdf["diagonal"]):
                 order = np.argsort(i)
                 i, w = i[order], w[order]
                 x, y = np.triu_indices(len(i))
@@ -84,7 +87,7 @@ def _outer(cells: DataFrame) -> DataFrame:
             yield pd.DataFrame({"i": keys >> 32, "j": keys & 0xFFFFFFFF, "v": np.fromiter(total.values(), float, len(total))})
 
     rows = cells.groupBy("b").agg(F.collect_list(F.struct("i", "w")).alias("row"), F.first("diagonal").alias("diagonal"))
-    return rows.mapInPandas(work, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return rows.select(*_arrays("row", "i", "w"), "diagonal").mapInPandas(work, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def inverse(blocks: DataFrame, n_blocks: int) -> DataFrame:
@@ -129,20 +132,18 @@ def inverse(blocks: DataFrame, n_blocks: int) -> DataFrame:
 def _products(cells: DataFrame, blocks: DataFrame, wanted: DataFrame) -> DataFrame:
     def work(batches):
         for pdf in batches:
-            for m, mine, ask in zip(pdf["m"], pdf["mine"], pdf["ask"]):
-                b, i, w = (np.array([e[c] for e in mine]) for c in ("b", "i", "w"))
+            for m, b, i, w, q, j in zip(*(pdf[c] for c in ("m", "b", "i", "w", "ask_b", "ask_i"))):
                 ids, at = np.unique(b, return_inverse=True)
                 x = np.zeros((len(ids), BLOCK))
                 x[at, i.astype(int)] = w
                 z = x @ np.frombuffer(m).reshape(BLOCK, BLOCK)
-                q, j = (np.array([e[c] for e in ask]) for c in ("b", "i"))
                 place = np.minimum(np.searchsorted(ids, q), len(ids) - 1)
                 yield pd.DataFrame({"b": q, "i": j, "v": np.where(ids[place] == q, z[place, (j % BLOCK).astype(int)], 0.0)})
 
     slice_ = F.floor(F.col("b") / SLICE).alias("slice")
     mine = cells.groupBy(slice_, F.floor(F.col("i") / BLOCK).alias("bi")).agg(F.collect_list(F.struct("b", (F.col("i") % BLOCK).alias("i"), "w")).alias("mine"))
     ask = wanted.groupBy(slice_, F.floor(F.col("i") / BLOCK).alias("bj")).agg(F.collect_list(F.struct("b", "i")).alias("ask"))
-    rows = mine.join(ask, "slice").join(blocks, ["bi", "bj"]).select("bj", "m", "mine", "ask")
+    rows = mine.join(ask, "slice").join(blocks, ["bi", "bj"]).select("m", *_arrays("mine", "b", "i", "w"), *_arrays("ask", "b", "i", prefix="ask_"))
     return rows.mapInPandas(work, "b long, i long, v double").groupBy("b", "i").agg(F.sum("v").alias("v"))
 
 
