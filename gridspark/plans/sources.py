@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -17,24 +16,37 @@ re AS (SELECT CAST(season AS VARCHAR) || '_' || lpad(CAST(round AS VARCHAR), 2,
 """
 
 
+#: Lines that one task orders and puts into responses.
+LINES = 1_000_000
+
+
 def _landed(spark, sf_dir):
     """body, fetched_at, query: JSON of every order."""
     o = table(spark, sf_dir, "orders")
     text = lambda c: c.cast("string")
-    whole = lambda name: F.col(name).cast("long").cast("string")
     li = table(spark, sf_dir, "lineitem")
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))
-    li = li.withColumn("pos", place).join(o.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
-    driver = F.struct(F.concat(F.lit("p"), text(F.col("l_partkey"))).alias("driverId"), F.lit("C").alias("code"), F.lit("G").alias("givenName"), text(F.col("l_suppkey")).alias("familyName"))
-    team = F.struct(F.concat(F.lit("s"), text(F.col("l_suppkey"))).alias("constructorId"), F.lit("N").alias("name"))
-    out = F.when(F.col("l_returnflag") == "R", "R").when(F.col("l_returnflag") == "A", "W").otherwise(text(F.col("pos")))
-    status = F.when(F.col("l_returnflag") == "R", F.when(F.col("l_linestatus") == "F", "Collision damage").otherwise("Engine")).when(F.col("l_returnflag") == "A", "Withdrew").otherwise("Finished")
-    lap = F.concat(F.lit("1:"), F.lpad(whole("l_quantity"), 2, "0"), F.lit(".5"))
-    result = F.struct(
-        text(F.col("pos")).alias("position"), out.alias("positionText"), whole("l_linenumber").alias("grid"), whole("l_quantity").alias("laps"), F.lit("1.5").alias("points"), status.alias("status"), driver.alias("Driver"), team.alias("Constructor"),
-        F.struct(F.when(F.col("l_tax") < 0.05, F.col("l_partkey").cast("string")).alias("millis")).alias("Time"), F.struct(F.lit("1").alias("rank"), F.struct(lap.alias("time")).alias("Time")).alias("FastestLap"))
-    timed = F.struct(text(F.col("pos")).alias("position"), lap.alias("Q1"), F.when(F.col("l_linenumber") > 2, F.lit("bad")).alias("Q2"), F.when(F.col("l_tax") < 0.03, F.concat(F.lit("1:0"), (F.col("l_quantity") % 10).cast("long").cast("string"))).alias("Q3"), driver.alias("Driver"), team.alias("Constructor"))
-    per = li.groupBy("l_orderkey").agg(F.collect_list(result).alias("Results"), F.collect_list(timed).alias("QualifyingResults"))
+    # Both sides are dealt by order once, to as many tasks as the lines need.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-li.count() // LINES))
+    held = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax", "l_returnflag", "l_linestatus")]
+    per = li.select("l_orderkey", *held).repartition(parts, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*held))).alias("x"))
+    o = o.repartition(parts, "o_orderkey")
+
+    def both(e, i):
+        """A line's entries among results and qualifying results, by its place in its order."""
+        line, pos = e.getField, i + 1
+        whole = lambda name: line(name).cast("long").cast("string")
+        driver = F.struct(F.concat(F.lit("p"), text(line("l_partkey"))).alias("driverId"), F.lit("C").alias("code"), F.lit("G").alias("givenName"), text(line("l_suppkey")).alias("familyName"))
+        team = F.struct(F.concat(F.lit("s"), text(line("l_suppkey"))).alias("constructorId"), F.lit("N").alias("name"))
+        out = F.when(line("l_returnflag") == "R", "R").when(line("l_returnflag") == "A", "W").otherwise(text(pos))
+        status = F.when(line("l_returnflag") == "R", F.when(line("l_linestatus") == "F", "Collision damage").otherwise("Engine")).when(line("l_returnflag") == "A", "Withdrew").otherwise("Finished")
+        lap = F.concat(F.lit("1:"), F.lpad(whole("l_quantity"), 2, "0"), F.lit(".5"))
+        result = F.struct(
+            text(pos).alias("position"), out.alias("positionText"), whole("l_linenumber").alias("grid"), whole("l_quantity").alias("laps"), F.lit("1.5").alias("points"), status.alias("status"), driver.alias("Driver"), team.alias("Constructor"),
+            F.struct(F.when(line("l_tax") < 0.05, line("l_partkey").cast("string")).alias("millis")).alias("Time"), F.struct(F.lit("1").alias("rank"), F.struct(lap.alias("time")).alias("Time")).alias("FastestLap"))
+        timed = F.struct(text(pos).alias("position"), lap.alias("Q1"), F.when(line("l_linenumber") > 2, F.lit("bad")).alias("Q2"), F.when(line("l_tax") < 0.03, F.concat(F.lit("1:0"), (line("l_quantity") % 10).cast("long").cast("string"))).alias("Q3"), driver.alias("Driver"), team.alias("Constructor"))
+        return F.struct(result.alias("result"), timed.alias("timed"))
+
+    per = per.withColumn("y", F.transform("x", both)).select("l_orderkey", F.col("y.result").alias("Results"), F.col("y.timed").alias("QualifyingResults"))
     where = F.struct(F.lit("l").alias("locality"), F.lit("k").alias("country"), text(F.col("o_custkey")).alias("lat"), F.lit("x").alias("long"))
     circuit = F.struct(F.concat(F.lit("c"), text(F.col("o_custkey") % 24)).alias("circuitId"), F.lit("C").alias("circuitName"), where.alias("Location"))
     race = F.struct(
@@ -49,13 +61,9 @@ WITH {_ORDERS} SELECT DISTINCT race_id, season, round, 'c' || CAST(o_custkey % 2
   CASE WHEN season BETWEEN 2014 AND 2016 THEN 'R2014' WHEN season BETWEEN 2017 AND 2021 THEN 'R2017' WHEN season BETWEEN 2022 AND 2025 THEN 'R2022' WHEN season >= 2026 THEN 'R2026' ELSE 'UNKNOWN' END AS regime, o_orderkey FROM re
 """)
 def flattened_schedule(spark, sf_dir):
-    landed = _landed(spark, sf_dir)
-    out = responses.flatten_schedule(landed.withColumn("fetched_at", F.col("query")))
-    key = responses.parsed(landed.withColumn("fetched_at", F.col("query"))).select(F.explode("races").alias("r"), F.col("fetched_at").cast("long").alias("o_orderkey"))
+    out = responses.flatten_schedule(_landed(spark, sf_dir), keep=("query",)).withColumn("o_orderkey", F.col("query").cast("long"))
     start = out.withColumn("race_start_utc", F.col("race_start_utc").cast("timestamp_ntz"))
-    joined = start.join(key.select("o_orderkey", F.col("r.season").cast("int").alias("__s"), F.col("r.round").cast("int").alias("__r"), F.col("r.date").alias("__d"), F.col("r.Circuit.Location.lat").cast("double").alias("__lat")),
-                        (F.col("season") == F.col("__s")) & (F.col("round") == F.col("__r")) & (F.col("date") == F.col("__d")) & (F.col("lat") == F.col("__lat")))
-    return joined.select("race_id", *longs("season", "round"), "circuit_id", "lat", "race_start_utc", "regime", "o_orderkey").distinct()
+    return start.select("race_id", *longs("season", "round"), "circuit_id", "lat", "race_start_utc", "regime", "o_orderkey").distinct()
 
 
 @query(f"""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clock_seconds, regime, status_class
+from ..staging import staged
 
 _DRIVER = "Driver:struct<driverId:string,code:string,givenName:string,familyName:string,dateOfBirth:string>"
 _TEAM = "struct<constructorId:string,name:string>"
@@ -20,11 +21,11 @@ STANDINGS = f"array<struct<season:string,round:string,DriverStandings:array<stru
 _PAGE = "MRData struct<`limit`:string,`offset`:string,total:string,RaceTable:struct<Races:%s>,StandingsTable:struct<StandingsLists:%s>>" % (RACES, STANDINGS)
 
 
-def parsed(landed: DataFrame, body: str = "body", fetched: str = "fetched_at") -> DataFrame:
-    """fetched_at, limit, offset, total, races, lists of each response; broken JSON gives NULLs."""
+def parsed(landed: DataFrame, body: str = "body", fetched: str = "fetched_at", keep: tuple[str, ...] = ()) -> DataFrame:
+    """fetched_at, limit, offset, total, races, lists of each response and columns to keep; broken JSON gives NULLs."""
     page = F.from_json(F.col(body), _PAGE)["MRData"]
     number = lambda c: page[c].try_cast("long").alias(c)
-    return landed.select(F.col(fetched).alias("fetched_at"), number("limit"), number("offset"), number("total"), page["RaceTable"]["Races"].alias("races"), page["StandingsTable"]["StandingsLists"].alias("lists"))
+    return landed.select(F.col(fetched).alias("fetched_at"), number("limit"), number("offset"), number("total"), page["RaceTable"]["Races"].alias("races"), page["StandingsTable"]["StandingsLists"].alias("lists"), *keep)
 
 
 def missing_pages(landed: DataFrame, query: str, body: str = "body", fetched: str = "fetched_at") -> DataFrame:
@@ -42,22 +43,22 @@ def race_id(season: Column, round_: Column) -> Column:
     return F.concat(season.cast("int").cast("string"), F.lit("_"), F.when(F.length(n) < 2, F.lpad(n, 2, "0")).otherwise(n))
 
 
-def _races(landed: DataFrame, body: str, fetched: str) -> DataFrame:
-    rows = parsed(landed, body, fetched).select("fetched_at", F.explode("races").alias("r"))
+def _races(landed: DataFrame, body: str, fetched: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    rows = parsed(landed, body, fetched, keep).select("fetched_at", *keep, F.explode("races").alias("r"))
     season, round_ = F.col("r.season").try_cast("int"), F.col("r.round").try_cast("int")
-    return rows.select("fetched_at", "r", season.alias("season"), round_.alias("round"), race_id(season, round_).alias("race_id"))
+    return rows.select("fetched_at", *keep, "r", season.alias("season"), round_.alias("round"), race_id(season, round_).alias("race_id"))
 
 
 def _number(column: str, name: str, kind: str = "double") -> Column:
     return F.col(column).try_cast(kind).alias(name)
 
 
-def flatten_schedule(landed: DataFrame, body: str = "body", fetched: str = "fetched_at") -> DataFrame:
-    """The calendar, with the start in UTC (noon where no time is given) and the regime."""
+def flatten_schedule(landed: DataFrame, body: str = "body", fetched: str = "fetched_at", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The calendar, with the start in UTC (noon where no time is given), the regime, and columns of responses to keep."""
     start = F.concat_ws(" ", F.col("r.date"), F.replace(F.coalesce("r.time", F.lit("12:00:00Z")), F.lit("Z"), F.lit("")))
     place = "r.Circuit.Location"
-    return _races(landed, body, fetched).select(
-        "race_id", "season", "round", F.col("r.raceName").alias("race_name"), F.col("r.Circuit.circuitId").alias("circuit_id"), F.col("r.Circuit.circuitName").alias("circuit_name"),
+    return _races(landed, body, fetched, keep).select(
+        *keep, "race_id", "season", "round", F.col("r.raceName").alias("race_name"), F.col("r.Circuit.circuitId").alias("circuit_id"), F.col("r.Circuit.circuitName").alias("circuit_name"),
         F.col(f"{place}.locality").alias("locality"), F.col(f"{place}.country").alias("country"), _number(f"{place}.lat", "lat"), _number(f"{place}.long", "lon"),
         F.col("r.date").alias("date"), F.col("r.time").alias("time"), F.try_to_timestamp(start).alias("race_start_utc"), regime(F.col("season")).alias("regime"))
 
@@ -69,11 +70,21 @@ def with_outcome(df: DataFrame) -> DataFrame:
     out = out.withColumns({"classified": flag(F.col("position_text").rlike("^[0-9]+$")), "started": flag(F.col("status_class") != "non_starter"), "regime": regime(F.col("season"))})
     out = out.withColumn("dnf", flag((F.col("started") == 1) & (F.col("classified") == 0)))
     upto = lambda k: flag((F.col("position_order") <= k) & (F.col("classified") == 1))
-    return out.withColumns({
+    out = out.withColumns({
         "dnf_mechanical": flag((F.col("dnf") == 1) & (F.col("status_class") == "mechanical")), "dnf_incident": flag((F.col("dnf") == 1) & (F.col("status_class") == "incident")),
         "winner": flag((F.col("position_order") == 1) & (F.col("classified") == 1)), "podium": upto(3), "top10": upto(10),
-        "field_size": F.sum("started").over(Window.partitionBy("race_id")).cast("int"),
     })
+    return _with_race(out, field_size=F.sum("started").cast("int"))
+
+
+def _with_race(rows: DataFrame, **values: Column) -> DataFrame:
+    """rows with aggregates of their race, NULL being one; rows are written down, so that no task holds a race's rows.
+
+    One row a race is joined: a broadcast if its files are small, as Spark sees by their size, else a shuffle.
+    """
+    rows = staged(rows, "responses", keep=True)
+    per = staged(rows.groupBy(F.col("race_id").alias("__race")).agg(*[v.alias(k) for k, v in values.items()]), "races", keep=True)
+    return rows.join(per, F.col("race_id").eqNullSafe(F.col("__race"))).drop("__race")
 
 
 def flatten_results(landed: DataFrame, body: str = "body", fetched: str = "fetched_at") -> DataFrame:
@@ -95,8 +106,8 @@ def flatten_qualifying(landed: DataFrame, body: str = "body", fetched: str = "fe
         "race_id", "season", "round", F.col("x.Driver.driverId").alias("driver_id"), F.col("x.Constructor.constructorId").alias("constructor_id"), _number("x.position", "qual_position"),
         F.col("fetched_at").alias("observed_at"), *[clock_seconds(F.col(f"x.Q{k}")).alias(f"q{k}_s") for k in (1, 2, 3)])
     rows = rows.withColumn("qual_best_s", F.least("q1_s", "q2_s", "q3_s"))
-    best = F.min("qual_best_s").over(Window.partitionBy("race_id"))
-    return rows.withColumn("qual_gap_pct", 100.0 * (F.col("qual_best_s") - best) / best)
+    rows, best = _with_race(rows, __best=F.min("qual_best_s")), F.col("__best")
+    return rows.withColumn("qual_gap_pct", 100.0 * (F.col("qual_best_s") - best) / best).drop("__best")
 
 
 def flatten_standings(landed: DataFrame, body: str = "body", fetched: str = "fetched_at") -> DataFrame:

@@ -12,8 +12,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.operators import checks, simulation
+from gridspark.operators import checks, ridge, simulation
 from gridspark.plans import ORACLES, QUERIES
+from gridspark.sources import responses
 from test_queries import plain
 
 
@@ -81,3 +82,29 @@ def test_streams_hashed_together():
     k, c = simulation.hashed(["5|a|3|"], range(900, 1100))[0] % simulation.PRIME, np.arange(1, 24)
     h = [[(((int(x[0]) * int(i) + int(x[1])) % simulation.PRIME * int(i) + int(x[2])) % simulation.PRIME * int(i) + int(x[3])) % simulation.PRIME for i in c] for x in k]
     assert (draws.uniform("a") == (np.array(h) + 0.5) / float(simulation.PRIME)).all()
+
+
+def test_workers_of_the_ridge_get_arrays(spark, monkeypatch):
+    """A slice of levels reaches Python as arrays of numbers, whose size is that of the numbers."""
+    seen, real = [], ridge._arrays
+    monkeypatch.setattr(ridge, "_arrays", lambda *a, **k: seen.append(a[1:]) or real(*a, **k))
+    rows = [(t, d, 1.0 + (t * d) % 3, float(t + d), float((t + d) ** 2)) for t in range(4) for d in range(9)]
+    cells = spark.createDataFrame(rows, "t long, d long, w double, wy double, wyy double")
+    fit = ridge.solve(cells, "t", "d", 1.0)
+    assert {("i", "j", "v"), ("i", "w"), ("b", "i", "w"), ("b", "i")} <= set(seen)
+    x = np.zeros((36, 14))
+    x[:, 0], w, y = 1, np.array([r[2] for r in rows]), np.array([r[3] / r[2] for r in rows])
+    for k, r in enumerate(rows):
+        x[k, 1 + r[0]] = x[k, 5 + r[1]] = 1
+    beta = np.linalg.solve(x.T @ (w[:, None] * x) + np.diag([0.0] + [1.0] * 13), x.T @ (w * y))
+    got = {r["level"]: r["effect"] for r in fit.small.collect()}
+    assert [got[t] for t in range(4)] == pytest.approx(beta[1:5].tolist())
+
+
+def test_schedule_keeps_columns_and_races_need_no_window(spark):
+    body = '{"MRData": {"RaceTable": {"Races": [{"season": "2024", "round": "3", "date": "2024-05-01", "Circuit": {"circuitId": "c"}, "QualifyingResults": [{"position": "1", "Q1": "1:10.0"}, {"position": "2", "Q1": "1:17.0"}]}]}}}'
+    landed = spark.createDataFrame([(body, "t", "a"), (body, "t", "b")], "body string, fetched_at string, query string")
+    assert sorted((r["query"], r["race_id"]) for r in responses.flatten_schedule(landed, keep=("query",)).collect()) == [("a", "2024_03"), ("b", "2024_03")]
+    out = responses.flatten_qualifying(landed)
+    assert sorted(r["qual_gap_pct"] for r in out.collect()) == [0.0, 0.0, 10.0, 10.0]
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
