@@ -15,9 +15,11 @@ _HISTORY = f"""
 gr AS (SELECT unnest([{", ".join(map(repr, C.GRID))}])::DOUBLE AS t)
 """
 _WON = "lo AS (SELECT i, t, ln(sum(exp((score - mx) / t))) - max(CASE WHEN pos = 1 THEN (score - mx) / t END) AS l FROM (SELECT *, max(score) OVER (PARTITION BY i) AS mx FROM hi), gr GROUP BY ALL)"
+# A day whose order ranks nobody has no loss, and is asked for a temperature like any other.
 _ORDER = """
 fi AS (SELECT i, pos, score - max(score) OVER (PARTITION BY i) AS z, max(pos) OVER (PARTITION BY i) AS last FROM hi WHERE cl = 1),
-su AS (SELECT i, t, pos, last, ln(sum(exp(z / t)) OVER (PARTITION BY i, t ORDER BY pos DESC)) - z / t AS l FROM fi, gr), lo AS (SELECT i, t, avg(l) AS l FROM su WHERE pos < last GROUP BY ALL)
+su AS (SELECT i, t, pos, last, ln(sum(exp(z / t)) OVER (PARTITION BY i, t ORDER BY pos DESC)) - z / t AS l FROM fi, gr), ra AS (SELECT i, t, avg(l) AS l FROM su WHERE pos < last GROUP BY ALL),
+lo AS (SELECT e.i, gr.t, ra.l FROM (SELECT DISTINCT i FROM hi) e CROSS JOIN gr LEFT JOIN ra ON ra.i = e.i AND ra.t = gr.t)
 """
 _FIT = """
 pr AS (SELECT i, t, sum(l) OVER w AS l, count(l) OVER w AS n FROM lo WINDOW w AS (PARTITION BY t ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

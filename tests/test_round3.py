@@ -108,3 +108,14 @@ def test_schedule_keeps_columns_and_races_need_no_window(spark):
     out = responses.flatten_qualifying(landed)
     assert sorted(r["qual_gap_pct"] for r in out.collect()) == [0.0, 0.0, 10.0, 10.0]
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_days_without_a_ranked_order_are_asked_for_a_temperature(spark, tmp_path):
+    """Of four users a day, all are unclassified on day 5, and all but one on day 12: those days have no loss, but a row."""
+    users, days = [], []
+    for day, user in itertools.product(range(14), range(1, 5)):
+        n = 7 if day == 5 or (day == 12 and user != 2) else (user + day) % 5 + 1
+        users, days = users + [user] * n, days + [day] * n
+    got = equals_sql(spark, tmp_path, "asof_ranking_calibration", events=events([(7 * k * k + 3 * u) % 101 for k, u in enumerate(users)], users, days))
+    races = {i: n for i, n, _ in got}
+    assert len(got) == 14 and (races[5], races[6], races[12], races[13]) == (5, 5, 11, 11)
