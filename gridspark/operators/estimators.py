@@ -73,8 +73,7 @@ def difficulty(per_event: DataFrame, venue: str, least: int = 3) -> DataFrame:
     Medians and ranks are exact and of any size: no venue's events and not all venues meet in one task.  Venues with fewer than `least` such events have no difficulty, unless no venue has as many: then all have one.
     """
     valid = per_event.where(F.col(venue).isNotNull() & F.col("rho").isNotNull())
-    counts = valid.groupBy(venue).agg(F.count("*").alias("n_events"))
-    per = staged(quantiles(valid, [venue], {"rho": ("rho", 0.5), "mean_change": ("mean_change", 0.5)}).join(counts, venue), "venue-medians")
+    per = staged(quantiles(valid, [venue], {"rho": ("rho", 0.5), "mean_change": ("mean_change", 0.5)}, "n_events"), "venue-medians")
     enough = per.agg((F.coalesce(F.max("n_events"), F.lit(0)) >= least).alias("__any"))
     per = per.join(F.broadcast(enough)).withColumn("__ok", (F.col("n_events") >= least) | ~F.col("__any"))
     for c in ("rho", "mean_change"):

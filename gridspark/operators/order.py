@@ -73,37 +73,44 @@ def percent_ranks(df: DataFrame, value: str, name: str, where: Column | None = N
     return found if where is None else found.withColumn(name, F.when(where, F.col(name)))
 
 
-def quantiles(df: DataFrame, group: list[str], values: dict[str, tuple[str, float]]) -> DataFrame:
-    """group and, for each name, the exact quantile (linear between neighbours) of a column, as F.percentile gives it.
-
-    Equal values of a group are counted, the distinct ones ordered by ranges over the whole table, so a group with a third
-    of all rows, or one value with them, is spread like any other; of each group only the two values at the wanted
-    place are picked.  NULL is left out; a group without values has NULL, and rows of a NULL group are a group.
+def quantiles(df: DataFrame, group: list[str], values: dict[str, tuple[str, float]], count: str | None = None) -> DataFrame:
+    """group and, for each name, the exact quantile (linear between neighbours) of a column, as F.percentile gives it;
+    count names a column for the number of a group's rows.
+
+    df is read once, all its columns together.  Equal values of a group are counted, the distinct ones dealt to ranges
+    over the whole table, so a group with a third of all rows, or one value with them, is spread like any other; of each
+    group only the ranges that hold a wanted place are looked into.  NULL is left out; a group without values has NULL,
+    and rows of a NULL group are a group.
     """
-    out = df.select(*group).distinct()
-    by_column: dict[str, list[tuple[str, float]]] = {}
-    for name, (column, q) in values.items():
-        by_column.setdefault(column, []).append((name, q))
-    for column, wanted in by_column.items():
-        cells = df.where(F.col(column).isNotNull()).groupBy(*group, F.col(column).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
-        placed = staged(running_totals(cells, [*group, "__v"], {"__less": F.col("__n")}), "placed")
-        ends = placed.groupBy(*group).agg(F.min("__less").alias("__first"), F.sum("__n").alias("__all"))
-        both = placed.alias("p").join(ends.alias("e"), _same(group, "p", "e")).select(*[F.col(f"p.{g}").alias(g) for g in group], "__v", (F.col("__less") - F.col("__first")).alias("__lo"), "__n", "__all")
-        picked = []
-        for k, (name, q) in enumerate(wanted):
-            at = (F.col("__all") - 1) * F.lit(float(q))
-            holds = lambda i: (F.col("__lo") <= i) & (i < F.col("__lo") + F.col("__n"))
-            low, high = F.floor(at), F.ceil(at)
-            picked += [F.max(F.when(holds(low), F.col("__v"))).alias(f"__l{k}"), F.max(F.when(holds(high), F.col("__v"))).alias(f"__h{k}")]
-        found = both.groupBy(*group).agg(F.max("__all").alias("__all"), *picked)
-        made = []
-        for k, (name, q) in enumerate(wanted):
-            at = (F.col("__all") - 1) * F.lit(float(q))
-            up = at - F.floor(at)
-            made.append(F.when(F.col(f"__l{k}") == F.col(f"__h{k}"), F.col(f"__l{k}")).otherwise((F.lit(1.0) - up) * F.col(f"__l{k}") + up * F.col(f"__h{k}")).alias(name))
-        found = found.select(*group, *made)
-        out = out.alias("p").join(found.alias("e"), _same(group, "p", "e"), "left").select("p.*", *[F.col(f"e.{n}") for n, _ in wanted])
-    return out
+    columns = list(dict.fromkeys(c for c, _ in values.values()))
+    long = df.select(*group, F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("__k", "__v"))
+    cells = long.groupBy(*group, "__k", "__v").agg(F.count("*").alias("__rows"), F.count("__v").alias("__n"))
+    dealt = _ranges(cells, [F.col(c).asc_nulls_first() for c in (*group, "__k", "__v")], "quantiles")
+    parts = dealt.groupBy(*group, "__k", "__part").agg(F.sum("__rows").alias("__rows"), F.sum("__n").alias("__n"))
+    whole = Window.partitionBy(*group, "__k")
+    before = F.coalesce(F.sum("__n").over(whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("*", before.alias("__before"), F.sum("__n").over(whole).alias("__all"))
+    at = {name: (F.col("__all") - 1) * F.lit(float(q)) for name, (_, q) in values.items()}
+    ends = {name: (F.floor(x), F.ceil(x)) for name, x in at.items()}
+    of = lambda name: F.col("__k") == columns.index(values[name][0])
+    holds = lambda i: (F.col("__before") <= i) & (i < F.col("__before") + F.col("__n"))
+    looked = F.lit(False)
+    for name, e in ends.items():
+        looked = looked | (of(name) & (holds(e[0]) | holds(e[1])))
+    keys = [*group, "__k", "__part"]
+    inside = dealt.select(*keys, "__v", "__n").where("__n > 0").alias("d").join(parts.where(looked).select(*keys, "__before", "__all").alias("p"), _same(keys, "d", "p"))
+    less = F.coalesce(F.sum("d.__n").over(Window.partitionBy(*[f"d.{c}" for c in keys]).orderBy("d.__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = inside.select(*[f"d.{c}" for c in (*group, "__k", "__v", "__n")], "p.__all", (F.col("p.__before") + less).alias("__before"))
+    picked, made = [], []
+    for j, (name, e) in enumerate(ends.items()):
+        picked += [F.max(F.when(of(name) & holds(i), F.col("__v"))).alias(f"__{x}{j}") for x, i in zip("lh", e)]
+        up = F.max(F.when(of(name), at[name] - e[0]))
+        picked.append(up.alias(f"__u{j}"))
+        low, high, up = (F.col(f"__{x}{j}") for x in "lhu")
+        made.append(F.when(low == high, low).otherwise((F.lit(1.0) - up) * low + up * high).alias(name))
+    found = inside.groupBy(*group).agg(*picked).select(*group, *made)
+    every = parts.where("__k = 0").groupBy(*group).agg(F.sum("__rows").alias(count or "__rows"))
+    return every.alias("p").join(found.alias("e"), _same(group, "p", "e"), "left").select(*[f"p.{g}" for g in group], *[f"e.{n}" for n in values], *([f"p.{count}"] if count else []))
 
 
 def _same(group: list[str], a: str, b: str) -> Column:

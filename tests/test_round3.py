@@ -12,8 +12,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.operators import checks, ridge, simulation
-from gridspark.plans import ORACLES, QUERIES
+from conftest import DATA
+from gridspark.operators import checks, order, ridge, simulation
+from gridspark.plans import ORACLES, QUERIES, catalog, models
 from gridspark.sources import responses
 from test_queries import plain
 
@@ -119,3 +120,42 @@ def test_days_without_a_ranked_order_are_asked_for_a_temperature(spark, tmp_path
     got = equals_sql(spark, tmp_path, "asof_ranking_calibration", events=events([(7 * k * k + 3 * u) % 101 for k, u in enumerate(users)], users, days))
     races = {i: n for i, n, _ in got}
     assert len(got) == 14 and (races[5], races[6], races[12], races[13]) == (5, 5, 11, 11)
+
+
+@pytest.mark.parametrize("name", ["difficulty_index"])
+def test_venue_queries_read_their_lines_as_often_as_they_name_them(spark, monkeypatch, name):
+    """Medians of a venue read their rows once: the fact table isn't read anew for each column, count and set of groups."""
+    scans, real = [], catalog.table
+    counted = spark.sparkContext.accumulator(0)
+
+    def table(spark, sf_dir, t):
+        df = real(spark, sf_dir, t)
+        if t != "lineitem":
+            return df
+        scans.append(df.count())
+
+        def seen(batches):
+            for b in batches:
+                counted.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(seen, df.schema)
+
+    for m in (catalog, models):
+        monkeypatch.setattr(m, "table", table)
+    assert QUERIES[name](spark, f"{DATA}/sf0.001").collect() is not None
+    assert counted.value <= sum(scans)
+
+
+def test_quantiles_count_the_rows_of_a_group_over_several_ranges(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        made = [(g, float(k * 37 % 500) if k % 5 else None, -float(k % 11)) for g, n in (("a", 900), ("b", 3), (None, 40)) for k in range(n)] + [("none", None, None)] * 2
+        df = spark.createDataFrame(made, "g string, x double, y double")
+        got = {r["g"]: tuple(r)[1:] for r in order.quantiles(df, ["g"], {"x5": ("x", 0.5), "y3": ("y", 0.3), "x9": ("x", 0.9)}, "rows").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for g in {m[0] for m in made}:
+        x, y = ([m[i] for m in made if m[0] == g and m[i] is not None] for i in (1, 2))
+        want = (*(float(np.quantile(v, q)) if v else None for v, q in ((x, 0.5), (y, 0.3), (x, 0.9))), sum(m[0] == g for m in made))
+        assert got[g] == pytest.approx(want, abs=1e-9) if x else got[g] == want
