@@ -19,14 +19,18 @@ def speed_profile(results: DataFrame, qualifying: DataFrame, venue: str, race: s
     """venue, lap_length_m, pole_time_s, avg_lap_speed_kmh, field_spread_pct: medians over races since a season.
 
     The lap's length is the regulated distance over the winner's laps; the pole time is a race's best qualifying time.
+    What is read more than once is written down first: of one table given as both, its rows are made once.
     """
+    one = results is qualifying
+    qualifying = qualifying.where((F.col("season") >= since) & F.col(venue).isNotNull())
+    qualifying = staged(qualifying.select(venue, race, "season", "qual_best_s", "qual_gap_pct", *(["winner", "laps"] if one else [])), "venue-qualifying")
+    results = qualifying if one else results
     own = F.create_map(*[F.lit(x) for pair in shorter.items() for x in pair])[F.col(venue)] if shorter else F.lit(None).cast("double")
     won = results.where((F.col("season") >= since) & (F.col("winner") == 1) & F.col(venue).isNotNull())
     won = won.select(venue, (F.coalesce(own, F.lit(DISTANCE)) / F.greatest(F.col("laps"), F.lit(1.0))).alias("__l"))
     length = quantiles(won, [venue], {"lap_length_m": ("__l", 0.5)})
-    q = qualifying.where((F.col("season") >= since) & F.col(venue).isNotNull())
-    pole = quantiles(q.groupBy(venue, race).agg(F.min("qual_best_s").alias("__p")), [venue], {"pole_time_s": ("__p", 0.5)})
-    spread = quantiles(q, [venue], {"field_spread_pct": ("qual_gap_pct", 0.5)})
+    pole = quantiles(qualifying.groupBy(venue, race).agg(F.min("qual_best_s").alias("__p")), [venue], {"pole_time_s": ("__p", 0.5)})
+    spread = quantiles(qualifying, [venue], {"field_spread_pct": ("qual_gap_pct", 0.5)})
     out = length.join(pole, venue, "full").join(spread, venue, "full")
     return out.select(venue, "lap_length_m", "pole_time_s", F.try_divide(3.6 * F.col("lap_length_m"), F.col("pole_time_s")).alias("avg_lap_speed_kmh"), "field_spread_pct")
 
@@ -39,8 +43,7 @@ def pass_rate(passes: DataFrame, results: DataFrame, venue: str, race: str, leas
     run = results.where("classified = 1").groupBy(race).agg(F.max("laps").alias("laps"), F.count("*").alias("field"))
     rate = 100.0 * F.col("passes") / F.greatest(F.col("laps") * F.col("field"), F.lit(1.0))
     out = n.join(run, race).where(F.col(venue).isNotNull()).select(venue, rate.alias("__rate"))
-    enough = out.groupBy(venue).agg(F.count("*").alias("n_races")).where(F.col("n_races") >= least)
-    return quantiles(out, [venue], {"overtakes_per_100_laps": ("__rate", 0.5)}).join(enough, venue)
+    return quantiles(out, [venue], {"overtakes_per_100_laps": ("__rate", 0.5)}, "n_races").where(F.col("n_races") >= least)
 
 
 def counted_difficulty(rates: DataFrame, venue: str) -> DataFrame:
@@ -53,8 +56,7 @@ def counted_difficulty(rates: DataFrame, venue: str) -> DataFrame:
 def pit_lane_loss(stops: DataFrame, venue: str, seconds: str, low: float = 12.0, high: float = 60.0, least: int = 10) -> DataFrame:
     """venue, pit_loss_s, n_stops: median of plausible stops, of venues with enough of them."""
     plausible = stops.where(F.col(seconds).between(low, high))
-    enough = plausible.groupBy(venue).agg(F.count("*").alias("n_stops")).where(F.col("n_stops") >= least)
-    return quantiles(plausible, [venue], {"pit_loss_s": (seconds, 0.5)}).join(enough, venue)
+    return quantiles(plausible.where(F.col(venue).isNotNull()), [venue], {"pit_loss_s": (seconds, 0.5)}, "n_stops").where(F.col("n_stops") >= least)
 
 
 def venue_profiles(difficulty: DataFrame, attrition: DataFrame, venue: str, street: list[str] = ()) -> DataFrame:

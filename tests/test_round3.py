@@ -122,7 +122,7 @@ def test_days_without_a_ranked_order_are_asked_for_a_temperature(spark, tmp_path
     assert len(got) == 14 and (races[5], races[6], races[12], races[13]) == (5, 5, 11, 11)
 
 
-@pytest.mark.parametrize("name", ["difficulty_index"])
+@pytest.mark.parametrize("name", ["difficulty_index", "venue_speed_profile", "pass_rate", "pit_lane_loss"])
 def test_venue_queries_read_their_lines_as_often_as_they_name_them(spark, monkeypatch, name):
     """Medians of a venue read their rows once: the fact table isn't read anew for each column, count and set of groups."""
     scans, real = [], catalog.table
