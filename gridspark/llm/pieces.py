@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import defaultdict
 from collections.abc import Iterable
 
 import numpy as np
@@ -56,14 +57,21 @@ class Codec:
 
     def merged(self, s: str) -> list[str]:
         """Byte-pair merges of a short string: the best score first, then the leftmost."""
-        parts = list(s)
-        while len(parts) > 1:
-            best = max(((self.score[x], -i) for i in range(len(parts) - 1) if (x := parts[i] + parts[i + 1]) in self.score), default=None)
+        parts, score = list(s), self.score.get
+        pairs = [score(x + y) for x, y in zip(parts, parts[1:])]
+        while True:
+            best, at = None, 0
+            for i, x in enumerate(pairs):
+                if x is not None and (best is None or x > best):
+                    best, at = x, i
             if best is None:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + parts[at])
+            if at < len(pairs):
+                pairs[at] = score(parts[at] + parts[at + 1])
 
     def _stable(self, left: str, right: str) -> bool:
         key = (left, right)
@@ -74,39 +82,60 @@ class Codec:
             self.stable[key] = known
         return known
 
-    def _extend(self, word: str, end: int, states: list) -> tuple[float, str]:
-        """Forward state of word[:end], given those of all shorter prefixes (states[0] is the empty one)."""
-        if self.kind == "unigram":
-            best = (states[end - 1][0] + self.score.get(word[end - 1], self.worst), word[end - 1])
-            for start in range(max(0, end - self.longest), end - 1):
-                if (s := self.score.get(word[start:end])) is not None and states[start][0] + s > best[0]:
-                    best = (states[start][0] + s, word[start:end])
-            return best
-        for start in range(end - 1, -1, -1):
-            piece = word[start:end]
-            if (start == end - 1 or piece in self.score) and self._stable(states[start][1], piece):
-                return (0.0, piece)
-            if piece not in self.suffixes:
-                break
-        raise AssertionError("some piece always fits")
+    def _best(self, word: str, end: int, states: list[tuple[float, str]]) -> tuple[float, str]:
+        """Best sum and last piece of word[:end], given those of all shorter prefixes (states[0] is the empty one)."""
+        best = (states[end - 1][0] + self.score.get(word[end - 1], self.worst), word[end - 1])
+        for start in range(max(0, end - self.longest), end - 1):
+            if (s := self.score.get(word[start:end])) is not None and states[start][0] + s > best[0]:
+                best = (states[start][0] + s, word[start:end])
+        return best
+
+    def _passing(self, word: str, begin: int, lasts: list[str]) -> None:
+        """Add the one last piece that passes of each prefix of word longer than begin to lasts, those of the shorter ones."""
+        known, score, suffixes = self.stable.get, self.score, self.suffixes
+        for end in range(begin + 1, len(word) + 1):
+            start, piece = end - 1, word[end - 1]
+            fits = True
+            while True:
+                if fits:
+                    left = lasts[start]
+                    if (ok := known((left, piece))) is None:
+                        ok = self._stable(left, piece)
+                    if ok:
+                        break
+                if not start or piece not in suffixes:
+                    raise AssertionError("some piece always fits")
+                start -= 1
+                piece = word[start:end]
+                fits = piece in score
+            lasts.append(piece)
 
     def encode_sorted(self, words: list[str]) -> Iterable[tuple[str, list[str]]]:
         """Pieces of distinct words in sorted order, which is a depth-first walk over their trie.
 
-        The states of the last word's prefixes are a stack; what a word shares with the last one stays on it.
+        The last pieces of the last word's prefixes are a stack; what a word shares with the last one stays on it.
         """
-        states, last = [(0.0, "")], ""
+        lasts, states, last = [""], [(0.0, "")], ""
         for word in words:
-            most = min(len(word), len(last))
-            same = next((i for i in range(most) if word[i] != last[i]), most)
-            del states[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                states.append(self._extend(word, end, states))
+            same = 0
+            for x, y in zip(word, last):
+                if x != y:
+                    break
+                same += 1
+            del lasts[same + 1 :]
+            if self.kind == "unigram":
+                del states[same + 1 :]
+                for end in range(same + 1, len(word) + 1):
+                    states.append(self._best(word, end, states))
+                    lasts.append(states[-1][1])
+            else:
+                self._passing(word, same, lasts)
             last, out, at = word, [], len(word)
             while at:
-                out.append(states[at][1])
+                out.append(lasts[at])
                 at -= len(out[-1])
-            yield word, out[::-1]
+            out.reverse()
+            yield word, out
 
     def piece_ids(self, piece: str) -> list[int]:
         if (i := self.ids.get(piece)) is not None:
@@ -115,16 +144,21 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids begin (one place more than texts)."""
-        code: dict[str, int] = {}
+        code: defaultdict[str, int] = defaultdict()
+        code.default_factory = code.__len__  # a new word's code is the number of words before it
         per, flat = [], []
         for t in texts:
             units = UNITS.findall(MARK + t.replace(" ", MARK)) if t else ()
             per.append(len(units))
-            flat += [code.setdefault(u, len(code)) for u in units]
+            flat.extend(map(code.__getitem__, units))
+        code.default_factory = None
         if len(self.words) > REMEMBERED:
             self.words.clear()
         for word, pieces in self.encode_sorted(sorted(w for w in code if w not in self.words)):
-            self.words[word] = np.array([i for p in pieces for i in self.piece_ids(p)], np.int32)
+            ids = list(map(self.ids.get, pieces))
+            if None in ids:
+                ids = [i for p in pieces for i in self.piece_ids(p)]
+            self.words[word] = np.array(ids, np.int32)
         arrays = [self.words[w] for w in code]
         lengths = np.array([len(a) for a in arrays], np.int64)
         every = np.concatenate(arrays) if arrays else np.empty(0, np.int32)

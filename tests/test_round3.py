@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
+from gridspark.llm.pieces import Codec
 from gridspark.operators import checks, order, ridge, simulation
 from gridspark.plans import ORACLES, QUERIES, catalog, models
 from gridspark.sources import responses
@@ -159,3 +160,35 @@ def test_quantiles_count_the_rows_of_a_group_over_several_ranges(spark):
         x, y = ([m[i] for m in made if m[0] == g and m[i] is not None] for i in (1, 2))
         want = (*(float(np.quantile(v, q)) if v else None for v, q in ((x, 0.5), (y, 0.3), (x, 0.9))), sum(m[0] == g for m in made))
         assert got[g] == pytest.approx(want, abs=1e-9) if x else got[g] == want
+
+
+def test_merges_look_up_only_pairs_that_changed():
+    """Byte-pair merges as plain rounds over all pairs give them, at a few lookups a character."""
+
+    class Counted(dict):
+        seen = 0
+
+        def __getitem__(self, key):
+            self.seen += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            self.seen += 1
+            return super().__contains__(key)
+
+        def get(self, key, default=None):
+            self.seen += 1
+            return super().get(key, default)
+
+    rng = np.random.default_rng(5)
+    made = {"".join(rng.choice(list("abc"), k)) for k in (1, 2, 2, 3, 4, 4, 6, 8) for _ in range(12)}
+    codec = Codec([(p, -float(i // 2), "normal") for i, p in enumerate(sorted(made))])
+    plain = dict(codec.score)
+    for n in (0, 1, 2, 3, 7, 12, 60):
+        for text in ("".join(rng.choice(list("abcd"), n)) for _ in range(20)):
+            want = list(text)
+            while pairs := [(plain[x + y], -i) for i, (x, y) in enumerate(zip(want, want[1:])) if x + y in plain]:
+                i = -max(pairs)[1]
+                want[i : i + 2] = [want[i] + want[i + 1]]
+            codec.score = Counted(plain)
+            assert codec.merged(text) == want and codec.score.seen <= 3 * n
